@@ -301,8 +301,8 @@ def event_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("run"), F.col("event_id").cast("string")).alias("run_id"),
         F.concat(F.lit("exp"), (F.col("user_id") % 5).cast("string")).alias("experiment_id"),
         F.when(F.col("event_type") == "error", "FAILED").otherwise("FINISHED").alias("status"),
-        F.unix_millis("ts").alias("start_ms"),
-        (F.unix_millis("ts") + F.col("event_id") % 1000).alias("end_ms"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms"),
+        (F.unix_millis(F.col("ts").cast("timestamp")) + F.col("event_id") % 1000).alias("end_ms"),
         F.create_map(F.lit("k"), k, F.lit("data_enrich"), F.when(F.col("event_id") % 2 == 0, "shannon").otherwise("None")).alias("params"),
         F.create_map(F.lit("rmse_val"), F.col("value")).alias("metrics"),
         F.create_map(F.lit("model_type"), F.col("event_type")).alias("tags"),

@@ -7,8 +7,11 @@ time; they run as Arrow batches over 2-D numpy arrays.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -94,6 +97,7 @@ def _rank(xs):
 for _f in (_ilr, _rank):
     _f.__annotations__ = {"xs": pd.Series, "return": pd.Series}
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 ilr = F.pandas_udf(_ilr, ArrayType(DoubleType()))
 rank_row = F.pandas_udf(_rank, ArrayType(DoubleType()))
 

@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from closura.queries import features, prepare  # noqa: F401
+    from closura.queries import features, models, prepare, scores, splits, trials  # noqa: F401

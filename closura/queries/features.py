@@ -85,10 +85,10 @@ def _(spark, sf):
     return tx.unmatched_features(b.baskets(spark, sf), _partial_taxonomy(spark, sf))
 
 
-_NORTH = "some AS (SELECT * FROM abund WHERE substr(feature_id, 2)::BIGINT % 3 = 0)"
+_NORTH = "third AS (SELECT * FROM abund WHERE substr(feature_id, 2)::BIGINT % 3 = 0)"
 
 
-@query("P10_align_taxonomy", with_(b.PREPARED, b.LINEAGE, _NORTH, select=f"SELECT feature_id, taxon, {rd('confidence')} AS confidence FROM lineage WHERE feature_id IN (SELECT feature_id FROM some)"))
+@query("P10_align_taxonomy", with_(b.PREPARED, b.LINEAGE, _NORTH, select=f"SELECT feature_id, taxon, {rd('confidence')} AS confidence FROM lineage WHERE feature_id IN (SELECT feature_id FROM third)"))
 def _(spark, sf):
     cells = b.baskets(spark, sf).where(F.col("feature_id").substr(2, 20).cast("bigint") % 3 == 0)
     return tx.align_taxonomy(b.supplier_lineage(spark, sf), cells).withColumn("confidence", F.round("confidence", 9))
@@ -135,9 +135,6 @@ def _(spark, sf):
     return tree.prune_tree(b.supplier_tree(spark, sf), keep)
 
 
-_LCP = """list_sum([1]) """
-
-
 @query(
     "F13_consensus_taxon",
     with_(

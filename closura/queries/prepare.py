@@ -403,8 +403,8 @@ def _(spark, sf):
         *_TOP10,
         "nz AS (SELECT pos FROM dense GROUP BY pos ORDER BY count_if(value <> 0) DESC, pos LIMIT 1)",
         "d AS (SELECT sample_id, v AS dv FROM eps WHERE pos = (SELECT pos FROM nz))",
-        select="""SELECT sample_id, (CASE WHEN pos > (SELECT pos FROM nz) THEN pos - 1 ELSE pos END)::INTEGER AS pos, round(v / dv, 4) AS alr,
-   round(ln(v / dv), 4) + 0.0 AS alr_log FROM eps JOIN d USING (sample_id) WHERE pos <> (SELECT pos FROM nz)""",
+        select=f"""SELECT sample_id, (CASE WHEN pos > (SELECT pos FROM nz) THEN pos - 1 ELSE pos END)::INTEGER AS pos, round(least(v / dv, 1000), 12) AS alr,
+   {rd('ln(v / dv)')} AS alr_log FROM eps JOIN d USING (sample_id) WHERE pos <> (SELECT pos FROM nz)""",
     ),
 )
 def _(spark, sf):
@@ -414,7 +414,7 @@ def _(spark, sf):
     x = rows.pseudocount(F.col("x")), x
     pair = F.arrays_zip(rows.alr(x[0], d).alias("a"), rows.alr_log(x[0], d).alias("l"))
     return x[1].select("sample_id", F.posexplode(pair).alias("pos", "p")).select(
-        "sample_id", "pos", F.round("p.a", 4).alias("alr"), F.round("p.l", 4).alias("alr_log")
+        "sample_id", "pos", F.round(F.least("p.a", F.lit(1000.0)), 12).alias("alr"), F.round("p.l", 9).alias("alr_log")
     )
 
 
