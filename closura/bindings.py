@@ -65,8 +65,9 @@ CUSTOMERS = """customers AS (
 
 
 def baskets(spark: SparkSession, sf: str) -> DataFrame:
-    """Prepared cells: prefixed, zero-free, closed."""
-    return prepare_features(basket_cells(spark, sf))
+    """Prepared cells: prefixed, zero-free, closed. The join behind them is run once and written,
+    because preparation reads its input for feature totals, sample totals and the division."""
+    return prepare_features(materialize(basket_cells(spark, sf)))
 
 
 PREPARED = (
@@ -80,7 +81,7 @@ abund AS (SELECT sample_id, 'F' || feature_id AS feature_id, value / total AS va
 def basket_dataset(spark: SparkSession, sf: str) -> Dataset:
     cells = materialize(baskets(spark, sf))
     samples = customers(spark, sf).join(cells.select("sample_id").distinct(), "sample_id", "left_semi")
-    return Dataset.static(samples, cells)
+    return Dataset.static(materialize(samples), cells)
 
 
 # customers that have cells

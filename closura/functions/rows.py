@@ -19,21 +19,31 @@ from pyspark.sql.types import ArrayType, DoubleType
 from closura.dataset import PSEUDOCOUNT
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
+
+    A Column used twice is evaluated twice, and inside a lambda once per element; a lambda's
+    own argument is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dense(entries: Column, width: Column, fill: Column | None = None) -> Column:
     """Sparse (pos, value) structs -> array<double> of ``width``, in linear time.
 
     Sorted entries are laid out with runs of ``fill`` (default 0) between them.
     """
-    s = F.coalesce(F.sort_array(entries), F.array().cast("array<struct<pos:int,value:double>>"))
-    n = F.size(s)
     blank = F.lit(0.0) if fill is None else fill
 
-    def cell(e: Column, j: Column) -> Column:
-        nxt = F.coalesce(F.try_element_at(s, j + 2)["pos"], width)
-        return F.concat(F.array(e["value"]), F.array_repeat(blank, (nxt - e["pos"] - 1).cast("int")))
+    def lay_out(s: Column) -> Column:
+        def cell(e: Column, j: Column) -> Column:
+            nxt = F.coalesce(F.try_element_at(s, j + 2)["pos"], width)
+            return F.concat(F.array(e["value"]), F.array_repeat(blank, (nxt - e["pos"] - 1).cast("int")))
 
-    lead = F.when(n == 0, width).otherwise(F.try_element_at(s, F.lit(1))["pos"])
-    return F.concat(F.array_repeat(blank, lead.cast("int")), F.flatten(F.transform(s, cell)))
+        lead = F.coalesce(F.try_element_at(s, F.lit(1))["pos"], width)
+        return F.concat(F.array_repeat(blank, lead.cast("int")), F.flatten(F.transform(s, cell)))
+
+    empty = F.array().cast("array<struct<pos:int,value:double>>")
+    return let(F.coalesce(F.sort_array(entries), empty), lay_out)
 
 
 def pseudocount(x: Column, eps: float = PSEUDOCOUNT) -> Column:
@@ -45,10 +55,10 @@ def array_sum(x: Column) -> Column:
 
 
 def clr(x: Column) -> Column:
-    logs = F.transform(x, F.ln)
-    centred = F.struct(logs.alias("l"), (array_sum(logs) / F.size(x)).alias("m"))
-    # the one-element array binds (logs, mean) once per row instead of once per use
-    return F.element_at(F.transform(F.array(centred), lambda s: F.transform(s["l"], lambda v: v - s["m"])), 1)
+    def centre(logs: Column) -> Column:
+        return let(array_sum(logs) / F.size(logs), lambda m: F.transform(logs, lambda v: v - m))
+
+    return let(F.transform(x, F.ln), centre)
 
 
 def _by_width(xs: pd.Series, fn) -> pd.Series:
@@ -105,9 +115,12 @@ rank_row = F.pandas_udf(_rank, ArrayType(DoubleType()))
 def alr(x: Column, denom: Column | int) -> Column:
     """Plain ratios to the element at 0-based ``denom``, which is removed (no logarithm)."""
     d = denom if isinstance(denom, Column) else F.lit(denom)
-    bound = F.struct(x.alias("x"), F.element_at(x, d.cast("int") + 1).alias("d"))
-    ratios = F.transform(F.array(bound), lambda s: F.transform(s["x"], lambda v: v / s["d"]))
-    return F.filter(F.element_at(ratios, 1), lambda v, i: i != d)
+
+    def ratios(r: Column) -> Column:
+        over = let(F.element_at(r, d.cast("int") + 1), lambda v: F.transform(r, lambda e: e / v))
+        return F.filter(over, lambda _, i: i != d)
+
+    return let(x, ratios)
 
 
 def alr_log(x: Column, denom: Column | int) -> Column:
@@ -125,16 +138,18 @@ def one_hot(value: Column, universe: list[str]) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(F.array(F.struct(x.alias("x"), top.alias("m"))), lambda s: F.transform(s["x"], lambda v: F.exp(v - s["m"])))
-    return F.element_at(
-        F.transform(e, lambda r: F.element_at(
-            F.transform(F.array(F.struct(r.alias("r"), array_sum(r).alias("t"))), lambda s: F.transform(s["r"], lambda v: v / s["t"])), 1)), 1)
+    def scaled(e: Column) -> Column:
+        return let(array_sum(e), lambda t: F.transform(e, lambda v: v / t))
+
+    def shifted(r: Column) -> Column:
+        return let(F.array_max(r), lambda m: F.transform(r, lambda v: F.exp(v - m)))
+
+    return let(let(x, shifted), scaled)
 
 
 def argmax(x: Column) -> Column:
     """0-based position of the first maximum."""
-    return (F.array_position(x, F.array_max(x)) - 1).cast("int")
+    return let(x, lambda r: F.array_position(r, F.array_max(r)) - 1).cast("int")
 
 
 def _running_product(x: Column) -> Column:
@@ -153,9 +168,8 @@ def corn_conditional(logits: Column) -> Column:
 def corn_proba(logits: Column) -> Column:
     """Class probabilities from conditional logits: differences of 1, P(y>0), ..., 0."""
     c = F.concat(F.array(F.lit(1.0)), corn_conditional(logits), F.array(F.lit(0.0)))
-    return F.element_at(
-        F.transform(F.array(c), lambda b: F.transform(
-            F.slice(b, 1, F.size(b) - 1), lambda v, i: F.greatest(v - F.element_at(b, i + 2), F.lit(0.0)))), 1)
+    return let(c, lambda b: F.transform(
+        F.slice(b, 1, F.size(b) - 1), lambda v, i: F.greatest(v - F.element_at(b, i + 2), F.lit(0.0))))
 
 
 def corn_label(logits: Column) -> Column:

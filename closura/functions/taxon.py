@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from closura.dataset import STRATUM_SEPARATOR
+from closura.functions.rows import let
 
 # The seven ranks, outermost first.
 RANKS = ("domain", "phylum", "class", "order", "family", "genus", "species")
@@ -32,15 +33,14 @@ def leaf_name(taxon: Column, feature: Column) -> Column:
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Longest common prefix of two strings."""
-    bound = F.array(F.struct(a.alias("a"), b.alias("b")))
 
-    def length(s: Column) -> Column:
-        positions = F.sequence(F.lit(1), F.greatest(F.least(F.length(s["a"]), F.length(s["b"])), F.lit(1)))
+    def cut(s: Column) -> Column:
+        shorter = F.least(F.length(s["a"]), F.length(s["b"]))
+        positions = F.sequence(F.lit(1), F.greatest(shorter, F.lit(1)))
         differs = F.filter(positions, lambda i: ~s["a"].substr(i, F.lit(1)).eqNullSafe(s["b"].substr(i, F.lit(1))))
-        first = F.try_element_at(differs, F.lit(1)) - 1
-        return F.coalesce(first, F.least(F.length(s["a"]), F.length(s["b"])))
+        return s["a"].substr(F.lit(1), F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, shorter))
 
-    return F.element_at(F.transform(bound, lambda s: s["a"].substr(F.lit(1), length(s))), 1)
+    return let(F.struct(a.alias("a"), b.alias("b")), cut)
 
 
 def before_last_semicolon(s: Column) -> Column:

@@ -88,7 +88,8 @@ def merge_metadata(samples: DataFrame, abund: DataFrame) -> DataFrame:
 
 
 def build_dataset(samples: DataFrame, abund: DataFrame) -> Dataset:
-    """Align, prepare and bundle a table without history. The prepared cells are written once:
-    every later fit, transform and split reads them, not the joins behind them."""
+    """Align, prepare and bundle a table without history. The aligned cells are written before
+    preparation reads them three times, and the prepared ones because every later fit,
+    transform and split starts from them."""
     samples, abund = align_samples(samples, abund)
-    return Dataset.static(samples, materialize(prepare_features(abund)))
+    return Dataset.static(materialize(samples), materialize(prepare_features(materialize(abund))))

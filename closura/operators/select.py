@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from closura.dataset import GROUP_FEATURES
 from closura.operators.ordered import ordered_prefix
 from closura.operators.stats import feature_stats
+from closura.session import materialize
 
 METHODS = tuple(f"{m}_{r}" for m in ("abundance", "variance") for r in ("ith", "topi", "quantile", "threshold"))
 
@@ -72,22 +73,18 @@ def freeze(marked: DataFrame, group_id: str | None, keys: list[str] | None = Non
     by feature_id, the group comes last. One fit's rows are one design row wide.
     """
     keys = keys or []
-    per_fit = Window.partitionBy(*keys)
-    grouped = (F.sum(F.col("is_low").cast("int")).over(per_fit) >= 2).alias("_grouped")
-    base = marked.select(*keys, "feature_id", "is_low", grouped)
-    kept = base.where(~(F.col("is_low") & F.col("_grouped"))).select(*keys, "feature_id", F.lit(False).alias("is_group"))
+    enough = F.sum(F.col("is_low").cast("int")) >= 2
+    if keys:
+        base = marked.select(*keys, "feature_id", "is_low").join(marked.groupBy(*keys).agg(enough.alias("_grouped")), keys)
+    else:
+        base = marked.select("feature_id", "is_low", F.lit(bool(marked.agg(enough).first()[0])).alias("_grouped"))
+    collapsed = F.col("is_low") & F.col("_grouped")
+    kept = base.where(~collapsed).select(*keys, "feature_id", F.lit(False).alias("is_group"))
     if group_id is not None:
-        group = (
-            base.where(F.col("_grouped"))
-            .select(*keys)
-            .distinct()
-            .select(*keys, F.lit(group_id).alias("feature_id"), F.lit(True).alias("is_group"))
-            if keys
-            else base.where(F.col("is_low") & F.col("_grouped"))
-            .select(F.lit(group_id).alias("feature_id"), F.lit(True).alias("is_group"))
-            .distinct()
-        )
-        kept = kept.unionByName(group)
+        group = base.where(collapsed).select(*keys, F.lit(group_id).alias("feature_id"), F.lit(True).alias("is_group"))
+        kept = kept.unionByName(group.distinct())
+    # what is left of a fit is as long as a design row is wide
+    per_fit = Window.partitionBy(*keys)
     order = per_fit.orderBy("is_group", "feature_id")
     return kept.select(
         *keys,
@@ -118,14 +115,15 @@ def fit_selection(
     stats = feature_stats(abund, n_rows)
     if features is not None:
         stats = features.join(stats, "feature_id", "left").na.fill(0.0, ["abundance", "variance"]).na.fill(0, ["n1"])
+    stats = materialize(stats)  # one row per feature, read several times below
     if method is None:
-        return freeze(stats.withColumn("is_low", F.lit(False)), None)
+        return materialize(freeze(stats.withColumn("is_low", F.lit(False)), None))
     if method.endswith(("_ith", "_topi")):
         i = clamp_i(i, stats.count())
-    marked = mark_low(stats, method, i=i, q=q, t=t)
-    if marked.where("is_low").limit(2).count() < 2:
+    frozen = materialize(freeze(mark_low(stats, method, i=i, q=q, t=t), group_feature(method)))
+    if frozen.where("is_group").isEmpty():
         warnings.warn(f"No features found to group using method: {method}. Table stays unchanged.")
-    return freeze(marked, group_feature(method))
+    return frozen
 
 
 def low_features(abund: DataFrame, method: str, n_rows: int, **params) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from closura.dataset import PSEUDOCOUNT
 from closura.functions.rows import dense
 from closura.functions.taxon import before_last_semicolon, common_prefix, leaf_name
+from closura.operators.ordered import ordered_prefix
 from closura.session import materialize
 
 MAX_DOUBLINGS = 40
@@ -140,11 +141,9 @@ def node_names(matrix: DataFrame, tax: DataFrame) -> DataFrame:
 
 def matrix_columns(matrix: DataFrame) -> DataFrame:
     """(node, col, n_leaves): tips first, then inner nodes, each in their own order."""
-    from pyspark.sql import Window
-
     nodes = matrix.groupBy("node", "is_tip", "node_ord").agg(F.max("n_leaves").alias("n_leaves"))
-    order = Window.orderBy(F.col("is_tip").desc(), "node_ord", "node")
-    return nodes.select("node", (F.row_number().over(order) - 1).alias("col"), "n_leaves")
+    ranked = ordered_prefix(nodes, [], [F.col("is_tip").desc(), F.col("node_ord"), F.col("node")])
+    return ranked.select("node", (F.col("rank") - 1).cast("int").alias("col"), "n_leaves")
 
 
 def log_geom(samples: DataFrame, abund: DataFrame, matrix: DataFrame, columns: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from closura.functions import rows
 from closura.operators import enrich as enr
 from closura.operators.select import clamp_i, freeze, group_feature, mark_low
 from closura.operators.stats import merge_moments, partial_moments, variance_with_zeros
-from closura.operators.taxonomy import aggregate_features, aggregate_universe
+from closura.operators.taxonomy import aggregate_by_label, aggregate_features, aggregate_universe, labels_for
 from closura.session import materialize
 
 REFIT = -1
@@ -103,7 +103,8 @@ def fit_engineering(
     spark = ds.samples.sparkSession
     fits = [*range(n_folds), REFIT] if folds is not None else [REFIT]
     levels = enr.category_levels(ds.samples, enr.metadata_columns(config.enrich, list(config.enrich_with)))
-    cells = aggregate_features(ds.abund, config.aggregation, taxonomy)
+    labels = labels_for(config.aggregation, taxonomy)
+    cells = ds.abund if labels is None else aggregate_by_label(ds.abund, labels)
     present = ds.samples.where("present").select("sample_id", "t_off")
     if folds is None:
         cells = cells.withColumn("fold", F.lit(0))
@@ -111,7 +112,7 @@ def fit_engineering(
     else:
         cells = cells.join(folds.select("sample_id", "fold"), "sample_id")
         present = present.join(folds.select("sample_id", "fold"), "sample_id")
-    universe = aggregate_universe(ds.features, config.aggregation, taxonomy)
+    universe = aggregate_universe(ds.features, labels)
     not_own = F.filter(F.array(*[F.lit(f) for f in fits]), lambda f: f != F.col("fold"))
     merged = (
         partial_moments(cells, ["fold", "t_off", "feature_id"])

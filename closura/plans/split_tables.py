@@ -30,7 +30,7 @@ def split_train_test(
         if any(v is None for v in temporal):
             raise ValueError("host, time and n_prev must be given together.")
         samples, abund = align_samples(samples, abund)
-        cells = materialize(prepare_features(abund))
+        cells = materialize(prepare_features(materialize(abund)))
         ds = snapshot_windows(samples, cells, host, time, n_prev, missing_mode, order_col)
     else:
         ds = build_dataset(samples, abund)

@@ -39,7 +39,7 @@ def test_aggregation_and_unmatched(spark, tax):
     assert wide(tx.aggregate_features(a, "tax_class", tax)) == {"c__Clos": {"s1": pytest.approx(0.3)}, "c__Bac": {"s1": 0.3}}
     assert [r[0] for r in tx.unmatched_features(a, tax).collect()] == ["F9"]
     with pytest.warns(UserWarning, match="not found in taxonomy"):
-        tx.aggregate_universe(a.select("feature_id").distinct(), "tax_class", tax)
+        tx.aggregate_universe(a.select("feature_id").distinct(), tx.feature_labels(tax, "class"))
     with pytest.raises(ValueError, match="not implemented"):
         tx.aggregate_features(a, "tax_species", tax)
 
