@@ -27,23 +27,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def dense(entries: Column, width: Column, fill: Column | None = None) -> Column:
-    """Sparse (pos, value) structs -> array<double> of ``width``, in linear time.
+def sorted_entries(entries: Column) -> Column:
+    return F.coalesce(F.sort_array(entries), F.array().cast("array<struct<pos:int,value:double>>"))
+
 
-    Sorted entries are laid out with runs of ``fill`` (default 0) between them.
-    """
+def lay_out(s: Column, width: Column, fill: Column | None = None) -> Column:
+    """Sorted sparse (pos, value) structs -> array<double> of ``width``, in linear time: the
+    entries with runs of ``fill`` (default 0) between them. ``s`` must be a plain column or a
+    lambda argument, since it is read once per entry."""
     blank = F.lit(0.0) if fill is None else fill
 
-    def lay_out(s: Column) -> Column:
-        def cell(e: Column, j: Column) -> Column:
-            nxt = F.coalesce(F.try_element_at(s, j + 2)["pos"], width)
-            return F.concat(F.array(e["value"]), F.array_repeat(blank, (nxt - e["pos"] - 1).cast("int")))
+    def cell(e: Column, j: Column) -> Column:
+        nxt = F.coalesce(F.try_element_at(s, j + 2)["pos"], width)
+        return F.concat(F.array(e["value"]), F.array_repeat(blank, (nxt - e["pos"] - 1).cast("int")))
 
-        lead = F.coalesce(F.try_element_at(s, F.lit(1))["pos"], width)
-        return F.concat(F.array_repeat(blank, lead.cast("int")), F.flatten(F.transform(s, cell)))
+    lead = F.coalesce(F.try_element_at(s, F.lit(1))["pos"], width)
+    return F.concat(F.array_repeat(blank, lead.cast("int")), F.flatten(F.transform(s, cell)))
 
-    empty = F.array().cast("array<struct<pos:int,value:double>>")
-    return let(F.coalesce(F.sort_array(entries), empty), lay_out)
+
+def dense(entries: Column, width: Column, fill: Column | None = None) -> Column:
+    """``lay_out`` of unsorted entries."""
+    return let(sorted_entries(entries), lambda s: lay_out(s, width, fill))
 
 
 def pseudocount(x: Column, eps: float = PSEUDOCOUNT) -> Column:
@@ -108,8 +112,9 @@ for _f in (_ilr, _rank):
     _f.__annotations__ = {"xs": pd.Series, "return": pd.Series}
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
-ilr = F.pandas_udf(_ilr, ArrayType(DoubleType()))
-rank_row = F.pandas_udf(_rank, ArrayType(DoubleType()))
+# declared nondeterministic so that no rule copies a call into an inferred filter
+ilr = F.pandas_udf(_ilr, ArrayType(DoubleType())).asNondeterministic()
+rank_row = F.pandas_udf(_rank, ArrayType(DoubleType())).asNondeterministic()
 
 
 def alr(x: Column, denom: Column | int) -> Column:

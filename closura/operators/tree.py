@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closura.dataset import PSEUDOCOUNT
-from closura.functions.rows import dense
+from closura.functions.rows import lay_out, sorted_entries
 from closura.functions.taxon import before_last_semicolon, common_prefix, leaf_name
 from closura.operators.ordered import ordered_prefix
 from closura.session import materialize
@@ -169,6 +169,5 @@ def log_geom(samples: DataFrame, abund: DataFrame, matrix: DataFrame, columns: D
         .groupBy("sample_id")
         .agg(F.collect_list("e").alias("e"))
     )
-    return samples.select("sample_id").join(per_node, "sample_id", "left").select(
-        "sample_id", dense(F.col("e"), F.lit(width), F.log(floor)).alias("x")
-    )
+    sparse = samples.select("sample_id").join(per_node, "sample_id", "left").select("sample_id", sorted_entries(F.col("e")).alias("e"))
+    return sparse.select("sample_id", lay_out(F.col("e"), F.lit(width), F.log(floor)).alias("x"))

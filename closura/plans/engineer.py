@@ -77,9 +77,8 @@ def dense_rows(sample_ids: DataFrame, abund: DataFrame, frozen: DataFrame) -> Da
         .groupBy("sample_id")
         .agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "value")).alias("e"))
     )
-    return sample_ids.join(packed, "sample_id", "left").select(
-        "sample_id", rows.dense(F.col("e"), F.lit(width)).alias("x")
-    )
+    sparse = sample_ids.join(packed, "sample_id", "left").select("sample_id", rows.sorted_entries(F.col("e")).alias("e"))
+    return sparse.select("sample_id", rows.lay_out(F.col("e"), F.lit(width)).alias("x"))
 
 
 def _lookup(values: dict[tuple[int, int], object], t_off: int, dtype: str) -> Column:
@@ -255,25 +254,31 @@ def apply_engineering(
     packed = placed.groupBy("sample_id", "fit").agg(*aggs)
     base = _sample_rows(ds, frozen).withColumn("fit", F.explode(F.array(*[F.lit(f) for f in fits])))
     joined = base.join(packed, ["sample_id", "fit"], "left")
+    # sorted entries are a column of their own: the layout reads them once per entry
+    for off in ds.offsets:
+        group = _lookup({k: v["group"] for k, v in shape.items()}, off, "int")
+        joined = joined.withColumn(f"s{off}", _entries(off, group))
     return joined.select("sample_id", "fit", _assemble(ds.offsets, cfg, shape).alias("x"))
 
 
+def _entries(off: int, group: Column) -> Column:
+    """Kept cells plus the group's sum, sorted by position."""
+    sparse = "array<struct<pos:int,value:double>>"
+    grouped = F.when(
+        F.col(f"g{off}").isNotNull(), F.array(F.struct(group.alias("pos"), F.col(f"g{off}").alias("value")))
+    ).otherwise(F.array().cast(sparse))
+    return rows.sorted_entries(F.concat(F.coalesce(F.col(f"e{off}"), F.array()).cast(sparse), grouped.cast(sparse)))
+
+
 def _assemble(offsets: list[int], cfg: Config, shape: dict) -> Column:
     """Concatenate the transformed blocks of all snapshots, then their enrichment blocks."""
     nan = F.lit(float("nan"))
     micro, other = [], []
     for off in offsets:
         width = _lookup({k: v["n"] for k, v in shape.items()}, off, "int")
-        group = _lookup({k: v["group"] for k, v in shape.items()}, off, "int")
         denom = _lookup({k: v["denom"] for k, v in shape.items()}, off, "int")
         out_width = _lookup({k: _out_width(cfg, v["n"]) for k, v in shape.items()}, off, "int")
-        entries = F.coalesce(F.col(f"e{off}"), F.array()).cast("array<struct<pos:int,value:double>>")
-        grouped = F.when(
-            F.col(f"g{off}").isNotNull(),
-            F.array(F.struct(group.alias("pos"), F.col(f"g{off}").alias("value"))),
-        ).otherwise(F.array())
-        entries = F.concat(entries, grouped.cast("array<struct<pos:int,value:double>>"))
-        x = transform_dense(rows.dense(entries, width), cfg.transform, width, denom)
+        x = transform_dense(rows.lay_out(F.col(f"s{off}"), width), cfg.transform, width, denom)
         here = F.coalesce(F.col(f"here{off}"), F.lit(False))
         micro.append(F.when(here, x).otherwise(F.array_repeat(nan, out_width)))
         o = F.col(f"o{off}")

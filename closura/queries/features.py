@@ -169,7 +169,7 @@ def _(spark, sf):
     cols = tree.matrix_columns(m)
     x = tree.log_geom(ds.samples, ds.abund, m, cols)
     return (
-        x.select("sample_id", F.posexplode("x").alias("col", "v"))
+        x.select("sample_id", F.posexplode_outer("x").alias("col", "v"))
         .join(cols.where("n_leaves > 1"), "col")
         .select("sample_id", "node", F.round("v", 9).alias("log_mean"))
     )
@@ -194,7 +194,7 @@ def _(spark, sf):
     samples = b.customers(spark, sf).join(b.basket_cells(spark, sf).select("sample_id").distinct(), "sample_id", "left_semi")
     levels = enr.category_levels(samples, ["segment"])["segment"]
     names = F.array(*[F.lit(f"segment_{v}") for v in levels[1:]])
-    return samples.select("sample_id", F.posexplode(rows.one_hot(F.col("segment"), levels)).alias("p", "value")).select(
+    return samples.select("sample_id", F.posexplode_outer(rows.one_hot(F.col("segment"), levels)).alias("p", "value")).select(
         "sample_id", F.element_at(names, F.col("p") + 1).alias("name"), "value"
     )
 
@@ -225,7 +225,7 @@ for _mode in _ENRICH:
 
 def long_design(x, names: list[str], *keep: str):
     labels = F.array(*[F.lit(n) for n in names])
-    return x.select("sample_id", *keep, F.posexplode("x").alias("p", "value")).select(
+    return x.select("sample_id", *keep, F.posexplode_outer("x").alias("p", "value")).select(
         "sample_id", *keep, F.element_at(labels, F.col("p") + 1).alias("name"), F.round("value", 9).alias("value")
     )
 
@@ -328,7 +328,7 @@ def _(spark, sf):
     ds = b.basket_dataset(spark, sf)
     folds = assign_folds(ds.samples, _K, 11)
     x, _f = eng.engineer_folds(ds, folds, _K, eng.Config(selection="variance_topi", i=6, transform="clr"))
-    return x.select("sample_id", "fit", "split", F.posexplode("x").alias("pos", "value")).withColumn("value", F.round("value", 9))
+    return x.select("sample_id", "fit", "split", F.posexplode_outer("x").alias("pos", "value")).withColumn("value", F.round("value", 9))
 
 
 @query(
@@ -352,7 +352,7 @@ def _(spark, sf):
     ds = b.basket_dataset(spark, sf)
     folds = assign_folds(ds.samples, _K, 11)
     x, _f = eng.engineer_folds(ds, folds, _K, eng.Config(selection="abundance_ith", i=3, transform="alr"))
-    return x.select("sample_id", "fit", "split", F.posexplode("x").alias("pos", "value")).withColumn("value", F.round(F.ln("value"), 9))
+    return x.select("sample_id", "fit", "split", F.posexplode_outer("x").alias("pos", "value")).withColumn("value", F.round(F.ln("value"), 9))
 
 
 @query(
@@ -362,8 +362,9 @@ def _(spark, sf):
         "known AS (SELECT * FROM abund WHERE substr(feature_id, 2)::BIGINT % 5 <> 0)",
         "kid AS (SELECT count(DISTINCT sample_id) AS n FROM abund)",
         "fstats AS (SELECT feature_id, sum(value) AS abundance FROM known GROUP BY 1)",
-        "kept AS (SELECT feature_id FROM fstats ORDER BY abundance DESC, feature_id LIMIT 8)",
-        "names AS (SELECT feature_id AS name FROM kept UNION ALL SELECT 'F_low_abun')",
+        "g AS (SELECT count(*) - 8 >= 2 AS grouped FROM fstats)",
+        "kept AS (SELECT feature_id FROM (SELECT feature_id, row_number() OVER (ORDER BY abundance DESC, feature_id) AS r FROM fstats), g WHERE r <= 8 OR NOT grouped)",
+        "names AS (SELECT feature_id AS name FROM kept UNION ALL SELECT 'F_low_abun' FROM g WHERE grouped)",
         "vals AS (SELECT sample_id, coalesce(k.feature_id, 'F_low_abun') AS name, sum(value) AS value FROM abund LEFT JOIN kept k USING (feature_id) GROUP BY 1, 2)",
         select=f"SELECT i.sample_id, n.name, {rd('coalesce(value, 0)')} AS value FROM ids i CROSS JOIN names n LEFT JOIN vals v ON v.sample_id = i.sample_id AND v.name = n.name",
     ),

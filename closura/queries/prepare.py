@@ -353,8 +353,9 @@ def top10(spark, sf):
 
 
 def cells_of(frame, frozen, out="value", names="feature_id"):
-    """Dense rows as (sample_id, name, value)."""
-    long = frame.select("sample_id", F.posexplode("x").alias("pos", out))
+    """Dense rows as (sample_id, name, value). Rows are never empty; the outer form keeps the
+    optimizer from computing x a second time in a size(x) > 0 filter."""
+    long = frame.select("sample_id", F.posexplode_outer("x").alias("pos", out))
     if names is None:
         return long.withColumn(out, F.round(out, 9))
     return long.join(frozen.select("pos", F.col("feature_id").alias(names)), "pos").select("sample_id", names, F.round(out, 9).alias(out))
@@ -413,7 +414,7 @@ def _(spark, sf):
     d = stats.alr_denominator(sel.apply_selection(ds.abund, frozen).drop("pos"), frozen.select("feature_id", "pos")).first()["pos"]
     x = rows.pseudocount(F.col("x")), x
     pair = F.arrays_zip(rows.alr(x[0], d).alias("a"), rows.alr_log(x[0], d).alias("l"))
-    return x[1].select("sample_id", F.posexplode(pair).alias("pos", "p")).select(
+    return x[1].select("sample_id", F.posexplode_outer(pair).alias("pos", "p")).select(
         "sample_id", "pos", F.round(F.least("p.a", F.lit(1000.0)), 12).alias("alr"), F.round("p.l", 9).alias("alr_log")
     )
 
