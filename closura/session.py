@@ -26,14 +26,19 @@ def get_spark(app: str = "closura", cpus: str | int = "*", partitions: int | Non
     return spark
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only for a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        app = spark.sparkContext.applicationId
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder all executors share")
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if app not in _local_scratch:
+            _local_scratch[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        path = _local_scratch[app]
     return path
 
 
