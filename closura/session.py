@@ -42,8 +42,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the tables that ``materialize`` wrote for ``frames``; none may be read afterwards."""
+    for df in frames:
+        path = getattr(df, "_closura_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to the shared folder and read it back; ``release`` deletes it.
 
     Cuts the lineage, survives the loss of executors, and gives the next plan
     file statistics, so join strategies rest on a known size. It also pins
@@ -53,4 +63,6 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/closura-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._closura_path = path
+    return out
