@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closura.llm import bpe
+from closura.llm import bpe, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op6_byte_bpe(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+@query
+def op8_quality_rules(spark, sf):
+    return quality.judge(table(spark, sf, "documents"))
