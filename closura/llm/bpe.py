@@ -95,6 +95,7 @@ class ByteBPE:
             pairs = [(a, b) for a, b in cuts if a in ranks and b in ranks]
             pairs.sort(key=lambda pair: (ranks[pair[0]], ranks[pair[1]]))
             merges += [(spell(a), spell(b)) for a, b in pairs]
+        self.ranks = ranks
         self.model = Tokenizer(
             models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
         )

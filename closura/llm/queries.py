@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closura.llm import bpe, quality
+from closura.llm import bpe, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+END_OF_TEXT = 50_256  # free in that file
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def query(fn):
@@ -32,3 +34,13 @@ def op6_byte_bpe(spark, sf):
 @query
 def op8_quality_rules(spark, sf):
     return quality.judge(table(spark, sf, "documents"))
+
+
+@query
+def op5_sharding(spark, sf):
+    return sharding.place(table(spark, sf, "documents").select("doc_id"), SHARDS)
+
+
+@query
+def op9_token_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_TEXT)
