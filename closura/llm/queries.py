@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closura.llm import bpe, packing, quality, sharding
+from closura.llm import bpe, decontaminate, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op5_sharding(spark, sf):
 @query
 def op9_token_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_TEXT)
+
+
+@query
+def op1_decontamination(spark, sf):
+    return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("key")
