@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closura.llm import bpe, decontaminate, packing, quality, sharding
+from closura.llm import bpe, decontaminate, line_dedup, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op9_token_packing(spark, sf):
 @query
 def op1_decontamination(spark, sf):
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("key")
+
+
+@query
+def op2_line_dedup(spark, sf):
+    return line_dedup.dedup(table(spark, sf, "documents").select("doc_id", "text"), counts=True)
