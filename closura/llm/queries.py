@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closura.llm import bpe, decontaminate, line_dedup, packing, quality, sharding
+from closura.llm import bpe, decontaminate, line_dedup, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op1_decontamination(spark, sf):
 @query
 def op2_line_dedup(spark, sf):
     return line_dedup.dedup(table(spark, sf, "documents").select("doc_id", "text"), counts=True)
+
+
+@query
+def op10_toxicity(spark, sf):
+    return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
