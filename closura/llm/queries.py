@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closura.llm import bpe, decontaminate, line_dedup, packing, quality, sharding, toxicity
+from closura.llm import bpe, decontaminate, hmm, line_dedup, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op2_line_dedup(spark, sf):
 @query
 def op10_toxicity(spark, sf):
     return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op3_hmm_scoring(spark, sf):
+    return hmm.score(table(spark, sf, "documents"))
