@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closura.llm import bpe, decontaminate, hmm, line_dedup, packing, quality, sharding, toxicity
+from closura.llm import bpe, decontaminate, hmm, line_dedup, minhash, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op10_toxicity(spark, sf):
 @query
 def op3_hmm_scoring(spark, sf):
     return hmm.score(table(spark, sf, "documents"))
+
+
+@query
+def op7_minhash_near_dedup(spark, sf):
+    return minhash.judge(table(spark, sf, "documents")).drop("key")
