@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closura.llm import bpe, decontaminate, hmm, line_dedup, minhash, packing, quality, sharding, toxicity
+from closura.llm import bpe, decontaminate, hmm, line_dedup, minhash, packing, quality, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +70,11 @@ def op3_hmm_scoring(spark, sf):
 @query
 def op7_minhash_near_dedup(spark, sf):
     return minhash.judge(table(spark, sf, "documents")).drop("key")
+
+
+@query
+def op4_url_filter(spark, sf):
+    return url_filter.judge(table(spark, sf, "pages"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
