@@ -101,10 +101,10 @@ def head_of(vocab: DataFrame, size: int = HEAD, symbols: int = SYMBOLS) -> tuple
     return Head(word[by], rank[by], count[by], min(symbols, len(word) - int((word == END).any()))), least
 
 
-def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Written rows: row, ident, held_out, n_tokens, symbols (uint16: ``head.symbols`` is "other",
-    one more the end), head_log and other_log (sums of log10(c + 1) over words in ``head``; the
-    latter over "other" words), n_head, n_other, rest (words not in ``head``)."""
+def code(docs: DataFrame, head: Head, base_share: float = 0.0, other_share: float = 0.0, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """Written rows: row, ident, held_out, n_tokens, symbols (uint16: ``head.symbols`` is "other", one
+    more the end), head_log (sum of log10(c + 1) - base_share over words in ``head``), other_log (the
+    same with other_share, over those that are "other"), n_head, rest (words not in ``head``)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(head)
 
@@ -120,7 +120,7 @@ def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text")
                 known = place >= 0
                 rank = np.where(known, head.rank[place] if len(head.rank) else 2**40, 2**40)
                 symbol = np.minimum(rank, head.symbols).astype(np.uint16)
-                value = np.where(known, log[place] if len(log) else 0.0, 0.0)
+                value = log[place] if len(log) else np.zeros(len(place))
                 other = symbol == head.symbols
                 rest = np.flatnonzero(~known)
                 end = np.array([head.symbols + 1], np.uint16)
@@ -130,7 +130,7 @@ def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text")
                 columns = [
                     pa.array(np.arange(row, row + n)), batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(bounds) + 1, pa.int64()),
                     pa.array([np.append(symbol[a:b], end).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-                    pa.array(per(value)), pa.array(per(value * other)), pa.array(per(known.astype(np.int64))), pa.array(per(other.astype(np.int64))),
+                    pa.array(per((value - base_share) * known)), pa.array(per((value - other_share) * (known & other))), pa.array(per(known.astype(np.int64))),
                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(words[rest])),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -140,7 +140,7 @@ def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text")
     kind = docs.schema[ident].dataType.simpleString()
     schema = (
         f"row bigint, ident {kind}, held_out boolean, n_tokens bigint, symbols binary, head_log double, other_log double, "
-        "n_head bigint, n_other bigint, rest array<bigint>"
+        "n_head bigint, rest array<bigint>"
     )
     names = [f.split()[0] for f in schema.split(", ")]
     return materialize(docs.select(ident, held_out(F.col(ident)).alias("held_out"), text).mapInArrow(run, schema))
@@ -290,36 +290,38 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", states: in
     n_train, n_words = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = (vocab.where(F.col("word") == int(END)).select("c").first() or [0])[0]
     head, least = head_of(vocab, head_size, symbols)
-    coded = code(docs, head, ident, text)
-
     emitted = head.rank < head.symbols
     counts = np.zeros(head.symbols + 2)
     counts[head.rank[emitted]] = head.count[emitted]
     counts[-1] = ends
     counts[-2] = n_train - counts.sum()
+    base_share = float(np.log10(n_train + 1 * (n_words + 1)))
+    other_share = float(np.log10(counts[-2] + n_words - head.symbols - (ends > 0) + 1))
+    coded = code(docs, head, base_share, other_share, ident, text)
     shared = spark.sparkContext.broadcast(train(coded, counts, states, rounds)[0])
-    other_words = n_words - head.symbols - (ends > 0)
-    other_share = float(np.log10(counts[-2] + other_words + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [np.frombuffer(raw, np.uint16) for raw in batch.column(8).to_pylist()]
+            texts = [np.frombuffer(raw, np.uint16) for raw in batch.column(7).to_pylist()]
             if texts:
                 made = pa.array(log_likelihoods(shared.value, texts))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:8], made], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:7], made], names)
 
-    kept = ["row", "ident", "held_out", "n_tokens", "head_log", "other_log", "n_head", "n_other"]
+    kept = ["row", "ident", "held_out", "n_tokens", "head_log", "other_log", "n_head"]
     names = [*kept, "state_score"]
     kinds = ", ".join(f"{c} {coded.schema[c].dataType.simpleString()}" for c in kept)
     scored = coded.select(*kept, "symbols").mapInArrow(run, f"{kinds}, state_score double")
 
     rare = coded.select("row", F.explode("rest").alias("word")).join(vocab.where(F.col("c") < least), "word", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare_log"), F.count("c").alias("n_rare"))
-    out = scored.join(rare, "row", "left").withColumn("rare_log", F.coalesce("rare_log", F.lit(0.0)))
-    base = F.col("head_log") + F.col("rare_log") + F.lit(float(np.log10(ends + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(n_train + n_words + 1.0)))
+    logged = F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
+    rare = rare.groupBy("row").agg(
+        F.sum(logged - base_share).alias("rare_log"), F.sum(logged - other_share).alias("rare_other"), F.count("c").alias("n_rare")
+    )
+    out = scored.join(rare, "row", "left").fillna(0, ["rare_log", "rare_other", "n_rare"])
     return out.select(
         F.col("ident").alias(ident), "held_out", "n_tokens",
-        (F.col("n_head") + F.coalesce("n_rare", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
-        F.lit(int(n_train)).cast("bigint").alias("train_tokens"), base.alias("base_score"),
-        (F.col("state_score") + F.col("other_log") + F.col("rare_log") - F.col("n_other") * F.lit(other_share)).alias("score"),
+        (F.col("n_head") + F.col("n_rare") + F.lit(int(ends > 0))).alias("n_known"),
+        F.lit(int(n_train)).cast("bigint").alias("train_tokens"),
+        (F.col("head_log") + F.col("rare_log") + F.lit(float(np.log10(ends + 1.0)) - base_share)).alias("base_score"),
+        (F.col("state_score") + F.col("other_log") + F.col("rare_other")).alias("score"),
     )
