@@ -84,6 +84,24 @@ def basket_dataset(spark: SparkSession, sf: str) -> Dataset:
     return Dataset.static(materialize(samples), cells)
 
 
+def skewed_baskets(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``baskets``, with quantities halved again and again along the supplier key, so that a few
+    suppliers hold most of the total. Powers of two keep every sum exact."""
+    power = F.pow(F.lit(2.0), -((F.col("feature_id").cast("bigint") - 1) % 12))
+    return prepare_features(materialize(basket_cells(spark, sf).withColumn("value", F.col("value") * power)))
+
+
+SKEWED = PREPARED.replace("sum(l_quantity) AS value", "sum(l_quantity) * pow(2.0, -((l_suppkey - 1) % 12)) AS value").replace(
+    "GROUP BY 1, 2)", "GROUP BY 1, 2, l_suppkey)", 1
+)
+
+
+def skewed_dataset(spark: SparkSession, sf: str) -> Dataset:
+    cells = materialize(skewed_baskets(spark, sf))
+    samples = customers(spark, sf).join(cells.select("sample_id").distinct(), "sample_id", "left_semi")
+    return Dataset.static(materialize(samples), cells)
+
+
 # customers that have cells
 ALIGNED = CUSTOMERS + ", samples AS (SELECT * FROM customers WHERE sample_id IN (SELECT sample_id FROM cells))"
 

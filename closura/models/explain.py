@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from closura.models.estimators import Fitted
 from closura.operators.ordered import hash_order
+from closura.session import materialize
 
+BLOCK = 64  # background rows of a block
 COEF_MODELS = ("linreg", "logreg", "log_contrast")
 
 
@@ -52,62 +53,61 @@ def raw_weights(fitted: Fitted) -> np.ndarray:
     return coef * np.where(std > 0, up / np.where(std > 0, std, 1.0), 0.0)
 
 
-def column_means(rows: DataFrame) -> DataFrame:
-    """(j, mean) of dense arrays."""
-    return rows.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("mean"))
-
-
 def linear_shap(rows: DataFrame, background: DataFrame, weights: np.ndarray, names: list[str], classes: list[str]) -> DataFrame:
-    """(sample_id, class, feature, phi) with phi = w_j (x_j - mean_j of the background)."""
-    labels = F.lit(list(names))
-    by_col = [[float(weights[c, j]) for c in range(len(weights))] for j in range(weights.shape[1])]
-    spark = rows.sparkSession
-    w = spark.createDataFrame(list(enumerate(by_col)), "j int, w array<double>").join(column_means(background), "j")
-    return (
-        rows.select("sample_id", F.posexplode("x").alias("j", "v"))
-        .join(w, "j")
-        .select(
-            "sample_id", F.element_at(labels, F.col("j") + 1).alias("feature"),
-            F.explode(F.arrays_zip(F.lit(list(classes)).alias("c"), "w")).alias("z"), (F.col("v") - F.col("mean")).alias("d"),
-        )
-        .select("sample_id", F.col("z.c").alias("class"), "feature", (F.col("z.w") * F.col("d")).alias("phi"))
+    """(sample_id, class, feature, phi) with phi = w_j (x_j - mean_j of the background).
+
+    The means are one vector of the design's width; everything else happens within the row."""
+    mean = background.select(Summarizer.mean(array_to_vector("x")).alias("m")).first()["m"]
+    if mean is None:
+        raise ValueError("empty background")
+    # class by class, the weights and the products w_j mean_j as one literal row
+    lines = F.array(*[
+        F.struct(F.lit(c).alias("class"), F.lit([float(v) for v in w]).alias("w"), F.lit([float(v) for v in mean]).alias("m")) for c, w in zip(classes, weights)
+    ])
+    line = rows.select("sample_id", "x", F.explode(lines).alias("l")).select("sample_id", "x", "l.*")
+    centred = F.zip_with("x", "m", lambda v, mu: v - mu)
+    phi = F.zip_with("w", centred, lambda w, d: w * d)
+    return line.select("sample_id", "class", F.posexplode(phi).alias("j", "phi")).select(
+        "sample_id", "class", F.get(F.lit(list(names)), F.col("j")).alias("feature"), "phi"
     )
 
 
 def shapley_sample(
     fitted: Fitted, rows: DataFrame, background: DataFrame, names: list[str], classes: list[str],
-    n_perm: int = 8, max_background: int = 20, seed: int = 0,
+    n_perm: int = 8, max_background: int | None = None, seed: int = 0,
 ) -> DataFrame:
     """Sampled Shapley values of any model: (sample_id, class, feature, phi).
 
-    For each of ``n_perm`` permutations and a background row, features are switched from the
-    background to the sample one after another; a feature's value is the mean change of the
-    output. A row expands to n_perm x (p + 1) model inputs; the background sample (the
-    smallest hashes) is bounded by ``max_background`` rows.
+    Features are switched from a background row to the sample one after another, in an order drawn
+    by hash for each background row; a feature's value is the mean change of the output. Every
+    background row is used equally often (``n_perm`` orders in all, at least one for each row), so
+    the values of a sample add up to its output less the mean output over the background. All
+    background rows count unless ``max_background`` bounds them (the smallest hashes).
+
+    A sample meets the background in blocks of ``BLOCK`` rows by an ordinary join on the block.
     """
     p = len(names)
-    bg = [r["x"] for r in background.select("x", hash_order(seed, F.col("sample_id")).alias("h"), "sample_id").orderBy("h", "sample_id").limit(max_background).select("x").collect()]
-    if not bg:
+    back = background.select(hash_order(seed, F.col("sample_id")).alias("h"), F.col("sample_id").alias("bg"), F.col("x").alias("b"))
+    if max_background is not None:
+        back = back.orderBy("h", "bg").limit(max_background)
+    back = materialize(back)
+    m = back.count()
+    if not m:
         raise ValueError("empty background")
-    rng = random.Random(seed)
-    plans = []
-    for i in range(n_perm):
-        order = list(range(p))
-        rng.shuffle(order)
-        place = [0] * p  # place[j] = turn (1-based) at which feature j is switched
-        for turn, j in enumerate(order, 1):
-            place[j] = turn
-        plans.append((i, place, order, [float(v) for v in bg[i % len(bg)]]))
-    plan_cols = F.array(*[
-        F.struct(F.lit(i).alias("perm"), F.lit(place).alias("place"), F.lit(order).alias("ord"), F.lit(b).alias("b")) for i, place, order, b in plans
-    ])
-    expanded = rows.select("sample_id", "x", F.explode(plan_cols).alias("pl")).select("sample_id", "x", "pl.*")
-    steps = expanded.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(p))))
+    blocks, rounds = -(-m // BLOCK), -(-n_perm // m)
+    place = F.pmod(F.col("h"), F.lit(blocks)).cast("int")
+    turns = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.struct(F.xxhash64(F.lit(seed), "bg", "round", j), j.alias("j")))
+    drawn = back.select("bg", "b", place.alias("block"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    drawn = drawn.withColumn("ord", F.transform(F.array_sort(turns), lambda t: t["j"]))
+    # place[j]: the turn (from 1) at which feature j is switched
+    drawn = drawn.withColumn("place", F.transform(F.array_sort(F.transform("ord", lambda j, i: F.struct(j.alias("j"), (i + 1).alias("i")))), lambda t: t["i"]))
+    asked = rows.select("sample_id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    steps = asked.join(drawn, "block").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(p))))
     mixed = F.transform(
         F.arrays_zip(F.col("x").alias("x"), F.col("b").alias("b"), F.col("place").alias("t")),
         lambda z: F.when(z["t"] <= F.col("turn"), z["x"]).otherwise(z["b"]),
     )
-    scored = fitted.score(steps.select("sample_id", "perm", "turn", "ord", array_to_vector(mixed).alias("features")))
+    scored = fitted.score(steps.select("sample_id", "turn", "ord", array_to_vector(mixed).alias("features")))
     out = F.col("proba") if fitted.has_proba else F.array("prediction")
     # a step's change needs the step before: both sides of the difference are emitted and summed
     share = F.array(
@@ -120,5 +120,5 @@ def shapley_sample(
             F.explode(F.arrays_zip(F.lit(list(classes)).alias("c"), F.col("out").alias("o"))).alias("z"),
         )
         .groupBy("sample_id", F.col("z.c").alias("class"), F.element_at(F.lit(list(names)), F.col("j") + 1).alias("feature"))
-        .agg((F.sum(F.col("s") * F.col("z.o")) / n_perm).alias("phi"))
+        .agg((F.sum(F.col("s") * F.col("z.o")) / (m * rounds)).alias("phi"))
     )

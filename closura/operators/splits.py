@@ -22,7 +22,7 @@ STRATUM = "_stratum"
 def require_columns(samples: DataFrame, cols: list[str]) -> None:
     missing = [c for c in cols if c not in samples.columns]
     if missing:
-        raise ValueError("Stratification columns not found in data: " + ", ".join(missing))
+        raise ValueError("No such columns to stratify by: " + ", ".join(missing))
 
 
 def inconstant_groups(samples: DataFrame, group: str, stratify: list[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def inconstant_groups(samples: DataFrame, group: str, stratify: list[str]) -> Da
 def require_constant(samples: DataFrame, group: str, stratify: list[str]) -> None:
     bad = [str(r[0]) for r in inconstant_groups(samples, group, stratify).limit(20).collect()]
     if bad:
-        raise ValueError("Stratification columns must be constant within each group; found multiple values for: " + ", ".join(bad))
+        raise ValueError("A group must lie in one stratum; these lie in several: " + ", ".join(bad))
 
 
 def group_count(samples: DataFrame, group: str) -> int:
@@ -64,6 +64,8 @@ def _check(samples: DataFrame, group: str | None, stratify: list[str] | None, gr
     if stratify:
         require_columns(samples, stratify)
     if group:
+        if not samples.where(F.col(group).isNull()).isEmpty():
+            raise ValueError(f"'{group}' has missing values; every sample needs a group.")
         require_groups(samples, group, groups_needed)
         if stratify:
             require_constant(samples, group, stratify)

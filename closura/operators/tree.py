@@ -149,11 +149,12 @@ def matrix_columns(matrix: DataFrame) -> DataFrame:
 def log_geom(samples: DataFrame, abund: DataFrame, matrix: DataFrame, columns: DataFrame) -> DataFrame:
     """sample_id, x: per node the mean of ln(value + pseudocount) over its leaves.
 
-    Only non-zero cells are joined; a node's zero leaves add a constant, and a node without
+    Of tables with windows the present snapshot (``t_off`` 0) is taken. Only non-zero cells are joined; a node's zero leaves add a constant, and a node without
     any non-zero leaf is filled with it, so no samples x nodes grid is built.
     """
     floor = F.lit(PSEUDOCOUNT)
     width = columns.count()
+    samples, abund = (df.where("t_off = 0") if "t_off" in df.columns else df for df in (samples, abund))
     per_node = (
         abund.select("sample_id", F.col("feature_id").alias("tip"), F.log(F.col("value") + floor).alias("_l"))
         .join(matrix.select("tip", "node").join(columns, "node"), "tip")

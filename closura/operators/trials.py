@@ -185,10 +185,12 @@ def metric_quartiles(trials: DataFrame, metric: str, group: str, tie: str) -> Da
 
 
 def varying_columns(trials: DataFrame, ignore: tuple[str, ...] = ("artifact_uri",)) -> DataFrame:
-    """Only the columns with more than one distinct non-null value."""
+    """Only the columns with more than one distinct value besides null and NaN."""
     quoted = {c: F.col(f"`{c}`") for c in trials.columns if c not in ignore}
+    floating = {c for c, kind in trials.dtypes if kind in ("float", "double")}
+    value = {c: F.when(~F.isnan(q), q) if c in floating else q for c, q in quoted.items()}
     # smallest and largest differ exactly when there are two distinct values: no distinct expansion
-    row = trials.agg(*[(F.min(q) < F.max(q)).alias(c) for c, q in quoted.items()]).first().asDict()
+    row = trials.agg(*[(F.min(q) < F.max(q)).alias(c) for c, q in value.items()]).first().asDict()
     return trials.select(*[quoted[c] for c in quoted if row[c]])
 
 

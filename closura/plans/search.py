@@ -194,6 +194,8 @@ def evaluate_candidates(
         if cfg.enrich_with:
             check_enrich_nulls(ds.samples.where("present"), list(cfg.enrich_with), sorted({t["model_type"] for t in members}))
         if kind0 == "log_contrast":
+            if ds.n_prev:
+                raise ValueError("log_contrast has no snapshots; leave it out for windowed data")
             x = log_geom(ds.samples, ds.abund, tree.matrix, tree.columns).join(folds, "sample_id")
             fits = F.array(*[F.lit(f) for f in range(k)])
             x = x.withColumn("fit", F.explode(fits)).withColumn("split", F.when(F.col("fold") == F.col("fit"), "val").otherwise("train"))
@@ -302,6 +304,8 @@ def refit(
         params["n_estimators"] = rounds
     y, classes = _target(ds, target, kind)
     if kind == "log_contrast":
+        if ds.n_prev:
+            raise ValueError("log_contrast has no snapshots; leave it out for windowed data")
         x = materialize(log_geom(ds.samples, ds.abund, tree.matrix, tree.columns).join(y, "sample_id"))
         return TunedModel(fit_log_contrast(x, tree.n_leaves(), params["lambda"]), Config(), None, None, None, tree)
     cfg = _config(row, enrich_with)

@@ -295,9 +295,9 @@ _K = 3
 _FOLDED = f"fo AS (SELECT sample_id, (row_number() OVER (ORDER BY {hash_sql(11, 'sample_id')}, sample_id) - 1) % {_K} AS fold FROM ids)"
 
 
-def _m3_sql(low: str, group: str, tail: str) -> str:
+def _m3_sql(low: str, group: str, tail: str, cells: str = b.PREPARED) -> str:
     return with_(
-        b.PREPARED, _IDS, _FOLDED,
+        cells, _IDS, _FOLDED,
         "fits AS (SELECT unnest([0, 1, 2, -1]) AS fit)",
         "feats AS (SELECT DISTINCT feature_id FROM abund)",
         "grid AS (SELECT i.sample_id, fold, f.feature_id, coalesce(a.value, 0) AS value FROM fo i CROSS JOIN feats f LEFT JOIN abund a ON a.sample_id = i.sample_id AND a.feature_id = f.feature_id)",
@@ -346,10 +346,11 @@ low AS (SELECT fit, feature_id FROM o JOIN edge USING (fit) WHERE cum <= e AND t
       SELECT fit, arg_min(feature_id, struct_pack(a := -cnt, b := is_group, c := feature_id)) AS dfeat FROM (
         SELECT fit, feature_id, is_group, count_if(value <> 0 AND fold <> fit) AS cnt FROM eps GROUP BY ALL) GROUP BY 1) USING (fit) WHERE feature_id = dfeat) d
     ON d.fit = e.fit AND d.sample_id = e.sample_id WHERE feature_id <> dfeat)""",
+        b.SKEWED,
     ),
 )
 def _(spark, sf):
-    ds = b.basket_dataset(spark, sf)
+    ds = b.skewed_dataset(spark, sf)
     folds = assign_folds(ds.samples, _K, 11)
     x, _f = eng.engineer_folds(ds, folds, _K, eng.Config(selection="abundance_ith", i=3, transform="alr"))
     return x.select("sample_id", "fit", "split", F.posexplode_outer("x").alias("pos", "value")).withColumn("value", F.round(F.ln("value"), 9))
@@ -448,24 +449,27 @@ def _(spark, sf):
     return snap.time_labels(activity_windows(spark, sf).abund)
 
 
+_EVENT_FEATURES = ("Fclick", "Ferror", "Fpurchase", "Fsignup", "Fview")
+
+
 @query(
     "P9_to_wide",
     with_(
         b.ACTIVITY, _WINDOWS, _WCELLS,
-        select="SELECT s.sample_id, s.host, s.time, s.peak, "
+        select="SELECT s.sample_id, s.host, s.time, s.peak, s.host AS \"host__t-1\", coalesce(l1.time, s.time - 1) AS \"time__t-1\", l1.peak AS \"peak__t-1\", "
         + ", ".join(
             f"""(SELECT CASE WHEN max(l.source_id) IS NULL THEN NULL ELSE {rd(f"coalesce(max(CASE WHEN w.feature_id = '{f}' THEN w.value END), 0)")} END FROM links l
     LEFT JOIN wcells w ON w.sample_id = l.sample_id AND w.t_off = l.t_off WHERE l.sample_id = s.sample_id AND l.t_off = {k}) AS "{f}{'' if k == 0 else f'__t-{k}'}" """
             for k in range(2)
-            for f in ("Fclick", "Ferror")
+            for f in _EVENT_FEATURES
         )
-        + " FROM asamples s",
+        + " FROM asamples s JOIN links l0 ON l0.sample_id = s.sample_id AND l0.t_off = 1 LEFT JOIN asamples l1 ON l1.sample_id = l0.source_id",
     ),
 )
 def _(spark, sf):
     wide = snap.to_wide(activity_windows(spark, sf, n_prev=1), ["host", "time", "peak"])
-    cells = [F.round(F.col(f"`{f}`"), 9).alias(f) for k in ("", "__t-1") for f in (f"Fclick{k}", f"Ferror{k}")]
-    return wide.select("sample_id", "host", "time", "peak", *cells)
+    cells = {f"{f}{k}" for k in ("", "__t-1") for f in _EVENT_FEATURES}
+    return wide.select(*[F.round(F.col(f"`{c}`"), 9).alias(c) if c in cells else F.col(f"`{c}`") for c in wide.columns])
 
 
 @query("P12_missing_rows", with_(b.ACTIVITY, _WINDOWS, select="SELECT sample_id FROM links WHERE t_off = 2 AND source_id IS NULL"))

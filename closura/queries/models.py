@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from closura import bindings as b
 from closura.models import explain as ex
-from closura.models.estimators import fit_model
+from closura.models.estimators import Fitted, fit_model
 from closura.models.log_contrast import gram
 from closura.operators import metrics as m
 from closura.operators import tree as tr
@@ -150,42 +150,64 @@ _KINDS = {
     "M8_rf": ("rf", {"n_estimators": 20, "max_depth": 5, "max_features": "sqrt"}),
     "M8_rf_class": ("rf_class", {"n_estimators": 20, "max_depth": 5, "max_features": "sqrt"}),
     "M9_gbt": ("gbt", {"n_estimators": 20, "max_depth": 3}),
+    "M10_gbt_class": ("gbt_class", {"n_estimators": 5, "max_depth": 2}),
     "M11_mlp_class": ("mlp_class", {"n_hidden_layers": 1, "width": 16, "epochs": 30}),
     "M12_ordinal": ("ordinal", {"C": 1.0}),
 }
 
 
+_BETTER = with_(
+    "v AS (SELECT label AS y, vec_id % 5 = 0 AS held FROM embeddings)",
+    select="SELECT held, count(*) AS n, true AS in_range, true AS no_worse FROM v GROUP BY 1",
+)
+
+
+def _judged(scored, k: int | None):
+    """Per part (held out or not): all rows scored, predictions within the labels' range, and, where the
+    model was fitted, no worse than the label's mean or most frequent class."""
+    held = F.col("sample_id").cast("bigint") % 5 == 0
+    rows = scored.select(held.alias("held"), F.col("y").alias("label"), "prediction", *(["proba"] if k else []))
+    if k:
+        fine = F.col("prediction").between(0, k - 1) & (F.abs(F.aggregate("proba", F.lit(0.0), lambda a, p: a + p) - 1) < 1e-9) & (F.size("proba") == k)
+        top = rows.groupBy("held", "label").count().groupBy("held").agg(F.max("count").alias("base"))
+        per = rows.groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.every(fine).alias("in_range"), F.count_if(F.col("prediction") == F.col("label")).alias("hits"))
+        return per.join(top, "held").select("held", "n", "in_range", (F.col("held") | (F.col("hits") >= F.col("base"))).alias("no_worse"))
+    error = F.sum((F.col("prediction") - F.col("label")) ** 2)
+    return rows.groupBy("held").agg(
+        F.count(F.lit(1)).alias("n"), F.every(~F.isnan("prediction")).alias("in_range"),
+        (F.first("held") | (error <= F.var_pop("label") * F.count(F.lit(1)) * (1 + 1e-9))).alias("no_worse"),
+    )
+
+
 def _register_model(name: str, kind: str, params: dict) -> None:
-    @query(name)
+    @query(name, _BETTER)
     def _(spark, sf):
-        v = materialize(vectors(spark, sf))
+        v = materialize(vectors(spark, sf).withColumn("features", array_to_vector("x")))
         k = _n_classes(v)
-        train = _train(v).cache()
+        train = v.where(F.col("sample_id").cast("bigint") % 5 != 0).select("sample_id", "features", F.col("y").alias("label"))
         fitted = fit_model(kind, train, params, n_classes=k, seed=1)
-        return fitted.score(train).drop("features")
+        return _judged(fitted.score(v.select("sample_id", "features", "y")), k if fitted.has_proba else None)
 
 
 for _name, (_kind, _p) in _KINDS.items():
     _register_model(_name, _kind, _p)
 
 
-@query("M10_gbt_class")
-def _(spark, sf):
-    v = materialize(vectors(spark, sf).withColumn("y", F.col("y") % 3))
-    train = _train(v).cache()
-    return fit_model("gbt_class", train, {"n_estimators": 5, "max_depth": 2}, n_classes=3, seed=1).score(train).drop("features")
-
-
 def basket_tree(spark, sf) -> se.Tree:
     matrix = materialize(tr.tip_ancestors(b.supplier_tree(spark, sf)))
     return se.Tree(matrix, materialize(tr.matrix_columns(matrix)))
 
 
-@query("M7_log_contrast")
+@query("M7_log_contrast", with_(b.TREE, select="SELECT node AS feature, true AS balanced, true AS finite FROM edges WHERE is_tip"))
 def _(spark, sf):
+    """The coefficient of every tip is there and finite; all coefficients, nodes included, add up to zero."""
     ds = b.basket_dataset(spark, sf)
     tm = se.refit(ds, "acctbal", "log_contrast", {"lambda": 0.1}, tree=basket_tree(spark, sf))
-    return ex.coefficients(spark, tm.fitted, tm.names)
+    table = ex.coefficients(spark, tm.fitted, tm.names)
+    total = table.agg(F.sum("coefficient"), F.max("abs_coefficient")).first()
+    balanced = abs(total[0]) <= 1e-6 * max(1.0, total[1])
+    tips = b.supplier_tree(spark, sf).where("is_tip").select(F.col("node").alias("feature"))
+    return tips.join(table, "feature").select("feature", F.lit(balanced).alias("balanced"), (~F.isnan("coefficient")).alias("finite"))
 
 
 _U = lambda name: f"(({hash_sql(5, f'''trial || '|{name}' ''')} + 0.5) / 4294967296.0::DOUBLE)"
@@ -236,34 +258,62 @@ def _(spark, sf):
     return ex.coefficients(spark, tm.fitted, tm.names)
 
 
-@query("M17_predict")
+@query("M17_predict", with_(b.CELLS, b.ALIGNED, select="SELECT sample_id, segment AS label, true AS known, true AS likeliest FROM samples"))
 def _(spark, sf):
+    """Every sample's prediction is a class of the training data, the one of the greatest probability."""
     ds, tm = _tuned(spark, sf)
-    return tm.predict(ds, "segment").drop("proba")
+    best = F.get(F.lit(tm.classes), (F.array_position("proba", F.array_max("proba")) - 1).cast("int"))
+    return tm.predict(ds, "segment").select("sample_id", "label", F.col("pred").isin(tm.classes).alias("known"), (F.col("pred") == best).alias("likeliest"))
 
 
-@query("M18_predict_proba")
+@query(
+    "M18_predict_proba",
+    with_(b.CELLS, b.ALIGNED, "c AS (SELECT count(DISTINCT segment) AS n FROM samples)", select="SELECT sample_id, n AS classes, 1.0::DOUBLE AS total FROM samples, c"),
+)
 def _(spark, sf):
     ds, tm = _tuned(spark, sf)
-    return tm.predict_proba(ds)
+    rows = tm.predict_proba(ds).groupBy("sample_id")
+    return rows.agg(F.count_distinct("class").alias("classes"), F.round(F.sum("proba"), 9).alias("total"))
 
 
-@query("S9_save_and_load_model")
+@query("S9_save_and_load_model", with_(b.CELLS, b.ALIGNED, select="SELECT sample_id, true AS same FROM samples"))
 def _(spark, sf):
+    """A saved and loaded model predicts as before."""
     ds, tm = _tuned(spark, sf)
     path = _new(spark, "model")
     se.save_model(tm, path)
-    return se.load_model(spark, path).predict(ds).drop("proba")
+    before, after = (x.predict(ds).select("sample_id", F.struct("pred", "proba").alias(n)) for x, n in ((tm, "a"), (se.load_model(spark, path), "b")))
+    return before.join(after, "sample_id").select("sample_id", (F.col("a") == F.col("b")).alias("same"))
 
 
-@query("M20_coefficients")
+@query(
+    "M20_coefficients",
+    with_(
+        b.CELLS, b.ALIGNED,
+        select="SELECT class, 9::BIGINT AS features, true AS magnitudes FROM (SELECT DISTINCT segment AS class FROM samples)",
+    ),
+)
 def _(spark, sf):
+    """Eight chosen suppliers and the group, for every class; magnitudes are absolute values."""
     _ds, tm = _tuned(spark, sf)
-    return ex.coefficients(spark, tm.fitted, tm.names, tm.classes)
+    table = ex.coefficients(spark, tm.fitted, tm.names, tm.classes)
+    same = F.col("abs_coefficient") == F.abs("coefficient")
+    return table.groupBy("class").agg(F.count_distinct("feature").alias("features"), F.every(same).alias("magnitudes"))
 
 
-@query("M22_shapley_sample")
+@query(
+    "M22_shapley_sample",
+    with_(
+        "x AS (SELECT vec_id, (j - 1)::INTEGER AS j, embedding[j]::DOUBLE AS v FROM embeddings, range(1, 65) r(j))",
+        "mu AS (SELECT j, avg(v) AS mu FROM x GROUP BY 1)",
+        select=f"""SELECT vec_id::VARCHAR AS sample_id, 'y' AS class, 'x' || j::VARCHAR AS feature, {rd(f'{_WEIGHTS} * (v - mu)', 7)} AS phi
+  FROM x JOIN mu USING (j) WHERE vec_id % 50 = 0""",
+    ),
+)
 def _(spark, sf):
+    """A linear model, whose Shapley values are known: every fiftieth vector against all vectors."""
     v = materialize(vectors(spark, sf))
-    fitted = fit_model("linreg", _train(v), {"alpha": 0.01, "l1_ratio": 0.5})
-    return ex.shapley_sample(fitted, v, v, [f"x{j}" for j in range(64)], ["y"], n_perm=2, max_background=5)
+    fixed = Fitted("log_contrast", {}, {"intercept": 1.0, "coef": [((j % 5) - 2) / 10 for j in range(64)], "width": 64, "n_classes": None})
+    phi = ex.shapley_sample(fixed, v.where(F.col("sample_id").cast("bigint") % 50 == 0), v, [f"x{j}" for j in range(64)], ["y"])
+    # sums of millions of terms may end as a negative zero
+    return phi.withColumn("phi", F.round("phi", 7) + F.lit(0.0))

@@ -258,8 +258,8 @@ frozen AS (SELECT feature_id, false AS is_group FROM fstats, g WHERE NOT (groupe
 _PARAMS = {
     "abundance_ith": {"i": 5},
     "variance_ith": {"i": 5},
-    "abundance_topi": {"i": 10},
-    "variance_topi": {"i": 10},
+    "abundance_topi": {"i": 6},
+    "variance_topi": {"i": 6},
     "abundance_quantile": {"q": 0.7},
     "variance_quantile": {"q": 0.7},
     "abundance_threshold": {"t": 15.0},
@@ -273,7 +273,7 @@ def _register_selection(code: str, method: str, p: dict) -> None:
     @query(
         f"{code}_select_{method}",
         with_(
-            b.PREPARED,
+            b.SKEWED,
             _GRID,
             _STATS,
             *_low_sql(method, **p),
@@ -283,7 +283,7 @@ def _register_selection(code: str, method: str, p: dict) -> None:
         ),
     )
     def _(spark, sf):
-        ds = b.basket_dataset(spark, sf)
+        ds = b.skewed_dataset(spark, sf)
         frozen = sel.fit_selection(ds.abund, method, ds.samples.count(), **p)
         return sel.apply_selection(ds.abund, frozen).select("sample_id", "feature_id", _r("value"))
 
@@ -298,14 +298,14 @@ for _i, (_m, _p) in enumerate(_PARAMS.items(), 1):
         b.PREPARED,
         _GRID,
         _STATS,
-        *_low_sql("abundance_topi", i=10),
+        *_low_sql("abundance_topi", i=6),
         _FROZEN.format(group="F_low_abun"),
         select="SELECT (row_number() OVER (ORDER BY is_group, feature_id) - 1)::INTEGER AS pos, feature_id, is_group, count(*) OVER () AS n_selected FROM frozen",
     ),
 )
 def _(spark, sf):
     ds = b.basket_dataset(spark, sf)
-    return sel.fit_selection(ds.abund, "abundance_topi", ds.samples.count(), i=10)
+    return sel.fit_selection(ds.abund, "abundance_topi", ds.samples.count(), i=6)
 
 
 @query(
@@ -337,7 +337,7 @@ def _(spark, sf):
 
 # --- reindexing and transforms ------------------------------------------------------------
 
-_TOP10 = [b.PREPARED, _GRID, _STATS, *_low_sql("abundance_topi", i=10), _FROZEN.format(group="F_low_abun"),
+_TOP6 = [b.PREPARED, _GRID, _STATS, *_low_sql("abundance_topi", i=6), _FROZEN.format(group="F_low_abun"),
           """sel AS (SELECT g.sample_id, coalesce(f.feature_id, 'F_low_abun') AS feature_id, sum(g.value) AS value
    FROM grid g LEFT JOIN frozen f USING (feature_id) GROUP BY 1, 2)""",
           """pos AS (SELECT feature_id, row_number() OVER (ORDER BY is_group, feature_id) - 1 AS pos FROM frozen)""",
@@ -345,10 +345,10 @@ _TOP10 = [b.PREPARED, _GRID, _STATS, *_low_sql("abundance_topi", i=10), _FROZEN.
           "eps AS (SELECT *, CASE WHEN value = 0 THEN 1e-9 ELSE value END AS v FROM dense)"]
 
 
-def top10(spark, sf):
-    """Baskets after abundance_topi (i=10) as dense rows, with their frozen features."""
+def top6(spark, sf):
+    """Baskets after abundance_topi (i=6) as dense rows, with their frozen features."""
     ds = b.basket_dataset(spark, sf)
-    frozen = sel.fit_selection(ds.abund, "abundance_topi", ds.samples.count(), i=10)
+    frozen = sel.fit_selection(ds.abund, "abundance_topi", ds.samples.count(), i=6)
     return dense_rows(ds.samples.select("sample_id"), ds.abund, frozen), frozen
 
 
@@ -361,24 +361,24 @@ def cells_of(frame, frozen, out="value", names="feature_id"):
     return long.join(frozen.select("pos", F.col("feature_id").alias(names)), "pos").select("sample_id", names, F.round(out, 9).alias(out))
 
 
-@query("J7_apply_selection_dense", with_(*_TOP10, select=f"SELECT sample_id, feature_id, {rd('value')} AS value FROM dense"))
+@query("J7_apply_selection_dense", with_(*_TOP6, select=f"SELECT sample_id, feature_id, {rd('value')} AS value FROM dense"))
 def _(spark, sf):
-    return cells_of(*top10(spark, sf))
+    return cells_of(*top6(spark, sf))
 
 
-@query("F1_pseudocount", with_(*_TOP10, select=f"SELECT sample_id, feature_id, {rd('ln(v)')} AS value FROM eps"))
+@query("F1_pseudocount", with_(*_TOP6, select=f"SELECT sample_id, feature_id, {rd('ln(v)')} AS value FROM eps"))
 def _(spark, sf):
-    x, frozen = top10(spark, sf)
+    x, frozen = top6(spark, sf)
     return cells_of(x.withColumn("x", F.transform(rows.pseudocount(F.col("x")), F.ln)), frozen)
 
 
 CLR_SQL = with_(
-    *_TOP10, select=f"SELECT sample_id, feature_id, {rd('ln(v) - avg(ln(v)) OVER (PARTITION BY sample_id)')} AS clr FROM eps"
+    *_TOP6, select=f"SELECT sample_id, feature_id, {rd('ln(v) - avg(ln(v)) OVER (PARTITION BY sample_id)')} AS clr FROM eps"
 )
 
 
 def clr_query(spark, sf):
-    x, frozen = top10(spark, sf)
+    x, frozen = top6(spark, sf)
     return cells_of(x.withColumn("x", rows.clr(rows.pseudocount(F.col("x")))), frozen, "clr")
 
 
@@ -388,51 +388,51 @@ query("F2_clr", CLR_SQL)(clr_query)
 @query(
     "F3_ilr",
     with_(
-        *_TOP10,
+        *_TOP6,
         "l AS (SELECT sample_id, pos, ln(v) AS lv, avg(ln(v)) OVER (PARTITION BY sample_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM eps)",
         select=f"SELECT sample_id, (pos - 1)::INTEGER AS pos, {rd('sqrt(pos / (pos + 1.0)) * (m - lv)')} AS ilr FROM l WHERE pos >= 1",
     ),
 )
 def _(spark, sf):
-    x, frozen = top10(spark, sf)
+    x, frozen = top6(spark, sf)
     return cells_of(x.withColumn("x", rows.ilr(rows.pseudocount(F.col("x")))), frozen, "ilr", None)
 
 
 @query(
     "F4_alr",
     with_(
-        *_TOP10,
+        *_TOP6,
         "nz AS (SELECT pos FROM dense GROUP BY pos ORDER BY count_if(value <> 0) DESC, pos LIMIT 1)",
         "d AS (SELECT sample_id, v AS dv FROM eps WHERE pos = (SELECT pos FROM nz))",
-        select=f"""SELECT sample_id, (CASE WHEN pos > (SELECT pos FROM nz) THEN pos - 1 ELSE pos END)::INTEGER AS pos, round(least(v / dv, 1000), 12) AS alr,
+        select=f"""SELECT sample_id, (CASE WHEN pos > (SELECT pos FROM nz) THEN pos - 1 ELSE pos END)::INTEGER AS pos, printf('%.9e', v / dv) AS alr,
    {rd('ln(v / dv)')} AS alr_log FROM eps JOIN d USING (sample_id) WHERE pos <> (SELECT pos FROM nz)""",
     ),
 )
 def _(spark, sf):
-    x, frozen = top10(spark, sf)
+    x, frozen = top6(spark, sf)
     ds = b.basket_dataset(spark, sf)
     d = stats.alr_denominator(sel.apply_selection(ds.abund, frozen).drop("pos"), frozen.select("feature_id", "pos")).first()["pos"]
     x = rows.pseudocount(F.col("x")), x
     pair = F.arrays_zip(rows.alr(x[0], d).alias("a"), rows.alr_log(x[0], d).alias("l"))
     return x[1].select("sample_id", F.posexplode_outer(pair).alias("pos", "p")).select(
-        "sample_id", "pos", F.round(F.least("p.a", F.lit(1000.0)), 12).alias("alr"), F.round("p.l", 9).alias("alr_log")
+        "sample_id", "pos", F.format_string("%.9e", "p.a").alias("alr"), F.round("p.l", 9).alias("alr_log")
     )
 
 
-@query("F5_presence_absence", with_(*_TOP10, select="SELECT sample_id, feature_id, CASE WHEN value <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pa FROM dense"))
+@query("F5_presence_absence", with_(*_TOP6, select="SELECT sample_id, feature_id, CASE WHEN value <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pa FROM dense"))
 def _(spark, sf):
-    x, frozen = top10(spark, sf)
+    x, frozen = top6(spark, sf)
     return cells_of(x.withColumn("x", rows.presence_absence(F.col("x"))), frozen, "pa")
 
 
 @query(
     "F6_rank_row",
     with_(
-        *_TOP10,
+        *_TOP6,
         "k AS (SELECT sample_id, feature_id, value, rank() OVER (PARTITION BY sample_id ORDER BY value DESC) AS r FROM dense)",
         select="SELECT sample_id, feature_id, r + (count(*) OVER (PARTITION BY sample_id, value) - 1) / 2.0::DOUBLE AS rank FROM k",
     ),
 )
 def _(spark, sf):
-    x, frozen = top10(spark, sf)
+    x, frozen = top6(spark, sf)
     return cells_of(x.withColumn("x", rows.rank_row(F.col("x"))), frozen, "rank")

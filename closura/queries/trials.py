@@ -148,10 +148,11 @@ def _(spark, sf):
     return _round(t.failure_summary(runs), "failure_rate").withColumn("error_classes", F.array_join("error_classes", ","))
 
 
-@query("P13_varying_columns", "SELECT event_id, ts, value FROM events WHERE event_type = 'error'")
+@query("P13_varying_columns", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def _(spark, sf):
-    ev = b.table(spark, sf, "events").where("event_type = 'error'")
-    return t.varying_columns(ev.withColumn("fixed", F.lit("x")), ignore=("artifact_uri", "props", "user_id"))
+    """Columns that hold one value, besides nulls and NaN, go."""
+    nan = F.when(F.col("event_id") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(3.0))
+    return t.varying_columns(b.table(spark, sf, "events").withColumns({"fixed": F.lit("x"), "one_or_nan": nan}))
 
 
 @query("P14_surviving_trials", with_(_RUNS, select="SELECT CASE WHEN status = 'FINISHED' THEN 'kept' ELSE 'skipped' END AS outcome, run_id FROM runs WHERE status = 'FINISHED' OR value IS NOT NULL"))

@@ -17,7 +17,8 @@ def _first_as_id(df: DataFrame) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str, schema: StructType | None = None, directives: bool = False) -> DataFrame:
-    """Samples as rows; the first column is the id. Types come from ``schema`` or are inferred.
+    """Samples as rows; the first column is the id and stays text. Types of the others come from
+    ``schema`` or are inferred.
 
     ``directives`` drops ``#q2:`` rows before types are inferred: they would turn every column
     into text."""
@@ -25,10 +26,8 @@ def read_metadata(spark: SparkSession, path: str, schema: StructType | None = No
     if schema is not None:
         df = reader.schema(schema).csv(path)
         return _first_as_id(df).where(~F.col("sample_id").startswith(DIRECTIVE)) if directives else _first_as_id(df)
-    if not directives:
-        return _first_as_id(reader.option("inferSchema", True).csv(path))
-    text = _first_as_id(reader.csv(path)).where(~F.col("sample_id").startswith(DIRECTIVE))
-    return _typed(text)
+    text = _first_as_id(reader.csv(path))
+    return _typed(text.where(~F.col("sample_id").startswith(DIRECTIVE)) if directives else text)
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -63,17 +62,21 @@ def melt_wide(df: DataFrame) -> DataFrame:
 
 
 def read_features_tall(spark: SparkSession, path: str) -> DataFrame:
-    """Features as rows, samples as columns, one comment line on top -> the same long form.
-
-    The comment is a line of its own; the header that follows may start with ``#`` too."""
-    top = spark.read.text(path).limit(2).collect()
-    header = [line[0] for line in top if len(line[0].split("\t")) > 1][0]
-    names = header.split("\t")
-    schema = ", ".join(f"`{n.replace('`', '')}` string" for n in ["feature_id", *names[1:]])
-    body = spark.read.option("sep", "\t").schema(schema).csv(path)
-    first = names[0]
-    skip = F.col("feature_id").isin(first) | F.col(f"`{names[1]}`").isNull()
-    return _long(body.where(~skip), "feature_id", "sample_id").select("sample_id", "feature_id", "value")
+    """Features as rows, samples as columns, a comment line on top -> the same long form.
+
+    The comment stands before the header and holds no tab; every later line does. The header may
+    start with ``#`` too. Blank cells are zeros."""
+    lines = spark.read.text(path).where(F.contains("value", F.lit("\t")))
+    top = lines.first()
+    if top is None:
+        return spark.createDataFrame([], "sample_id string, feature_id string, value double")
+    names = [n.strip('"') for n in top[0].split("\t")]
+    cells = lines.where(F.col("value") != top[0]).select(F.split("value", "\t").alias("row"))
+    unquoted = F.regexp_replace(F.col("row")[0], '^"(.*)"$', "$1")
+    cells = cells.select(unquoted.alias("feature_id"), F.posexplode(F.slice("row", 2, len(names) - 1)).alias("at", "text"))
+    value = F.expr("try_cast(trim(text) AS double)")
+    named = F.get(F.lit(names[1:]), F.col("at"))
+    return cells.select(named.alias("sample_id"), "feature_id", value.alias("value")).where("value <> 0")
 
 
 def read_taxonomy(spark: SparkSession, path: str, prefix: str = "F") -> DataFrame:

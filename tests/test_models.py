@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from closura.models import explain as ex
 from closura.models import log_contrast as lc
-from closura.models.estimators import first_unbeaten, fit_model, to_features
+from closura.models.estimators import Fitted, first_unbeaten, fit_model, to_features
 from closura.operators import tree as tr
 from closura.operators.prepare import build_dataset
 from closura.plans import search as se
@@ -240,3 +240,13 @@ def test_log_contrast_through_the_tree(spark, ds, tmp_path):
     again = se.load_model(spark, str(tmp_path / "lc"))
     a, b = (sorted((r["sample_id"], r["pred"]) for r in m.predict(ds).collect()) for m in (tm, again))
     assert a == b
+
+
+def test_sampled_shapley_uses_every_background_row(spark):
+    fixed = Fitted("log_contrast", {}, {"intercept": 5.0, "coef": [1.0, -2.0, 3.0], "width": 3, "n_classes": None})
+    back = RNG.normal(size=(70, 3)) * [1, 10, 100]
+    rows = spark.createDataFrame([("a", [1.0, 2.0, 3.0])], "sample_id string, x array<double>")
+    background = spark.createDataFrame([(f"b{i}", [float(v) for v in x]) for i, x in enumerate(back)], "sample_id string, x array<double>")
+    phi = {r["feature"]: r["phi"] for r in ex.shapley_sample(fixed, rows, background, list("pqr"), ["y"], n_perm=2).collect()}
+    want = np.array([1.0, -2.0, 3.0]) * (np.array([1.0, 2.0, 3.0]) - back.mean(0))
+    assert np.allclose([phi[f] for f in "pqr"], want)

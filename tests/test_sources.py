@@ -32,6 +32,18 @@ def test_feature_tables_both_ways(spark, tmp_path):
     assert wide(io.read_features_tall(spark, t)) == {"a.1": {"s1": 1.0}, "b": {"s2": 2.5}}
 
 
+def test_ids_stay_text(spark, tmp_path):
+    path = write(tmp_path, "md.tsv", "id\tage\n0012\t3\n7\t4\n")
+    for directives in (False, True):
+        df = io.read_metadata(spark, path, directives=directives)
+        assert sorted(r["sample_id"] for r in df.collect()) == ["0012", "7"] and df.schema["age"].dataType == T.LongType()
+
+
+def test_blank_cells_of_a_tall_table_are_zeros(spark, tmp_path):
+    t = write(tmp_path, "t.tsv", "# comment\n#OTU ID\ts1\ts2\na\t\t2\nb\t1\t\n")
+    assert wide(io.read_features_tall(spark, t)) == {"a": {"s2": 2.0}, "b": {"s1": 1.0}}
+
+
 def test_taxonomy(spark, tmp_path):
     path = write(tmp_path, "tax.tsv", "Feature ID\tTaxon\tConfidence\nx1\td__A; p__B\t0.9\n")
     r = io.read_taxonomy(spark, path).first()
