@@ -65,9 +65,8 @@ CUSTOMERS = """customers AS (
 
 
 def baskets(spark: SparkSession, sf: str) -> DataFrame:
-    """Prepared cells: prefixed, zero-free, closed. The join behind them is run once and written,
-    because preparation reads its input for feature totals, sample totals and the division."""
-    return prepare_features(materialize(basket_cells(spark, sf)))
+    """Prepared cells: prefixed, zero-free, closed."""
+    return prepare_features(basket_cells(spark, sf))
 
 
 PREPARED = (
@@ -88,7 +87,7 @@ def skewed_baskets(spark: SparkSession, sf: str) -> DataFrame:
     """As ``baskets``, with quantities halved again and again along the supplier key, so that a few
     suppliers hold most of the total. Powers of two keep every sum exact."""
     power = F.pow(F.lit(2.0), -((F.col("feature_id").cast("bigint") - 1) % 12))
-    return prepare_features(materialize(basket_cells(spark, sf).withColumn("value", F.col("value") * power)))
+    return prepare_features(basket_cells(spark, sf).withColumn("value", F.col("value") * power))
 
 
 SKEWED = PREPARED.replace("sum(l_quantity) AS value", "sum(l_quantity) * pow(2.0, -((l_suppkey - 1) % 12)) AS value").replace(

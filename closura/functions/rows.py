@@ -68,12 +68,13 @@ def clr(x: Column) -> Column:
 def _by_width(xs: pd.Series, fn) -> pd.Series:
     """Apply a matrix function to the rows of equal width in an Arrow batch; NULL stays NULL."""
     out = np.empty(len(xs), dtype=object)
-    widths = np.array([-1 if x is None else len(x) for x in xs])
+    arrays = xs.to_numpy()
+    widths = np.array([-1 if x is None else len(x) for x in arrays])
     for w in np.unique(widths):
         rows = np.flatnonzero(widths == w)
         if w < 0:
             continue
-        block = fn(np.array([xs.iloc[r] for r in rows], dtype=float).reshape(len(rows), w))
+        block = fn(np.concatenate(arrays[rows]).astype(float).reshape(len(rows), w))
         for r, row in zip(rows, block):
             out[r] = row
     return pd.Series(out)
@@ -88,14 +89,17 @@ def _ilr_block(m: np.ndarray) -> np.ndarray:
 
 
 def _rank_block(m: np.ndarray) -> np.ndarray:
-    out = np.full(m.shape, np.nan)
-    for r in range(m.shape[0]):
-        v = m[r]
-        ok = ~np.isnan(v)
-        s = np.sort(v[ok])
-        above = len(s) - np.searchsorted(s, v[ok], side="right")
-        equal = len(s) - above - np.searchsorted(s, v[ok], side="left")
-        out[r, ok] = above + (equal + 1) / 2
+    """Descending ranks along the rows; ties get their mean, NaN stays."""
+    order = np.argsort(-m, axis=1, kind="stable")  # NaN comes last
+    v = np.take_along_axis(m, order, 1)
+    at = np.arange(m.shape[1])
+    first, last = np.ones((2, *m.shape), bool)
+    first[:, 1:] = last[:, :-1] = v[:, 1:] != v[:, :-1]
+    begin = np.maximum.accumulate(np.where(first, at, 0), axis=1)
+    end = np.minimum.accumulate(np.where(last, at, m.shape[1])[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(m.shape)
+    np.put_along_axis(out, order, (begin + end) / 2 + 1, 1)
+    out[np.isnan(m)] = np.nan
     return out
 
 
@@ -138,8 +142,9 @@ def presence_absence(x: Column) -> Column:
 
 def one_hot(value: Column, universe: list[str]) -> Column:
     """Drop-first indicator array over a sorted level list; NULL and unknown give zeros."""
-    levels = [F.when(value.cast("string").eqNullSafe(F.lit(c)), 1.0).otherwise(0.0) for c in universe[1:]]
-    return F.array(*levels) if levels else F.array().cast("array<double>")
+    if len(universe) < 2:
+        return F.array().cast("array<double>")
+    return F.transform(F.lit(list(universe[1:])), lambda c: F.when(value.cast("string").eqNullSafe(c), 1.0).otherwise(0.0))
 
 
 def softmax(x: Column) -> Column:

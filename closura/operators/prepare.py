@@ -65,9 +65,18 @@ def closed(abund: DataFrame, on_empty: str = "error") -> DataFrame:
 
 
 def prepare_features(abund: DataFrame, prefix: str = FEATURE_PREFIX, on_empty: str = "error") -> DataFrame:
-    """Prefix, drop all-zero features, close; the result is sparse (non-zero cells only)."""
-    kept = drop_zero_features(prefix_features(abund, prefix))
-    return closed(kept, on_empty).where("value <> 0")
+    """Prefix, drop all-zero features, close; the result is sparse (non-zero cells only).
+
+    The input is evaluated once. Where no cell is negative, a feature without a total has only zero
+    cells, so dropping these cells drops it; an anti join is needed only if values can cancel."""
+    cells = materialize(prefix_features(abund, prefix))
+    totals = cells.groupBy("sample_id").agg(F.sum("value").alias("total"), F.bool_or(F.col("value") < 0).alias("negative"))
+    totals = materialize(totals)
+    negative, relative = totals.agg(F.bool_or("negative"), F.bool_and(F.round("total", 3) == 1.0)).first()
+    if negative:
+        return closed(drop_zero_features(cells), on_empty).where("value <> 0")
+    out = cells if relative else to_relative(cells, on_empty, totals.drop("negative"))
+    return out.where("value <> 0")
 
 
 def common_sample_ids(samples: DataFrame, abund: DataFrame) -> DataFrame:
@@ -88,8 +97,7 @@ def merge_metadata(samples: DataFrame, abund: DataFrame) -> DataFrame:
 
 
 def build_dataset(samples: DataFrame, abund: DataFrame) -> Dataset:
-    """Align, prepare and bundle a table without history. The aligned cells are written before
-    preparation reads them three times, and the prepared ones because every later fit,
-    transform and split starts from them."""
+    """Align, prepare and bundle a table without history. The prepared cells are written because
+    every later fit, transform and split starts from them."""
     samples, abund = align_samples(samples, abund)
-    return Dataset.static(materialize(samples), materialize(prepare_features(materialize(abund))))
+    return Dataset.static(materialize(samples), materialize(prepare_features(abund)))

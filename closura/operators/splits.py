@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from closura.functions.taxon import stratum_label
 from closura.operators.ordered import hash_cut, hash_order, hash_rank, ordered_prefix
+from closura.session import materialize
 
 # Fixed value: default number of folds.
 DEFAULT_K = 5
@@ -100,7 +101,8 @@ def split(
         lone = units.groupBy(STRATUM).agg(F.count(F.lit(1)).alias("n")).where("n < 2").limit(20).collect()
         if lone:
             raise ValueError("Strata with a single unit cannot be split: " + ", ".join(r[STRATUM] for r in lone))
-        cuts = hash_cut(units, [STRATUM], unit, seed, train_size)
+        # written: one row per stratum, whose known size decides how it is joined
+        cuts = materialize(hash_cut(units, [STRATUM], unit, seed, train_size))
         marked = samples.withColumn(STRATUM, stratum_label(stratify)).join(cuts, STRATUM, "left")
         inside = (h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (F.col(unit) <= F.col("cut_id")))
         return marked.withColumn("split", _label(F.coalesce(inside, F.lit(False)))).drop(STRATUM, "cut_hash", "cut_id")
@@ -120,16 +122,16 @@ def rows_of_groups(samples: DataFrame, assignment: DataFrame, group: str) -> Dat
     return samples.join(assignment, group)
 
 
-def _with_start(units: DataFrame) -> DataFrame:
+def _with_start(ranked: DataFrame, units: DataFrame) -> DataFrame:
     """Add the number of units in earlier strata, so folds stay balanced across strata.
-    The window runs over the distinct strata only."""
+    The window runs over the distinct strata only; their starts are written, one row each."""
     earlier = Window.orderBy(STRATUM).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         units.groupBy(STRATUM)
         .agg(F.count(F.lit(1)).alias("_c"))
         .select(STRATUM, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_start"))
     )
-    return units.join(starts, STRATUM)
+    return ranked.join(materialize(starts), STRATUM)
 
 
 def assign_folds(
@@ -144,7 +146,7 @@ def assign_folds(
     if group is None:
         units, _ = _units(samples, None, stratify)
         if stratify:
-            ranked = _with_start(hash_rank(units, [STRATUM], "sample_id", seed))
+            ranked = _with_start(hash_rank(units, [STRATUM], "sample_id", seed), units)
             place = F.col("rank") - 1 + F.col("_start")
         else:
             ranked = hash_rank(units, [], "sample_id", seed)
@@ -160,7 +162,7 @@ def assign_folds(
     )
     ranked = ordered_prefix(groups, keys, [F.col("_size").desc(), F.col("_h"), F.col("_group")])
     if stratify:
-        ranked = _with_start(ranked)
+        ranked = _with_start(ranked, groups)
         start = F.col("_start")
     else:
         start = F.lit(0)

@@ -90,20 +90,27 @@ def _lookup(values: dict[tuple[int, int], object], t_off: int, dtype: str) -> Co
     return out
 
 
+def aggregate_cells(ds: Dataset, config: Config, taxonomy: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Cells and column universe after taxonomic aggregation, written once for fit and apply."""
+    labels = labels_for(config.aggregation, taxonomy)
+    cells = ds.abund if labels is None else materialize(aggregate_by_label(ds.abund, labels))
+    return cells, materialize(aggregate_universe(ds.features, labels))
+
+
 def fit_engineering(
     ds: Dataset,
     config: Config,
     taxonomy: DataFrame | None = None,
     folds: DataFrame | None = None,
     n_folds: int = 0,
+    aggregated: tuple[DataFrame, DataFrame] | None = None,
 ) -> Frozen:
     """Learn selection, denominator and category levels; with ``folds`` (sample_id, fold), for
-    every fold's complement and for all rows."""
+    every fold's complement and for all rows. ``aggregated``: from ``aggregate_cells``."""
     spark = ds.samples.sparkSession
     fits = [*range(n_folds), REFIT] if folds is not None else [REFIT]
     levels = enr.category_levels(ds.samples, enr.metadata_columns(config.enrich, list(config.enrich_with)))
-    labels = labels_for(config.aggregation, taxonomy)
-    cells = ds.abund if labels is None else aggregate_by_label(ds.abund, labels)
+    cells, universe = aggregated or aggregate_cells(ds, config, taxonomy)
     present = ds.samples.where("present").select("sample_id", "t_off")
     if folds is None:
         cells = cells.withColumn("fold", F.lit(0))
@@ -111,7 +118,6 @@ def fit_engineering(
     else:
         cells = cells.join(folds.select("sample_id", "fold"), "sample_id")
         present = present.join(folds.select("sample_id", "fold"), "sample_id")
-    universe = aggregate_universe(ds.features, labels)
     not_own = F.filter(F.array(*[F.lit(f) for f in fits]), lambda f: f != F.col("fold"))
     merged = (
         partial_moments(cells, ["fold", "t_off", "feature_id"])
@@ -217,6 +223,7 @@ def apply_engineering(
     taxonomy: DataFrame | None = None,
     fits: list[int] | None = None,
     shape: dict | None = None,
+    aggregated: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """sample_id, fit, x: the design rows of every sample under each requested fit.
 
@@ -228,7 +235,7 @@ def apply_engineering(
     known = sorted({f for f, _ in shape})
     fits = known if fits is None else [f for f in fits if f in known]
     shape = {k: v for k, v in shape.items() if k[0] in fits}
-    cells = aggregate_features(ds.abund, cfg.aggregation, taxonomy)
+    cells = aggregated[0] if aggregated else aggregate_features(ds.abund, cfg.aggregation, taxonomy)
     wanted = frozen.targets.where(F.col("fit").isin(fits))
     targets = wanted.groupBy("t_off", "feature_id").agg(F.collect_list(F.struct("fit", "pos", "is_group")).alias("to"))
     to_type = "array<struct<fit:int,pos:int,is_group:boolean>>"
@@ -344,8 +351,9 @@ def engineer(
     ds: Dataset, config: Config, taxonomy: DataFrame | None = None, frozen: Frozen | None = None
 ) -> tuple[DataFrame, Frozen]:
     """Fit (unless ``frozen`` is given) and apply on the same dataset."""
-    frozen = frozen or fit_engineering(ds, config, taxonomy)
-    return apply_engineering(ds, frozen, taxonomy, [REFIT]).drop("fit"), frozen
+    aggregated = aggregate_cells(ds, config, taxonomy)
+    frozen = frozen or fit_engineering(ds, config, taxonomy, aggregated=aggregated)
+    return apply_engineering(ds, frozen, taxonomy, [REFIT], aggregated=aggregated).drop("fit"), frozen
 
 
 def engineer_split(
@@ -369,7 +377,8 @@ def engineer_folds(
     fits: list[int] | None = None,
 ) -> tuple[DataFrame, Frozen]:
     """Leak-free engineering of K folds plus the refit: (sample_id, fit, split, x)."""
-    frozen = fit_engineering(ds, config, taxonomy, folds, n_folds)
-    x = apply_engineering(ds, frozen, taxonomy, fits).join(folds.select("sample_id", "fold"), "sample_id")
+    aggregated = aggregate_cells(ds, config, taxonomy)
+    frozen = fit_engineering(ds, config, taxonomy, folds, n_folds, aggregated)
+    x = apply_engineering(ds, frozen, taxonomy, fits, aggregated=aggregated).join(folds.select("sample_id", "fold"), "sample_id")
     split = F.when(F.col("fold") == F.col("fit"), "val").otherwise("train")
     return x.select("sample_id", "fit", split.alias("split"), "x"), frozen
