@@ -70,7 +70,7 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in wordhash.slices(batch.column(0).to_pylist(), 8 * wordhash.SLICE_BYTES):
+            for texts in wordhash.slices(batch.column(0), 8 * wordhash.SLICE_BYTES):
                 words, counts = np.unique(wordhash.hashes(texts)[0], return_counts=True)
                 columns = [np.append(words, END), np.append(counts, len(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["word", "c"])
@@ -114,7 +114,7 @@ def code(docs: DataFrame, head: Head, base_share: float = 0.0, other_share: floa
         log = np.log10(head.count + 1.0)
         for batch in batches:
             at = 0
-            for texts in wordhash.slices(batch.column(2).to_pylist()):
+            for texts in wordhash.slices(batch.column(2)):
                 words, bounds = wordhash.hashes(texts)
                 place = head.find(words)
                 known = place >= 0

@@ -7,12 +7,15 @@ Values are banded ``ROWS`` at a time (bands of minima and bands of maxima); sets
 miss all 40 bands with a probability of 2e-5, and less if they are more alike.
 
 Equal sets are one class and are never compared. In a bucket (classes that share a band) members are
-not paired with each other:
+not paired with each other. A bucket's hub is the member that meets most others, over all its
+buckets: in a group of edited copies that is the original, or one close to it.
 
-1. every class is compared with the one hub (least fingerprint of a bucket) it shares most bands with;
+1. every class is compared with the one hub it shares most bands with;
 2. buckets whose classes are not all joined by then compare each member with the bucket's hub;
-3. in buckets still apart, members of different components are compared, unless their distances to
-   the hub differ by more than 1 - 0.75: the Jaccard distance is a metric, so those cannot be linked.
+3. the members of buckets still apart meet by an exact prefix join on their rarest shingles: only
+   pairs of different components that can reach 0.75 by their sizes and the places of their first
+   common shingle are compared. A heavily edited copy has many shingles of its own, so such copies of
+   one original do not meet each other.
 
 Comparisons are on whole sets (40 bits of every shingle's hash). Components come from repeated
 hooking to the least neighbour and pointer jumping, all in Spark.
@@ -30,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from closura.llm import wordhash
 from closura.llm.decontaminate import checked
@@ -89,7 +93,7 @@ def signatures(docs: DataFrame, ident: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in wordhash.slices(batch.column(2).to_pylist()):
+            for texts in wordhash.slices(batch.column(2)):
                 sets = list(shingle_sets(texts))
                 columns = [
                     batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
@@ -109,7 +113,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, ident: str, text: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in wordhash.slices(batch.column(0).to_pylist()):
+            for texts in wordhash.slices(batch.column(0)):
                 sets = list(shingle_sets(texts))
                 cut = [np.unique(s & np.uint64(2 ** (8 * SET_BYTES) - 1)) for s in sets]
                 packed = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for s in cut]
@@ -126,23 +130,55 @@ def unpack(packed: bytes) -> np.ndarray:
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written rows a, b, distance (1 - similarity), linked."""
+    """Written rows a, b, linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            distance, linked = [], []
+            linked = []
             for left, right in zip(batch.column(2), batch.column(3)):
                 x, y = unpack(left.as_py()), unpack(right.as_py())
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
                 either = len(x) + len(y) - common
-                distance.append(1 - common / either)
                 linked.append(100 * common >= PERCENT * either)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     of = lambda side: sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"{side}_set"))
     both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set")
-    return materialize(both.mapInArrow(run, "a bigint, b bigint, distance double, linked boolean"))
+    return materialize(both.mapInArrow(run, "a bigint, b bigint, linked boolean"))
+
+
+def prefix_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of ``nodes`` (fp, label) with different labels: all that can be linked, and few more.
+
+    Shingles are ordered from the rarest on. Linked sets share one of the first quarter of the larger
+    set's and of the first seventh of the smaller set's, and at their first common shingle enough of
+    both must be left. Shingles of one holder take the front places and are not joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingles = unpack(packed).astype(np.int64)
+                n = len(shingles)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, fp)), pa.array(np.full(n, n)), pa.array(shingles)], ["fp", "n", "shingle"])
+
+    each = sets.join(checked(nodes), "fp").select("fp", "shingles").mapInArrow(run, "fp bigint, n bigint, shingle bigint")
+    holders = materialize(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"))
+    of_one = Window.partitionBy("fp")
+    front = F.col("n") - F.count(F.lit(1)).over(of_one)
+    placed = each.join(checked(holders), "shingle").withColumn("place", front + F.row_number().over(of_one.orderBy("holders", "shingle")))
+    least = lambda share, whole: F.expr(f"(n * {share} + {whole - 1}) DIV {whole}")
+    placed = placed.where(F.col("place") <= F.col("n") - least(PERCENT, 100) + 1).join(checked(nodes), "fp")
+    placed = materialize(placed.select("fp", "label", "n", "shingle", "place"))
+    small = placed.where(F.col("place") <= F.col("n") - least(2 * PERCENT, 100 + PERCENT) + 1)
+    large = placed.withColumnsRenamed({c: f"_{c}" for c in placed.columns})
+    left_over = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place")) + 1
+    can_be = (
+        (F.col("label") != F.col("_label")) & (F.col("n") <= F.col("_n")) & (100 * F.col("n") >= PERCENT * F.col("_n"))
+        & ((100 + PERCENT) * left_over >= PERCENT * (F.col("n") + F.col("_n")))
+    )
+    pairs = small.join(large, (F.col("shingle") == F.col("_shingle")) & can_be)
+    return pairs.select(F.greatest("fp", "_fp").alias("a"), F.least("fp", "_fp").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,17 +219,24 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 def links(docs: DataFrame, rows: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Classes (fp, first, copies) and written components (node, root) of linked classes; rows: from ``signatures``."""
     known = rows.where("fp IS NOT NULL AND ident IS NOT NULL")
-    classes = materialize(known.groupBy("fp").agg(F.min(F.struct("ident", "key")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles")))
-    classes = classes.select("fp", F.col("first.ident").alias("first"), F.col("first.key").alias("key"), "copies", "n_shingles")
+    classes = materialize(known.groupBy("fp").agg(F.min(F.struct("ident", "key")).alias("first"), F.count(F.lit(1)).alias("copies")))
+    classes = classes.select("fp", F.col("first.ident").alias("first"), F.col("first.key").alias("key"), "copies")
 
     banded = known.dropDuplicates(["fp"]).select("fp", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub <> last").select("bucket", "hub")
-    members = materialize(banded.join(checked(materialize(buckets)), "bucket"))
-    pairs = materialize(members.where("fp <> hub").groupBy(F.col("fp").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
+    sizes = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    shared = materialize(banded.join(checked(sizes), "bucket"))
+    known_to = shared.groupBy("fp").agg(F.sum("size").alias("known"))
+    ranked = materialize(shared.join(checked(materialize(known_to)), "fp").select("bucket", "fp", F.struct("known", "fp").alias("place")))
+    hubs = ranked.groupBy("bucket").agg(F.max("place").alias("hub"))
+    members = materialize(ranked.join(checked(materialize(hubs)), "bucket").select("bucket", "fp", "place", "hub"))
+    release(sizes, shared, ranked)
+    pairs = members.where("place <> hub").groupBy(F.col("fp").alias("a"), "hub").agg(F.count(F.lit(1)).alias("bands"))
+    pairs = materialize(pairs)
+    written, members = members, members.select("bucket", "fp", F.col("hub.fp").alias("hub"))
     suspects = members.select("fp").distinct().join(classes, "fp").select("key").distinct()
     sets = whole_sets(docs, suspects, ident, text)
 
-    best = pairs.groupBy("a").agg(F.max(F.struct("bands", -F.col("b"))).alias("best")).select("a", (-F.col("best")["col2"]).alias("b"))
+    best = pairs.groupBy("a").agg(F.max(F.struct("bands", "hub")).alias("best")).select("a", F.col("best.hub.fp").alias("b"))
     first = compare(best, sets)
     labels = components(first.where("linked"))
 
@@ -204,21 +247,11 @@ def links(docs: DataFrame, rows: DataFrame, ident: str, text: str) -> tuple[Data
     if not second.where("linked").isEmpty():
         labels = components(tested.where("linked"))
 
-    apart = _apart(apart.drop("label"), labels).join(tested.select(F.col("a").alias("fp"), F.col("b").alias("hub"), "distance"), ["fp", "hub"], "left")
-    apart = apart.join(classes.select("fp", "n_shingles"), "fp").withColumn("distance", F.when(F.col("fp") == F.col("hub"), 0.0).otherwise(F.col("distance")))
-    reach = 1 - PERCENT / 100
-    apart = materialize(apart.where("fp <> hub").withColumn("cell", F.floor(F.col("distance") / reach)))
-    left = apart.select("bucket", "fp", "label", "distance", "n_shingles", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
-    right = apart.select("bucket", "cell", *[F.col(c).alias(f"_{c}") for c in ("fp", "label", "distance", "n_shingles")])
-    alike = (F.abs(F.col("distance") - F.col("_distance")) <= reach + 1e-9) & (
-        100 * F.least("n_shingles", "_n_shingles") >= PERCENT * F.greatest("n_shingles", "_n_shingles")
-    )
-    third = left.join(right, ["bucket", "cell"]).where((F.col("label") != F.col("_label")) & alike)
-    third = third.select(F.greatest("fp", "_fp").alias("a"), F.least("fp", "_fp").alias("b")).distinct()  # as hubs: b is less
-    third = compare(third.join(tested, ["a", "b"], "left_anti"), sets)
+    nodes = materialize(_apart(apart.drop("label"), labels).select("fp", "label").distinct())
+    third = compare(prefix_pairs(sets, nodes), sets)
     if not third.where("linked").isEmpty():
         labels = components(tested.union(third).where("linked"))
-    release(members, pairs, sets)
+    release(written, pairs, sets)
     return classes, labels
 
 

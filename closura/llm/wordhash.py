@@ -7,9 +7,10 @@ of an odd number for its place, then mixed; equal words get equal hashes everywh
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _rng = np.random.Generator(np.random.PCG64(20_240_917))
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -27,16 +28,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: Iterable[str | None], limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
-    """Texts as bytes, some at a time, so that the arrays of a slice stay small (a text is never cut)."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The texts of a batch as bytes, some at a time, so that the arrays of a slice stay small (a text is never cut)."""
     some, size = [], 0
-    for text in texts:
-        data = (text or "").encode()
-        some.append(data)
-        size += len(data)
-        if size >= limit:
-            yield some
-            some, size = [], 0
+    for at in range(0, len(column), 256):
+        for data in column.slice(at, 256).cast(pa.binary()).to_pylist():
+            some.append(data or b"")
+            size += len(some[-1])
+            if size >= limit:
+                yield some
+                some, size = [], 0
     if some:
         yield some
 
