@@ -30,8 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE_CHUNKS = 150_000  # per generation; two are kept
-SLICE_CHARS = 2_000_000  # texts are taken together up to this length
+CACHE_CHUNKS = 60_000  # per generation; two are kept
+SLICE_CHARS = 1_000_000  # texts are taken together up to this length
 
 # Characters with the Unicode property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -51,7 +51,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def chunks_of(texts: list[str]) -> Iterator[list[list[str]]]:
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str]:
+    """The texts of a batch, null as empty, without holding all of them as Python objects."""
+    for at in range(0, len(column), rows):
+        yield from (text or "" for text in column.slice(at, rows).to_pylist())
+
+
+def chunks_of(texts: Iterable[str]) -> Iterator[list[list[str]]]:
     """The chunks of each text, a few texts at a time."""
     some, size = [], 0
     for text in texts:
@@ -68,7 +74,12 @@ class RecentChunks:
     """A dictionary from chunk to its ids as bytes that forgets what was not asked for of late."""
 
     def __init__(self, limit: int = CACHE_CHUNKS):
-        self.limit, self.new, self.old = limit, {}, {}
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        """Workers outlive tasks; a task leaves nothing behind."""
+        self.new, self.old = {}, {}
 
     def of(self, wanted: set[str], encode) -> dict[str, bytes]:
         found = {c: self.new[c] for c in wanted & self.new.keys()}
@@ -110,12 +121,13 @@ class ByteBPE:
         self.recent = RecentChunks()
 
     def _encode_chunks(self, chunks: list[str]) -> Iterator[bytes]:
-        made = self.model.encode_batch_fast(chunks, add_special_tokens=False)
-        return (array("I", x.ids).tobytes() for x in made)
+        for at in range(0, len(chunks), 2_000):  # encodings are large objects
+            for made in self.model.encode_batch_fast(chunks[at : at + 2_000], add_special_tokens=False):
+                yield array("I", made.ids).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for some in chunks_of([t or "" for t in texts]):
+        for some in chunks_of(t or "" for t in texts):
             found = self.recent.of(set(itertools.chain.from_iterable(some)), self._encode_chunks)
             for chunks in some:
                 yield np.frombuffer(b"".join([found[c] for c in chunks]), np.uint32)
@@ -165,6 +177,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", text
                 spans = [bpe.offsets(t, x) for t, x in zip(texts, ids, strict=True)]
                 columns += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.recent.clear()
 
     names = ["ident", "ids"] + ["starts", "ends"] * offsets
     kind = docs.schema[ident].dataType.simpleString()
@@ -195,12 +208,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id",
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             counts, digests, decoded = [], [], []
-            for ids in map(np.ndarray.tolist, bpe.encode(batch.column(1).to_pylist())):
+            for ids in map(np.ndarray.tolist, bpe.encode(texts_of(batch.column(1)))):
                 counts.append(len(ids))
                 digests.append(sha(bpe.decimal(ids).encode()))
                 decoded.append(sha(bpe.decode_bytes(ids)))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["ident", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.recent.clear()
 
     kind = docs.schema[ident].dataType.simpleString()
     schema = f"ident {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

@@ -23,14 +23,14 @@ import functools
 import itertools
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from closura.llm.bpe import RecentChunks, chunks_of, read_ranks
+from closura.llm.bpe import RecentChunks, chunks_of, read_ranks, texts_of
 
 LENGTH = 2048
 CHUNK_TOKENS = 4_000_000
@@ -95,7 +95,7 @@ class Encoder:
         self.model = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.recent = RecentChunks()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         one = self.model.encode_ordinary
         for some in chunks_of(texts):
             found = self.recent.of(set(itertools.chain.from_iterable(some)), lambda new: (array("I", one(c)).tobytes() for c in new))
@@ -138,8 +138,7 @@ def pack(
         made = (task.partitionId() if task else 0) << 33
         pieces, waiting = [], 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, raw in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            for doc, raw in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch.column(1))), strict=True):
                 ids = np.frombuffer(raw + end, np.uint32)
                 pieces += [(doc, at, ids[at : at + length]) for at in range(0, len(ids), length)]
                 waiting += len(ids)
@@ -147,6 +146,7 @@ def pack(
                     yield (out := pack_rows(pieces, length, eot, made))
                     made += out.num_rows
                     pieces, waiting = [], 0
+        encoder.recent.clear()
         if pieces:
             yield pack_rows(pieces, length, eot, made)
 

@@ -26,10 +26,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from closura.llm.bpe import texts_of
 from closura.llm.decontaminate import checked
 from closura.session import materialize
 
@@ -146,7 +147,7 @@ class Grammar:
             for c, members in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
                 if word in members:
                     out = (c, THREAT_WEIGHT if c in (THREAT, TARGET) else 0.0)
-        if len(self.seen) > 200_000:
+        if len(self.seen) > 100_000:
             self.seen.clear()
         self.seen[word] = out
         return out
@@ -233,9 +234,9 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     rows = _labelled(docs, labels, ident, text)
     grammar = Grammar(*patterns(rows))
 
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([grammar.features(t) for t in texts], dtype=object)
+    @F.arrow_udf("array<double>")
+    def features(texts: pa.Array) -> pa.Array:
+        return pa.array(map(grammar.features, texts_of(texts)), pa.list_(pa.float64()))
 
     made = rows.select("toxic", features("text").alias("x"))
     cells = made.groupBy(F.round(F.col("x")[0], 1).alias("a"), F.round(F.col("x")[1], 1).alias("b")).agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
@@ -249,11 +250,11 @@ def score(grammar: Grammar, text: Column) -> Column:
     if grammar.curve is None:
         return F.lit(0.0)
 
-    @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
-        x = np.array([grammar.features(t) for t in texts], dtype=float).reshape(-1, 2)
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        x = np.array([grammar.features(t) for t in texts_of(texts)], dtype=float).reshape(-1, 2)
         bias, a, b = grammar.curve
-        return pd.Series(1 / (1 + np.exp(-np.clip(bias + x @ np.array([a, b]), -30, 30))))
+        return pa.array(1 / (1 + np.exp(-np.clip(bias + x @ np.array([a, b]), -30, 30))))
 
     return probability(text)
 

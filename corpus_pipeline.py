@@ -22,9 +22,16 @@ from closura.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from closura.session import scratch_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+ARROW_ROWS = 1_000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """Documents are long rows: fewer of them at a time between the JVM and Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -36,6 +43,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return minhash.dedup(docs)
 
 
@@ -44,6 +52,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
