@@ -8,7 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from closura.models.estimators import Fitted
+from closura.models.estimators import Fitted, to_features
 from closura.operators.ordered import hash_order
 from closura.session import materialize
 
@@ -107,7 +107,7 @@ def shapley_sample(
         F.arrays_zip(F.col("x").alias("x"), F.col("b").alias("b"), F.col("place").alias("t")),
         lambda z: F.when(z["t"] <= F.col("turn"), z["x"]).otherwise(z["b"]),
     )
-    scored = fitted.score(steps.select("sample_id", "turn", "ord", array_to_vector(mixed).alias("features")))
+    scored = fitted.score(steps.select("sample_id", "turn", "ord", to_features(mixed, fitted.kind).alias("features")))
     out = F.col("proba") if fitted.has_proba else F.array("prediction")
     # a step's change needs the step before: both sides of the difference are emitted and summed
     share = F.array(

@@ -25,18 +25,22 @@ def stack_predictions(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def regression_metrics(preds: DataFrame) -> DataFrame:
-    """rmse, r2, pearson and n per model and split, from one partial aggregation."""
+    """rmse, r2, pearson and n per model and split, from one partial aggregation. Constant labels or
+    predictions have no correlation: null."""
     y, p = F.col("label").cast("double"), F.col("pred").cast("double")
     sums = preds.groupBy(*BY).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((y - p) * (y - p)).alias("sse"),
         F.var_pop(y).alias("vy"),
-        F.corr(y, p).alias("pearson"),
+        F.var_pop(p).alias("vp"),
+        F.covar_pop(y, p).alias("cov"),
     )
     sst = F.col("vy") * F.col("n")
+    spread = F.sqrt("vy") * F.sqrt("vp")
+    pearson = F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / spread)))
     r2 = F.when(sst > 0, 1 - F.col("sse") / sst).when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     return sums.select(
-        *BY, F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), F.when(F.col("n") >= 2, r2).alias("r2"), "pearson", "n"
+        *BY, F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), F.when(F.col("n") >= 2, r2).alias("r2"), pearson.alias("pearson"), "n"
     )
 
 

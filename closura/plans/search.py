@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from closura.dataset import Dataset
+from closura.models.explain import COEF_MODELS, coefficients, shapley_sample
 from closura.models.estimators import CLASSIFIERS, ORDINAL, TREES, Fitted, fit_model, to_features
 from closura.models.log_contrast import fit_log_contrast
 from closura.operators import metrics as m
@@ -21,7 +22,7 @@ from closura.operators.splits import assign_folds
 from closura.operators.stats import label_index, threshold_bounds
 from closura.operators.trials import aggregate_folds, best_iteration, check_failures, select_one_se
 from closura.operators.tree import log_geom
-from closura.plans.candidates import DATA_COLUMNS, SPACES, candidates
+from closura.plans.candidates import DATA_COLUMNS, SPACES, candidates, with_start_points
 from closura.plans.engineer import REFIT, Config, Frozen, apply_engineering, design_names, engineer_folds, fit_engineering
 from closura.session import materialize
 
@@ -92,7 +93,7 @@ def task_of(kind: str) -> str:
     return "classification" if kind in CLASSIFIERS else "regression"
 
 
-def _target(ds: Dataset, target: str, kind: str) -> tuple[DataFrame, list[str] | None]:
+def _target(ds: Dataset, target: str, kind: str, max_levels: int = ORDINAL_CAP) -> tuple[DataFrame, list[str] | None]:
     """(sample_id, y) and the class list; numeric targets of ordinal models are rounded levels."""
     now = ds.samples.where("t_off = 0").select("sample_id", F.col(target).alias("_t"))
     if kind in CLASSIFIERS:
@@ -102,7 +103,7 @@ def _target(ds: Dataset, target: str, kind: str) -> tuple[DataFrame, list[str] |
     if not isinstance(now.schema["_t"].dataType, NumericType):
         raise ValueError(f"{kind} needs a numeric target.")
     if kind == ORDINAL:
-        check_ordinal_levels(now, "_t", ORDINAL_CAP)
+        check_ordinal_levels(now, "_t", max_levels)
         level = F.bround(F.col("_t").cast("double"), 0)
         levels = [r[0] for r in now.select(level.alias("l")).distinct().orderBy("l").collect()]
         code = F.array_position(F.array(*[F.lit(v) for v in levels]), level) - 1
@@ -168,6 +169,7 @@ def evaluate_candidates(
     enrich_with: tuple[str, ...] = (),
     parallelism: int = 4,
     max_failure_rate: float = 0.5,
+    max_levels: int = ORDINAL_CAP,
 ) -> DataFrame:
     """fold metrics (trial, metric, fold, value) plus nb_features and best_iter rows.
 
@@ -187,7 +189,7 @@ def evaluate_candidates(
     by_data: dict[tuple, list[dict]] = {}
     for t in trials:
         by_data.setdefault((t["model_type"] in TREES, t["model_type"] == "log_contrast", *[t.get(c) for c in DATA_COLUMNS]), []).append(t)
-    targets = {kind: _target(ds, target, kind) for kind in kinds}
+    targets = {kind: _target(ds, target, kind, max_levels) for kind in kinds}
     for members in by_data.values():
         kind0 = members[0]["model_type"]
         cfg = _config(members[0], enrich_with)
@@ -271,15 +273,59 @@ def find_best(
     enrich_with: tuple[str, ...] = (),
     overrides: dict | None = None,
     parallelism: int = 4,
+    start_points: list[dict] | None = None,
+    max_levels: int = ORDINAL_CAP,
 ) -> tuple[TunedModel, DataFrame]:
-    """Draw candidates, evaluate them, apply the one-standard-error rule and refit on all rows."""
+    """Draw candidates, evaluate them, apply the one-standard-error rule and refit on all rows.
+    ``start_points`` (settings) take the place of the first trials' draws."""
+    models, fold_metrics = find_best_of(
+        ds, target, [model_type], n_trials, k, seed, group, stratify, taxonomy, tree, enrich_with, overrides, parallelism,
+        {model_type: start_points or []}, max_levels,
+    )
+    return models[model_type], fold_metrics
+
+
+def find_best_of(
+    ds: Dataset,
+    target: str,
+    model_types: list[str],
+    n_trials: int,
+    k: int,
+    seed: int = 0,
+    group: str | None = None,
+    stratify: list[str] | None = None,
+    taxonomy: DataFrame | None = None,
+    tree: Tree | None = None,
+    enrich_with: tuple[str, ...] = (),
+    overrides: dict | None = None,
+    parallelism: int = 4,
+    start_points: dict[str, list[dict]] | None = None,
+    max_levels: int = ORDINAL_CAP,
+) -> tuple[dict[str, TunedModel], DataFrame]:
+    """The best model of each type. All types share the folds, the metric table and, where their data
+    settings agree, the written design tables."""
     spark = ds.samples.sparkSession
     n_features, bounds = data_bounds(ds)
-    trials = spark.range(n_trials).select(F.col("id").cast("string").alias("trial"))
-    table = candidates(model_type, trials, seed, n_features, bounds, overrides, taxonomy is not None, enrich_with)
+    table, tables = None, {}
+    for kind in model_types:
+        name = F.col("id").cast("string") if len(model_types) == 1 else F.concat(F.lit(f"{kind}-"), F.col("id").cast("string"))
+        trials = spark.range(n_trials).select(name.alias("trial"))
+        drawn = candidates(kind, trials, seed, n_features, bounds, overrides, taxonomy is not None, enrich_with)
+        tables[kind] = with_start_points(drawn, (start_points or {}).get(kind, []))
+        table = tables[kind] if table is None else table.unionByName(tables[kind], allowMissingColumns=True)
     fold_metrics = evaluate_candidates(
-        ds, table, target, k, seed, group, stratify, taxonomy, tree, enrich_with, parallelism
+        ds, table, target, k, seed, group, stratify, taxonomy, tree, enrich_with, parallelism, max_levels=max_levels
     )
+    chosen = {
+        kind: _choose(ds, target, kind, tables[kind], fold_metrics, k, seed, taxonomy, tree, enrich_with, max_levels) for kind in model_types
+    }
+    return chosen, fold_metrics
+
+
+def _choose(
+    ds: Dataset, target: str, model_type: str, table: DataFrame, fold_metrics: DataFrame, k: int, seed: int,
+    taxonomy: DataFrame | None, tree: Tree | None, enrich_with: tuple[str, ...], max_levels: int,
+) -> TunedModel:
     metric, mode = SELECTION_METRIC[task_of(model_type)]
     scores = table.join(trial_scores(fold_metrics, metric), "trial")
     best = select_one_se(scores, metric, mode, model_type).first()
@@ -291,18 +337,18 @@ def find_best(
         iters = fold_metrics.where("metric = 'best_iter'").withColumnRenamed("value", "best_iter")
         got = best_iteration(iters.where(F.col("trial") == row["trial"]), k, row["n_estimators"]).first()
         rounds = got["n_estimators"] if got else None
-    return refit(ds, target, model_type, row, seed, taxonomy, tree, enrich_with, rounds), fold_metrics
+    return refit(ds, target, model_type, row, seed, taxonomy, tree, enrich_with, rounds, max_levels)
 
 
 def refit(
     ds: Dataset, target: str, kind: str, row: dict, seed: int = 0, taxonomy: DataFrame | None = None,
-    tree: Tree | None = None, enrich_with: tuple[str, ...] = (), rounds: int | None = None,
+    tree: Tree | None = None, enrich_with: tuple[str, ...] = (), rounds: int | None = None, max_levels: int = ORDINAL_CAP,
 ) -> TunedModel:
     """Fit one candidate's engineering and model on all rows."""
     params = _params(row, kind)
     if rounds:
         params["n_estimators"] = rounds
-    y, classes = _target(ds, target, kind)
+    y, classes = _target(ds, target, kind, max_levels)
     if kind == "log_contrast":
         if ds.n_prev:
             raise ValueError("log_contrast has no snapshots; leave it out for windowed data")
@@ -330,6 +376,14 @@ def evaluate(models: dict[str, TunedModel], train: Dataset, test: Dataset, targe
     return parts
 
 
+def explain(tm: TunedModel, rows: Dataset, train: Dataset, n_perm: int = 8, max_background: int | None = None, seed: int = 0) -> DataFrame:
+    """What a fitted model rests on: the coefficients of models that have some, else sampled Shapley
+    values of ``rows`` against all of ``train`` (or ``max_background`` rows of it)."""
+    if tm.fitted.kind in COEF_MODELS:
+        return coefficients(rows.samples.sparkSession, tm.fitted, tm.names, tm.classes)
+    return shapley_sample(tm.fitted, tm.design(rows), tm.design(train), tm.names, tm.classes or ["prediction"], n_perm, max_background, seed)
+
+
 # --- persistence --------------------------------------------------------------------------
 
 

@@ -236,13 +236,24 @@ def _(spark, sf):
 _SMALL = {"selection": ("choice", ["abundance_topi"]), "i": ("int", 5, 8), "transform": ("choice", ["clr"]), "enrich": ("choice", [None])}
 
 
-@query("M15_evaluate_candidates")
+@query(
+    "M15_evaluate_candidates",
+    "SELECT r_regionkey::VARCHAR AS trial, f.fold::INTEGER AS fold, 2::BIGINT AS rmse, true AS finite, true AS widths FROM region, range(0, 2) f(fold)",
+)
 def _(spark, sf):
+    """One trial for every region: each fold reports its errors and the width of its design."""
     ds = b.basket_dataset(spark, sf)
     n, bounds = se.data_bounds(ds)
-    trials = b.table(spark, sf, "region").where("r_regionkey < 2").select(F.col("r_regionkey").cast("string").alias("trial"))
+    trials = b.table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("trial"))
     table = candidates("linreg", trials, 5, n, bounds, _SMALL)
-    return se.evaluate_candidates(ds, table, "acctbal", 2, seed=3, group="nation")
+    got = se.evaluate_candidates(ds, table, "acctbal", 2, seed=3, group="nation")
+    chosen = table.select("trial", "i")
+    name = F.col("metric")
+    return got.join(chosen, "trial").groupBy("trial", "fold").agg(
+        F.count_if(name.isin("rmse_train", "rmse_val")).alias("rmse"),
+        F.every(~name.startswith("rmse") | ((F.col("value") > 0) & (F.col("value") < float("inf")))).alias("finite"),
+        F.every((name != "nb_features") | (F.col("value") == F.col("i") + 1)).alias("widths"),
+    )
 
 
 def _tuned(spark, sf):

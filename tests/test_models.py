@@ -250,3 +250,16 @@ def test_sampled_shapley_uses_every_background_row(spark):
     phi = {r["feature"]: r["phi"] for r in ex.shapley_sample(fixed, rows, background, list("pqr"), ["y"], n_perm=2).collect()}
     want = np.array([1.0, -2.0, 3.0]) * (np.array([1.0, 2.0, 3.0]) - back.mean(0))
     assert np.allclose([phi[f] for f in "pqr"], want)
+
+
+def test_search_over_types_shares_one_metric_table_and_explains(spark, ds):
+    small = {k: v for k, v in SMALL.items() if k != "i"} | {"i": ("int", 4, 4), "n_estimators": ("choice", [5]), "max_depth": ("choice", [3])}
+    models, folds = se.find_best_of(ds, "y", ["linreg", "rf"], 1, 2, seed=1, overrides=small, start_points={"linreg": [{"alpha": 0.5}]})
+    assert set(models) == {"linreg", "rf"}
+    assert {r["trial"] for r in folds.select("trial").distinct().collect()} == {"linreg-0", "rf-0"}
+    table = se.explain(models["linreg"], ds, ds)
+    assert table.columns == ["feature", "coefficient", "abs_coefficient"] and table.count() == len(models["linreg"].names)
+    one = ds.with_(samples=ds.samples.where("sample_id = 's00'"), abund=ds.abund.where("sample_id = 's00'"))
+    phi = se.explain(models["rf"], one, ds, n_perm=1).agg(F.sum("phi")).first()[0]
+    pred = {r["sample_id"]: r["pred"] for r in models["rf"].predict(ds).collect()}
+    assert np.isclose(phi, pred["s00"] - np.mean(list(pred.values())))
