@@ -50,9 +50,10 @@ def term(word: Column | str) -> Column:
     return F.xxhash64(word)
 
 
-def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS, *, of: DataFrame | None = None) -> DataFrame:
+    """Marked for broadcast if it, or what its arrays were gathered ``of``, has at most so many rows."""
+    counted = df if of is None else of
+    return F.broadcast(df) if counted.limit(rows + 1).count() <= rows else df
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,7 +96,7 @@ def phrase_matches(index: DataFrame, asked: DataFrame, span: int = SPAN) -> Data
     found = index.select("term", "key", "pos").join(checked(anchors), "term").select("item", "key", "q", (F.col("pos") - F.col("q")).alias("start"))
     found = found.groupBy("item", "key", "start").agg(F.collect_set("q").alias("have"))
     per_item = windows.groupBy("item", "n_item").agg(F.collect_list(F.struct("s", "rarest")).alias("windows"))
-    open_ = found.join(checked(per_item), "item")
+    open_ = found.join(checked(per_item, of=windows), "item")
     open_ = open_.withColumn("s", F.expr("transform(filter(windows, w -> size(array_except(w.rarest, have)) = 0), w -> w.s)")).where(F.size("s") > 0)
     open_ = materialize(open_.withColumn("size", _span(F.col("n_item"), span)).drop("windows", "n_item"))
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from closura.llm.decontaminate import checked
+from closura.llm.decontaminate import BROADCAST_ROWS, checked
 from closura.session import materialize, release
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -125,7 +125,7 @@ def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", counts: bo
     (both kinds) and n_near."""
     gone = dropped(docs, ident, text)
     per = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_list("line").alias("__gone"), F.sum(F.col("near").cast("bigint")).alias("__near"))
-    joined = docs.join(checked(materialize(per)), _key(ident, text) == F.col("__key"), "left").withColumn("__lines", F.split(text, "\n"))
+    joined = docs.join(checked(materialize(per), 4 * BROADCAST_ROWS, of=gone), _key(ident, text) == F.col("__key"), "left").withColumn("__lines", F.split(text, "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
     none = F.lit(0).cast("bigint")

@@ -34,6 +34,7 @@ from closura.llm.bpe import RecentChunks, chunks_of, read_ranks, texts_of
 
 LENGTH = 2048
 CHUNK_TOKENS = 4_000_000
+CACHE_CHUNKS = 150_000  # per generation; two are kept
 SCHEMA = "pack_id bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, cu_seqlens array<int>, ids binary, positions binary"
 
 
@@ -93,7 +94,7 @@ class Encoder:
 
         self.ranks = read_ranks(path)
         self.model = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.recent = RecentChunks()
+        self.recent = RecentChunks(CACHE_CHUNKS)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         one = self.model.encode_ordinary
