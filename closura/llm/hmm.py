@@ -1,20 +1,21 @@
 """A hidden Markov language model trained by Baum-Welch on Spark.
 
 Tokens are words with A-Z lower-cased, and one end after each text. ``vocabulary`` counts the
-training tokens of all documents. Every text is coded once, as numbers of its tokens: the
-``SYMBOLS`` most frequent words are emitted by the states one by one, all others as one symbol
-"other", whose words share its probability in proportion to their counts plus one (one share is left
-for unknown words). That makes the model a proper distribution over all texts.
-
-Each round every task runs the scaled forward and backward recursions over its texts and yields
-expected counts, which Spark sums by symbol; the new parameters, of fixed size, go to all tasks. For
-training a text is cut into segments of ``SEGMENT`` tokens, with start probabilities of their own for
-first and later ones, so that many segments advance together; scoring runs the forward recursion
+training tokens of all documents. Every training word is emitted by the states with counts of its
+own; unknown words share one symbol "other". A state's emission of a word is its expected count plus
+one, the one dealt to the states by their share of all tokens: states agree on words seen once or
+never as add-one counts do. That makes the model a proper distribution over all texts.
+
+Texts are coded once, in chunks of some MB: the ``SYMBOLS`` most frequent words by rank, a chunk's
+other words by their place in its own list. Each round every task runs the scaled forward and backward
+recursions over its chunks and yields expected counts. Those of the frequent words, of fixed size,
+are summed to the driver and go to all tasks. Those of all other words are dealt into buckets by
+hash, summed there, and each chunk gets the sums of its words back, so that no task or driver holds
+the whole vocabulary; words of a single chunk keep theirs. For training a text is cut into segments of ``SEGMENT`` tokens, with start
+probabilities of their own for first and later ones, so that many segments advance together; rounds
+end once the log-likelihood gains less than ``GAIN`` of itself. Scoring runs the forward recursion
 over whole texts.
 
-The counts of the most frequent words (``HEAD``, a fixed bound) are sent to every task; a text's other
-words are joined with the vocabulary by shuffle.
-
 Defined results: null text is empty (the end alone); null doc_id trains, like every id not held out;
 repeated rows each count and are scored each; an empty table gives an empty one; other columns are
 ignored.
@@ -32,13 +33,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closura.llm import wordhash
-from closura.session import materialize
+from closura.session import materialize, release
 
-HEAD = 262_144
-SYMBOLS = 16_384
+SYMBOLS = HEAD = 16_384
 STATES = 8
-ROUNDS = 7
+ROUNDS = 50  # at most; GAIN ends them
+GAIN = 1e-3
 SEGMENT = 64
+CHUNK = 4 * wordhash.SLICE_BYTES
+BUCKET_WORDS = 200_000  # of all chunks' lists, in a bucket
+SPREAD_WORDS = 2_000  # the same, if there are few
+STRIPE = 512  # symbols that are summed together
 LEVELS = 16  # of counts per power of two, to find the most frequent words
 END = np.int64(0x656E64)  # stands for the end of a text among the word hashes
 BATCH_SEGMENTS = 4_096
@@ -101,58 +106,139 @@ def head_of(vocab: DataFrame, size: int = HEAD, symbols: int = SYMBOLS) -> tuple
     return Head(word[by], rank[by], count[by], min(symbols, len(word) - int((word == END).any()))), least
 
 
-def code(docs: DataFrame, head: Head, base_share: float = 0.0, other_share: float = 0.0, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Written rows: row, ident, held_out, n_tokens, symbols (uint16: ``head.symbols`` is "other", one
-    more the end), head_log (sum of log10(c + 1) - base_share over words in ``head``), other_log (the
-    same with other_share, over those that are "other"), n_head, rest (words not in ``head``)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(head)
+def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """Written chunks of texts: chunk, ident, held_out and sizes (tokens) of each text, symbols (uint32,
+    all texts in a row: ranks, ``head.symbols`` is "other", one more the end, then places in words),
+    words (int64: the chunk's words beyond the ranks), counts (int64, of these, below 0 for words of
+    this chunk alone; none yet)."""
+    shared = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, task = shared.value, TaskContext.get()
-        row = (task.partitionId() if task else 0) << 33
-        log = np.log10(head.count + 1.0)
+        chunk = (task.partitionId() if task else 0) << 33
         for batch in batches:
             at = 0
-            for texts in wordhash.slices(batch.column(2)):
-                words, bounds = wordhash.hashes(texts)
-                place = head.find(words)
-                known = place >= 0
-                rank = np.where(known, head.rank[place] if len(head.rank) else 2**40, 2**40)
-                symbol = np.minimum(rank, head.symbols).astype(np.uint16)
-                value = log[place] if len(log) else np.zeros(len(place))
-                other = symbol == head.symbols
-                rest = np.flatnonzero(~known)
-                end = np.array([head.symbols + 1], np.uint16)
-                per = lambda x: np.add.reduceat(np.append(x, 0), bounds[:-1]) * (bounds[1:] > bounds[:-1])  # noqa: B023, E731
-                cuts = np.searchsorted(rest, bounds)
+            for texts in wordhash.slices(batch.column(2), CHUNK):
+                hashed, bounds = wordhash.hashes(texts)
+                place = head.find(hashed)
+                symbol = np.where(place >= 0, head.rank[place] if len(head.rank) else 2**40, 2**40)
+                far = symbol >= head.symbols
+                words, index = np.unique(hashed[far], return_inverse=True)
+                symbol[far] = index + head.symbols + 2
+                symbol = np.insert(symbol, bounds[1:], head.symbols + 1).astype(np.uint32)
                 n = len(texts)
+                lists = [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(bounds) + 1, pa.int64())]
                 columns = [
-                    pa.array(np.arange(row, row + n)), batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(bounds) + 1, pa.int64()),
-                    pa.array([np.append(symbol[a:b], end).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-                    pa.array(per((value - base_share) * known)), pa.array(per((value - other_share) * (known & other))), pa.array(per(known.astype(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(words[rest])),
+                    pa.array([chunk]), *[pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x) for x in lists],
+                    pa.array([symbol.tobytes()]), pa.array([words.tobytes()]), pa.array([b""]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
-                row += n
+                chunk += 1
                 at += n
 
     kind = docs.schema[ident].dataType.simpleString()
-    schema = (
-        f"row bigint, ident {kind}, held_out boolean, n_tokens bigint, symbols binary, head_log double, other_log double, "
-        "n_head bigint, rest array<bigint>"
-    )
+    schema = f"chunk bigint, ident array<{kind}>, held_out array<boolean>, sizes array<bigint>, symbols binary, words binary, counts binary"
     names = [f.split()[0] for f in schema.split(", ")]
     return materialize(docs.select(ident, held_out(F.col(ident)).alias("held_out"), text).mapInArrow(run, schema))
 
 
+def bucket_of(words: np.ndarray, buckets: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """The words' buckets (``bucket_column`` says the same in Spark); ``buckets`` for words that need no
+    sum: of one chunk alone, or of no training text."""
+    bucket = (words.view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
+    return bucket if counts is None else np.where(counts > 0, bucket, buckets)
+
+
+def bucket_column(word: Column, buckets: int) -> Column:
+    return F.shiftrightunsigned(word, 40) % buckets
+
+
+def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets ascending and the places of their words."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for part in np.split(order, cuts[1:]) if len(order) else []:
+        yield int(bucket[part[0]]), part
+
+
+def buckets_for(coded: DataFrame) -> int:
+    spark = coded.sparkSession
+    words = (coded.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // 8
+    spread = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), words // SPREAD_WORDS)
+    return max(1, -(-words // BUCKET_WORDS), spread)
+
+
+def gathered(coded: DataFrame, replies: DataFrame) -> DataFrame:
+    """coded with ``got``: the values of its words by bucket (null if it has none)."""
+    got = replies.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "values"))).alias("got"))
+    return coded.join(got.select("chunk", F.transform("got", lambda x: x["values"]).alias("got")), "chunk", "left")
+
+
+def in_place(got: list[bytes] | None, bucket: np.ndarray, kind: type, width: int) -> np.ndarray:
+    """Rows of ``width`` values for each word, from the values by bucket."""
+    out = np.zeros((len(bucket), width), kind)
+    if len(bucket):
+        order = np.argsort(bucket, kind="stable")
+        out[order] = np.frombuffer(b"".join(got), kind).reshape(-1, width)
+    return out
+
+
+def counted(coded: DataFrame, vocab: DataFrame, buckets: int) -> DataFrame:
+    """coded, written again with the counts of its words."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = np.frombuffer(raw, np.int64)
+                some = [(b, words[part].tobytes()) for b, part in dealt(bucket_of(words, buckets))]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array([b for b, _ in some], pa.int64()), pa.array([w for _, w in some], pa.binary())], ["chunk", "bucket", "words"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        word, c = known.column("word").to_numpy(), known.column("c").to_numpy()
+        order = np.argsort(word)
+        word, c = np.append(word[order], 0), np.append(c[order], 0)  # the last one: not found
+        lists = [np.frombuffer(raw, np.int64) for raw in asked.column("words").to_pylist()]
+        words = np.concatenate([*lists, np.zeros(0, np.int64)])
+        at = np.searchsorted(word[:-1], words)
+        found = np.where((word[at] == words) & (at < len(word) - 1), c[at], 0)
+        _, place, chunks = np.unique(words, return_inverse=True, return_counts=True)
+        found = np.where(chunks[place] == 1, -found, found)
+        values = [part.tobytes() for part in np.split(found, np.cumsum([len(x) for x in lists])[:-1])] if lists else []
+        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(values, pa.binary())], ["chunk", "bucket", "values"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [in_place(g, bucket_of(np.frombuffer(w, np.int64), buckets), np.int64, 1).tobytes() for g, w in zip(batch.column(7).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(counts, pa.binary())], batch.schema.names[:7])
+
+    asked = coded.select("chunk", "words").mapInArrow(ask, "chunk bigint, bucket bigint, words binary")
+    known = vocab.select(bucket_column(F.col("word"), buckets).alias("bucket"), "word", "c")
+    replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "chunk bigint, bucket bigint, values binary")
+    return materialize(gathered(coded, replies).mapInArrow(fill, coded.schema))
+
+
 @dataclass
 class Model:
-    """start[0]: of texts, start[1]: of later segments; emit[symbol, state], with a last row of ones for padding."""
+    """start[0]: of texts, start[1]: of later segments; emit[symbol, state], with a last row of ones for
+    padding. Other words: (expected count + share) / whole, or before the first round (count + 1) of
+    ``others`` of what "other" has."""
 
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    share: np.ndarray | None = None
+    whole: np.ndarray | None = None
+    others: float = 1.0
+
+    def with_words(self, counts: np.ndarray, expected: np.ndarray | None) -> Model:
+        """The same with the rows of a chunk's words before the padding."""
+        emit = self.emit.copy()
+        if self.share is None:
+            words = emit[-3] * (counts[:, None] + 1) / self.others
+            emit[-3] /= self.others
+        else:
+            words = (expected + self.share) / self.whole
+        return Model(self.start, self.move, np.vstack([emit[:-1], words, emit[-1:]]))
 
     @staticmethod
     def first(counts: np.ndarray, states: int, seed: int = 7) -> Model:
@@ -164,9 +250,13 @@ class Model:
         return Model(np.full((2, states), 1 / states), move, np.vstack([emit / emit.sum(0), np.ones(states)]))
 
     @staticmethod
-    def of_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
+    def of_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, rest: np.ndarray, shares: int) -> Model:
+        """rest: expected counts of all other words; shares: words that get one more, unknown ones as one."""
         scaled = lambda x, axis: x / x.sum(axis, keepdims=True)
-        return Model(scaled(start + 0.1, 1), scaled(move + 0.1, 1), np.vstack([scaled(emit + 0.02, 0), np.ones(emit.shape[1])]))
+        states = np.maximum(emit.sum(0) + rest, 1e-9)
+        share = states / states.sum()
+        whole = states + shares * share
+        return Model(scaled(start + 0.1, 1), scaled(move + 0.1, 1), np.vstack([(emit + share) / whole, np.ones(len(rest))]), share, whole)
 
 
 def expected(model: Model, segments: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -215,52 +305,97 @@ def cut(texts: list[np.ndarray], pad: int, length: int = SEGMENT) -> tuple[np.nd
     return out, first
 
 
-def batches_of(lists: Iterator[bytes], tokens: int) -> Iterator[list[np.ndarray]]:
-    some, size = [], 0
-    for raw in lists:
-        some.append(np.frombuffer(raw, np.uint16))
-        size += len(some[-1])
-        if size >= tokens:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One chunk at a time."""
+    return (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(len(batch)))
 
 
 def train(coded: DataFrame, counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
-    """Baum-Welch over the texts that are not held out; counts: of each symbol. Also the log-likelihood of each round."""
+    """``fit`` where ``counts`` has all words."""
+    return fit(coded, counts, states, rounds)[:2]
+
+
+def fit(
+    coded: DataFrame, counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS, n_words: int | None = None, buckets: int = 1, gain: float = GAIN
+) -> tuple[Model, list[float], DataFrame | None]:
+    """Baum-Welch over the texts that are not held out; counts: of each symbol, "other" for all words
+    beyond; n_words: different training tokens. Also the log-likelihood of each round, and the last
+    expected counts of the chunks' words."""
     spark = coded.sparkSession
-    model, likelihoods = Model.first(counts, states), []
-    columns = [f"s{i}" for i in range(states)]
-    schema = "symbol int, " + ", ".join(f"{c} double" for c in columns)
-    texts = coded.where(~F.col("held_out")).select("symbols")
     n = len(counts)
+    n_words = n - 1 if n_words is None else n_words
+    model, likelihoods, replies, before = Model.first(counts, states), [], None, None
+    model.others = float(counts[-2] + n_words - (n - 2) - (counts[-1] > 0) + 1)
+    shares = n_words + 1 + int(counts[-1] == 0)
+    texts = coded.select("chunk", "held_out", "sizes", "symbols", "words", "counts")
+    schema = "chunk bigint, bucket bigint, words binary, values binary"
+    names = ["chunk", "bucket", "words", "values"]
     for _ in range(rounds if counts.sum() else 0):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model = shared.value
-            # rows: symbols, then two for starts, one for each state's moves, one for the likelihood
-            total = np.zeros((n + 3 + states, states))
-            lists = (raw for batch in batches for raw in batch.column(0).to_pylist())
-            for some in batches_of(lists, BATCH_SEGMENTS * SEGMENT):
-                segments, first = cut(some, n)
+            # rows: symbols, then two for starts, one for each state's moves, one for the other words, one for the likelihood
+            total = np.zeros((n + 4 + states, states))
+            for row in rows_of(batches):
+                words = np.frombuffer(row["words"], np.int64)
+                bucket, local = local_model(model, row, words, buckets)
+                mine = np.zeros((len(words), states))
+                parts = np.split(np.frombuffer(row["symbols"], np.uint32), np.cumsum(row["sizes"])[:-1])
+                training = [t for t, held in zip(parts, row["held_out"], strict=True) if not held]
+                segments, first = cut(training, n + len(words)) if training else (np.zeros((0, SEGMENT), np.int64), np.zeros(0, bool))
                 for k in range(0, len(segments), BATCH_SEGMENTS):
-                    starts, moves, emits, likelihood = expected(model, segments[k : k + BATCH_SEGMENTS], first[k : k + BATCH_SEGMENTS])
-                    total[:n] += emits
+                    starts, moves, emits, likelihood = expected(local, segments[k : k + BATCH_SEGMENTS], first[k : k + BATCH_SEGMENTS])
+                    total[:n] += emits[:n]
+                    mine += emits[n:]
                     total[n : n + 2] += starts
                     total[n + 2 : n + 2 + states] += moves
                     total[-1, 0] += likelihood
-            at = np.flatnonzero(total.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[at, s]) for s in range(states)]], ["symbol", *columns])
-
-        summed = texts.mapInArrow(run, schema).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-        total = np.zeros((n + 3 + states, states))
-        total[summed["symbol"].to_numpy()] = summed[columns].to_numpy()
+                total[-2] += mine.sum(0)
+                some = [(b, words[part].tobytes() if b < buckets else b"", mine[part].astype(np.float32).tobytes()) for b, part in dealt(bucket)]
+                columns = [pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([x[0] for x in some], pa.int64()), *[pa.array([x[i] for x in some], pa.binary()) for i in (1, 2)]]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            stripes = range(0, len(total), STRIPE)
+            columns = [pa.nulls(len(stripes), pa.int64()), pa.array([-1 - k for k in range(len(stripes))], pa.int64()), pa.nulls(len(stripes), pa.binary()), pa.array([total[k : k + STRIPE].tobytes() for k in stripes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+        def add(stripe: pa.Table) -> pa.Table:
+            values = sum(np.frombuffer(raw, np.float64) for raw in stripe.column("values").to_pylist())
+            return pa.table([stripe.column("bucket").slice(0, 1), pa.array([values.tobytes()])], ["bucket", "values"])
+
+        def merge(bucket: pa.Table) -> pa.Table:
+            lists = bucket.column("words").to_pylist()
+            at = np.unique(np.frombuffer(b"".join(lists), np.int64), return_inverse=True)[1]
+            values = np.frombuffer(b"".join(bucket.column("values").to_pylist()), np.float32).reshape(-1, states)
+            summed = np.stack([np.bincount(at, values[:, s]) for s in range(states)], 1).astype(np.float32)[at]
+            parts = np.split(summed, np.cumsum([len(x) // 8 for x in lists])[:-1])
+            return pa.table([bucket.column("chunk"), bucket.column("bucket"), pa.array([x.tobytes() for x in parts])], ["chunk", "bucket", "values"])
+
+        source = gathered(texts, replies) if replies is not None else texts.withColumn("got", F.lit(None).cast("array<binary>"))
+        made = materialize(source.mapInArrow(run, schema))
+        parts = dict(made.where("bucket < 0").groupBy("bucket").applyInArrow(add, "bucket bigint, values binary").collect())
+        total = np.frombuffer(b"".join(bytes(parts[k]) for k in sorted(parts, reverse=True)), np.float64).reshape(-1, states)
+        merged = made.where(f"bucket >= 0 AND bucket < {buckets}").groupBy("bucket").applyInArrow(merge, "chunk bigint, bucket bigint, values binary")
+        replies = merged.union(made.where(f"bucket = {buckets}").select("chunk", "bucket", "values"))
+        if before is not None:
+            release(before)
+        before = made
+        del source
+        spark.sparkContext._jvm.System.gc()  # a round's shuffle files go with the driver's garbage
         likelihoods.append(float(total[-1, 0]))
-        model = Model.of_counts(total[n : n + 2], total[n + 2 : n + 2 + states], total[:n])
+        model = Model.of_counts(total[n : n + 2], total[n + 2 : n + 2 + states], total[:n], total[-2], shares)
         shared.destroy()
-    return model, likelihoods
+        if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < gain * abs(likelihoods[-1]):
+            break
+    return model, likelihoods, replies
+
+
+def local_model(model: Model, row: dict, words: np.ndarray, buckets: int) -> tuple[np.ndarray, Model]:
+    """The buckets of a chunk's words, and the model with them."""
+    counts = np.frombuffer(row["counts"], np.int64) if row["counts"] else np.zeros(len(words), np.int64)
+    bucket = bucket_of(words, buckets, counts)
+    got = None if model.share is None else in_place(row["got"], bucket, np.float32, len(model.move))
+    return bucket, model.with_words(np.abs(counts), got)
 
 
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -289,39 +424,36 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", states: in
     vocab = vocabulary(docs.where(~held_out(F.col(ident))), text)
     n_train, n_words = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = (vocab.where(F.col("word") == int(END)).select("c").first() or [0])[0]
-    head, least = head_of(vocab, head_size, symbols)
+    head, _ = head_of(vocab, head_size, symbols)
     emitted = head.rank < head.symbols
     counts = np.zeros(head.symbols + 2)
     counts[head.rank[emitted]] = head.count[emitted]
     counts[-1] = ends
     counts[-2] = n_train - counts.sum()
+    plain = code(docs, head, ident, text)
+    buckets = buckets_for(plain)
+    coded = counted(plain, vocab, buckets)
+    model, _, replies = fit(coded, counts, states, rounds, n_words, buckets)
+    shared = spark.sparkContext.broadcast((model, np.append(counts[:-2], [0, ends])))
     base_share = float(np.log10(n_train + 1 * (n_words + 1)))
-    other_share = float(np.log10(counts[-2] + n_words - head.symbols - (ends > 0) + 1))
-    coded = code(docs, head, base_share, other_share, ident, text)
-    shared = spark.sparkContext.broadcast(train(coded, counts, states, rounds)[0])
+    names = ["ident", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [np.frombuffer(raw, np.uint16) for raw in batch.column(7).to_pylist()]
-            if texts:
-                made = pa.array(log_likelihoods(shared.value, texts))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:7], made], names)
-
-    kept = ["row", "ident", "held_out", "n_tokens", "head_log", "other_log", "n_head"]
-    names = [*kept, "state_score"]
-    kinds = ", ".join(f"{c} {coded.schema[c].dataType.simpleString()}" for c in kept)
-    scored = coded.select(*kept, "symbols").mapInArrow(run, f"{kinds}, state_score double")
-
-    rare = coded.select("row", F.explode("rest").alias("word")).join(vocab.where(F.col("c") < least), "word", "left")
-    logged = F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
-    rare = rare.groupBy("row").agg(
-        F.sum(logged - base_share).alias("rare_log"), F.sum(logged - other_share).alias("rare_other"), F.count("c").alias("n_rare")
-    )
-    out = scored.join(rare, "row", "left").fillna(0, ["rare_log", "rare_other", "n_rare"])
-    return out.select(
-        F.col("ident").alias(ident), "held_out", "n_tokens",
-        (F.col("n_head") + F.col("n_rare") + F.lit(int(ends > 0))).alias("n_known"),
-        F.lit(int(n_train)).cast("bigint").alias("train_tokens"),
-        (F.col("head_log") + F.col("rare_log") + F.lit(float(np.log10(ends + 1.0)) - base_share)).alias("base_score"),
-        (F.col("state_score") + F.col("other_log") + F.col("rare_other")).alias("score"),
-    )
+        model, counts = shared.value
+        for row, texts in ((row, batch.slice(k, 1)) for batch in batches for k in range(len(batch)) for row in rows_of([batch.slice(k, 1)])):
+            words = np.frombuffer(row["words"], np.int64)
+            local = local_model(model, row, words, buckets)[1]
+            count = np.append(counts, np.abs(np.frombuffer(row["counts"], np.int64)))
+            symbols, sizes = np.frombuffer(row["symbols"], np.uint32), np.array(row["sizes"])
+            begins = np.cumsum(sizes) - sizes  # every text has its end, so none is empty
+            base = np.add.reduceat(np.log10(count + 1.0)[symbols] - base_share, begins)
+            known = np.add.reduceat((count > 0)[symbols].astype(np.int64), begins)
+            made = log_likelihoods(local, np.split(symbols, begins[1:]))
+            yield pa.RecordBatch.from_arrays([texts.column(0).flatten(), texts.column(1).flatten(), pa.array(sizes), pa.array(known), pa.array(base), pa.array(made)], names)
+
+    columns = ["ident", "held_out", "sizes", "symbols", "words", "counts"]
+    source = gathered(coded.select("chunk", *columns), replies) if replies is not None else coded.withColumn("got", F.lit(None).cast("array<binary>"))
+    kind = docs.schema[ident].dataType.simpleString()
+    scored = source.select(*columns, "got").mapInArrow(run, f"ident {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    release(plain)
+    return scored.select(F.col("ident").alias(ident), "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -113,3 +113,32 @@ def test_word_hashes_follow_words():
     words = [w for t in texts for w in t.lower().split()]
     assert np.diff(bounds).tolist() == [len(t.split()) for t in texts] and len(h) == len(words)
     assert all((h[i] == h[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
+
+
+def test_states_emit_words_beyond_the_shared_symbols(spark):
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join("xy"[i % 2] if k % 3 == 0 else f"{'ab'[i % 2]}{rng.integers(200)}" for k in range(60))) for i in range(300)]
+    rows = hmm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), states=2, rounds=12, symbols=2).collect()
+    for held in (False, True):  # a topic's words are half as many: log10(2) a token, of which x and y are a third
+        some = [r for r in rows if r["held_out"] == held]
+        assert sum(r["score"] - r["base_score"] for r in some) > 0.2 * sum(r["n_tokens"] for r in some)
+
+
+def test_all_training_words_and_the_unknown_one_sum_to_one():
+    rng = np.random.default_rng(4)
+    counts = np.array([50.0, 40, 30, 20])  # two symbols, the words beyond, the end
+    beyond = np.array([17, 9, 4])
+    first = hmm.Model.first(counts, 3)
+    first.others = 30.0 + 3 + 1
+    gamma = rng.random((3, 3))
+    later = hmm.Model.of_counts(rng.random((2, 3)), rng.random((3, 3)), np.array([[5, 6, 7], [1, 2, 3], [0, 0, 0], [1, 1, 1]]), gamma.sum(0), 7)
+    for m in (first, later):
+        local = m.with_words(beyond, gamma)
+        assert local.emit.shape == (8, 3) and np.allclose(local.emit[:-1].sum(0), 1) and (local.emit[-1] == 1).all()
+
+
+def test_rounds_end_with_the_gain(spark):
+    df = spark.createDataFrame([(i, "same words in each text") for i in range(40)], "doc_id long, text string")
+    head, _ = hmm.head_of(hmm.vocabulary(df))
+    _, likelihoods = hmm.train(hmm.code(df, head), np.array([40.0] * 5 + [0, 40]), 2, 50)
+    assert 1 < len(likelihoods) < 50 and likelihoods[-1] - likelihoods[-2] < hmm.GAIN * abs(likelihoods[-1])
