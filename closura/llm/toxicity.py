@@ -10,8 +10,9 @@ with a target. A text is scored by the weights of its matched clauses, in total
 words; a logistic curve over these two, fitted on counts of the training rows, turns them into a
 probability.
 
-The lexicon is bounded by ``MAX_PATTERNS``; labelled rows by ``MAX_LABELLED`` (beyond it, a share of
-them chosen by hash is used), so both can be sent to every task. Scoring is row by row.
+A pattern needs ``MIN_ROWS`` toxic texts, ``MIN_ODDS`` and significance, at every size; the lexicon has
+all that pass and no shorter one covers. Labelled rows are bounded by ``MAX_LABELLED`` (beyond it, a
+share of them chosen by hash is used), so that they can be sent to every task. Scoring is row by row.
 
 Defined results: null and empty texts have no clause and get the score of such texts; a document
 with several labels counts as toxic if one says so; labels that are null or of unknown documents are
@@ -36,10 +37,9 @@ from closura.session import materialize
 
 THRESHOLD = 0.7
 MAX_LABELLED = 500_000
-MAX_PATTERNS = 2_000
-MIN_ROWS = 4  # toxic texts that hold a pattern, and as a share of all toxic ones:
-MIN_SHARE = 0.02
+MIN_ROWS = 4  # toxic texts that hold a pattern
 MIN_ODDS = 2.5
+SIGNIFICANT = 15.137  # of the log-likelihood ratio: 1 in 10,000 by chance
 PREFIXES = range(3, 11)
 
 # Word classes of the grammar.
@@ -190,28 +190,41 @@ def _labelled(docs: DataFrame, labels: DataFrame, ident: str, text: str) -> Data
     return docs.select(F.col(ident).alias("__id"), F.col(text).alias("text")).join(checked(known, 2 * MAX_LABELLED), "__id").select("text", F.col("__toxic").alias("toxic"))
 
 
+def ratio(t: Column, n: Column, share: float) -> Column:
+    """Log-likelihood ratio of t toxic ones of n against the share of all rows."""
+    return 2 * sum(F.when(k > 0, k * F.log(k / (n * F.lit(p)))).otherwise(0.0) for k, p in ((t, share), (n - t, 1 - share)))
+
+
+def prune(chosen: pa.Table) -> pa.Table:
+    """form, t, odds of all forms with the same first letters, without those that a shorter kept one covers
+    or a longer one replaces."""
+    found = {r["form"]: (r["t"], r["odds"]) for r in chosen.to_pylist()}
+    longer: dict[str, int] = {}  # the best support of a form that is longer by a letter or a word's end
+    for form, (support, _) in found.items():
+        longer[form[:-1]] = max(longer.get(form[:-1], 0), support)
+    kept: dict[str, float] = {}
+    for form in sorted(found, key=len):
+        support, weight = found[form]
+        covered = any(kept.get(form[:k], 0.0) >= weight - 0.7 for k in range(1, len(form)))
+        if not covered and longer.get(form, 0) < 0.9 * support:
+            kept[form] = weight
+    return pa.table([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.float64())], ["form", "odds"])
+
+
 def patterns(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """rows: text, toxic. Weighted words and prefixes."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    words = rows.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     n, t = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < t < n:
         return {}, {}
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    words = rows.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     # a word is marked by a final blank, so that it differs from the prefix
     forms = F.concat(F.array(F.concat("word", F.lit(" "))), F.transform(F.filter(F.lit(list(PREFIXES)), lambda k: k <= F.length("word")), lambda k: F.substring(F.col("word"), F.lit(1), k)))
-    counted = words.select("t", "n", F.explode(forms).alias("form")).groupBy("form").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    counted = words.select("t", "n", F.explode(forms).alias("form")).groupBy("form").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).where(F.col("t") >= MIN_ROWS)
     odds = F.log((F.col("t") + 0.5) / (t + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - t + 1))
-    chosen = counted.where(F.col("t") >= max(MIN_ROWS, MIN_SHARE * t)).select("form", "t", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS)
-    chosen = {r["form"]: (r["t"], r["odds"]) for r in chosen.orderBy(F.desc("t"), "form").limit(MAX_PATTERNS).collect()}
-    longer: dict[str, int] = {}  # the best support of a form that is longer by a letter or a word's end
-    for form, (support, _) in chosen.items():
-        longer[form[:-1]] = max(longer.get(form[:-1], 0), support)
-    kept: dict[str, float] = {}
-    for form in sorted(chosen, key=len):
-        support, weight = chosen[form]
-        covered = any(kept.get(form[:k], 0.0) >= weight - 0.7 for k in range(1, len(form)))
-        if not covered and longer.get(form, 0) < 0.9 * support:
-            kept[form] = weight
+    chosen = counted.where((odds >= MIN_ODDS) & (ratio(F.col("t"), F.col("n"), t / n) >= SIGNIFICANT)).select("form", "t", odds.alias("odds"))
+    # forms cover each other only within the same shortest prefix
+    kept = dict(chosen.groupBy(F.substring("form", 1, PREFIXES[0])).applyInArrow(prune, "form string, odds double").collect())
     return {f[:-1]: w for f, w in kept.items() if f[-1] == " "}, {f: w for f, w in kept.items() if f[-1] != " "}
 
 

@@ -69,3 +69,25 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == sum(1 - r["predicted"] for r in got)
     assert {r["score"] for r in tox.judge(df, labels.limit(0)).collect()} == {0.0}
     assert tox.judge(df.limit(0), labels).collect() == []
+
+
+def test_words_of_a_rare_language_and_many_patterns_are_learned(spark):
+    letters = "abcdefghij"
+    insult = lambda i: "z" + "".join(letters[int(c)] for c in f"{i:04d}") + "q"
+    docs = [(i, f"plain {letters[i % 10]}{letters[i // 10 % 10]}", 0) for i in range(2_000)]
+    docs += [(i, "common grolk", 1) for i in range(2_000, 3_000)]  # nearly all toxic rows
+    docs += [(i, "vulgo tontazo", 1) for i in range(3_000, 3_008)]  # 8 of 1,008, under 2 %
+    words, starts = tox.patterns(spark.createDataFrame([(t, x) for _, t, x in docs], "text string, toxic int"))
+    found = tox.Grammar(words, starts)
+    assert found.classify("grolk")[0] == found.classify("tontazo")[0] == tox.INSULT and found.classify("plain")[0] == tox.OTHER
+    many = [(f"{insult(i)}", 1) for i in range(2_500) for _ in range(4)] + [("clean words", 0)] * 90_000
+    words, starts = tox.patterns(spark.createDataFrame([(t, x) for t, x in many], "text string, toxic int"))
+    found = tox.Grammar(words, starts)
+    assert all(found.classify(insult(i))[0] == tox.INSULT for i in range(2_500))
+
+
+def test_chance_is_no_insult(spark):
+    rows = [("word filler", k % 2) for k in range(200)] + [("rarity", 1)] * 4 + [("calm", 0)] * 40
+    words, starts = tox.patterns(spark.createDataFrame(rows, "text string, toxic int"))
+    found = tox.Grammar(words, starts)
+    assert found.classify("rarity")[0] == found.classify("filler")[0] == tox.OTHER
