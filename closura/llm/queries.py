@@ -7,8 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from closura.llm import bpe, decontaminate, hmm, line_dedup, minhash, packing, quality, sharding, toxicity, url_filter
+from closura.llm import bpe, decontaminate, hard_negatives, hmm, line_dedup, minhash, packing, quality, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,4 +78,35 @@ def op4_url_filter(spark, sf):
     return url_filter.judge(table(spark, sf, "pages"))
 
 
+@query
+def op11_hard_negatives(spark, sf):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH used AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, a.label AS anchor_label, c.vec_id, c.label,
+           list_sum([z[1] * z[2] FOR z IN list_zip(a.q, c.q)])::BIGINT AS score
+    FROM used a JOIN used c ON a.vec_id <> c.vec_id
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score
+    FROM scored WHERE label = anchor_label
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER best ::INTEGER AS rank, s.vec_id AS negative_id,
+       positive_score, s.score AS negative_score
+FROM positives p JOIN scored s USING (anchor_id)
+WHERE s.label <> p.anchor_label AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER best <= 10
+"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
