@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from closura.llm import bpe, decontaminate, hard_negatives, hmm, line_dedup, minhash, packing, quality, sharding, toxicity, url_filter
+from closura.llm import bpe, collocations, decontaminate, hard_negatives, hmm, line_dedup, minhash, packing, quality, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,4 +109,52 @@ WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec
 QUALIFY row_number() OVER best <= 10
 """
 
+@query
+def op13_phrase_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+ORACLES["op13_phrase_collocations"] = """
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), pieces AS (
+    SELECT lang, unnest(string_split_regex(text, '[.,;:!?\n\x0B\f\r]')) AS piece FROM texts
+), listed AS (
+    SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces
+), phrases AS (
+    SELECT lang, 1 AS words, unnest(w) AS phrase FROM listed
+    UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM listed
+    UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM listed
+), counts AS (
+    SELECT lang, words, phrase, count(*) AS f FROM phrases GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE words = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS p FROM counts WHERE words > 1 AND f >= 10
+), cuts AS (
+    SELECT lang, words, phrase, a, unnest(range(1, words)) AS k, p FROM candidates
+), parts AS (
+    SELECT lang, words, phrase, a, k, array_to_string(p[:k], ' ') AS head, array_to_string(p[k + 1:], ' ') AS tail FROM cuts
+), scored AS (
+    SELECT c.lang, c.words, c.phrase, c.a, x.f AS l, y.f AS r,
+           ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM parts c
+    JOIN counts x ON x.lang = c.lang AND x.phrase = c.head
+    JOIN counts y ON y.lang = c.lang AND y.phrase = c.tail
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), inner_pairs AS (
+    SELECT lang, a AS longer, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS phrase
+    FROM candidates WHERE words = 3
+), gone AS (
+    SELECT c.lang, c.phrase FROM candidates c JOIN inner_pairs i USING (lang, phrase) WHERE 100 * i.longer >= 50 * c.a
+)
+SELECT s.lang, row_number() OVER best AS rank, s.phrase, s.a, s.l, s.r, t.n, s.score
+FROM scored s JOIN totals t USING (lang)
+WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.lang = s.lang AND g.phrase = s.phrase)
+WINDOW best AS (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase)
+QUALIFY row_number() OVER best <= 2000
+"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
