@@ -44,8 +44,9 @@ NO_LANG = "und"
 SCALE = 1_000_000
 
 SHARDS = 5
-CHUNK_BYTES = 6_000_000  # text whose phrases are grouped at once
-PENDING = 8_000_000  # hashes that a task holds before it counts and sends them
+CHUNK_BYTES = 12_000_000  # text that waits to be grouped by shard and language
+WORDS = 50_000  # hashed at once
+PENDING = 6_000_000  # hashes that a task holds before it counts and sends them
 BUCKET_BYTES = 8_000_000  # of text to a bucket of hashes
 FILTER_BITS = 27  # log2 of the filter's bits: 16 MB
 TOP_SALT = 64
@@ -81,9 +82,14 @@ class Chunk:
         powers = np.full(int(self.sizes.max()), _PLACES[which])
         powers[0] = 1
         np.multiply.accumulate(powers, out=powers)
-        first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        at = np.arange(int(self.sizes.sum()), dtype=np.int64) - np.repeat(first, self.sizes)
-        single = mix(np.add.reduceat(_VALUES[which][self.data[self.word]] * powers[at], first) ^ self.seed[which])
+        single = np.empty(len(self.starts), np.uint64)
+        for begin in range(0, len(single), WORDS):
+            starts, sizes = self.starts[begin : begin + WORDS], self.sizes[begin : begin + WORDS]
+            text = slice(starts[0], starts[-1] + sizes[-1])
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            at = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
+            values = _VALUES[which][self.data[text][self.word[text]]] * powers[at]
+            single[begin : begin + WORDS] = mix(np.add.reduceat(values, first) ^ self.seed[which])
         out = [single]
         for more in range(1, longest):
             out.append(mix(out[-1][: len(single) - more] * _PLACES[1 - which] + single[more:]))
@@ -108,21 +114,24 @@ class Chunk:
         return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[keep].tobytes()))
 
 
-def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The texts of a batch by language, some at a time; a text is never cut."""
-    langs = batch.column("lang").to_pylist()
-    texts = batch.column("text").cast(pa.binary())
-    by_lang: dict[str, tuple[list[bytes], int]] = {}
-    for at, lang in enumerate(langs):
-        some, size = by_lang.get(lang, ([], 0))
-        some.append(texts[at].as_py())
-        size += len(some[-1])
-        by_lang[lang] = (some, size)
-        if size >= limit:
-            yield Chunk(lang, some)
-            del by_lang[lang]
-    for lang, (some, _) in by_lang.items():
-        yield Chunk(lang, some)
+def chunks(batches: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[tuple[int, Chunk]]:
+    """Shard and texts of one shard and language at a time; a text is never cut. Once more than ``limit``
+    bytes wait, the most that wait together go."""
+    limit = CHUNK_BYTES if limit is None else limit
+    waiting: dict[tuple[int, str], list[bytes]] = {}
+    sizes: dict[tuple[int, str], int] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            for shard, lang, text in zip(part.column("shard").to_pylist(), part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
+                waiting.setdefault((shard, lang), []).append(text)
+                sizes[shard, lang] = sizes.get((shard, lang), 0) + len(text) + 1
+                if sum(sizes.values()) >= limit:
+                    key = max(sizes, key=sizes.get)
+                    del sizes[key]
+                    yield key[0], Chunk(key[1], waiting.pop(key))
+    for (shard, lang), texts in waiting.items():
+        yield shard, Chunk(lang, texts)
 
 
 def _distinct(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +156,9 @@ def _mine(longest: int, bucket_bits: int):
         held: dict[int, list[np.ndarray]] = {}
 
         def sent():
-            rows: dict[str, list] = {"bucket": [], "shard": [], "hashes": [], "counts": []}
+            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             for shard in list(held):
+                rows: dict[str, list] = {"bucket": [], "shard": [], "hashes": [], "counts": []}
                 hashes, counts = _distinct(np.concatenate(held.pop(shard)))
                 edges = np.searchsorted(hashes, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)) if bucket_bits else np.zeros(1, np.int64)
                 edges = np.append(edges, len(hashes))
@@ -156,18 +166,13 @@ def _mine(longest: int, bucket_bits: int):
                     part = slice(edges[bucket], edges[bucket + 1])
                     for name, value in zip(rows, (int(bucket), shard, hashes[part].tobytes(), counts[part].astype(np.uint32).tobytes())):
                         rows[name].append(value)
-            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            for at in range(0, len(rows["bucket"]), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 256], t) for v, t in zip(rows.values(), types)], names=list(rows))
-
-        for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            for shard in np.unique(shards):
-                for chunk in chunks(batch.filter(pa.array(shards == shard))):
-                    new = [h[chunk.within(n)] for n, h in enumerate(chunk.hashes(0, longest), 1)]
-                    held.setdefault(int(shard), []).extend(new)
-                    if sum(len(h) for some in held.values() for h in some) >= PENDING:
-                        yield from sent()
+                for at in range(0, len(rows["bucket"]), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 256], t) for v, t in zip(rows.values(), types)], names=list(rows))
+
+        for shard, chunk in chunks(batches):
+            held.setdefault(shard, []).extend(h[chunk.within(n)] for n, h in enumerate(chunk.hashes(0, longest), 1))
+            if sum(len(h) for some in held.values() for h in some) >= PENDING:
+                yield from sent()
         yield from sent()
 
     return work
@@ -219,25 +224,24 @@ def _count(longest: int, filter_bits: int, filtered):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(filtered.value, np.uint8)
-        for batch in batches:
-            for chunk in chunks(batch):
-                one, two = chunk.hashes(0, longest), chunk.hashes(1, longest)
-                yield _rows(chunk.lang, 0, pa.nulls(1, pa.string()), np.array([len(chunk.starts)]))
-                for n in range(1, longest + 1):
-                    at = chunk.within(n)
-                    place = one[n - 1][at] >> np.uint64(64 - filter_bits)
-                    at = at[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                    a, b = one[n - 1][at], two[n - 1][at]
-                    order = np.argsort(a)
-                    a, b = a[order], b[order]
-                    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
-                        order = np.lexsort((two[n - 1][at], one[n - 1][at]))
-                        a, b = one[n - 1][at][order], two[n - 1][at][order]
-                    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                    counts = np.diff(np.append(first, len(a)))
-                    for some in range(0, len(first), 100_000):
-                        part = slice(some, some + 100_000)
-                        yield _rows(chunk.lang, n, chunk.phrases(at[order[first[part]]], n), counts[part])
+        for _, chunk in chunks(batches):
+            one, two = chunk.hashes(0, longest), chunk.hashes(1, longest)
+            yield _rows(chunk.lang, 0, pa.nulls(1, pa.string()), np.array([len(chunk.starts)]))
+            for n in range(1, longest + 1):
+                at = chunk.within(n)
+                place = one[n - 1][at] >> np.uint64(64 - filter_bits)
+                at = at[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                a, b = one[n - 1][at], two[n - 1][at]
+                order = np.argsort(a)
+                a, b = a[order], b[order]
+                if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+                    order = np.lexsort((two[n - 1][at], one[n - 1][at]))
+                    a, b = one[n - 1][at][order], two[n - 1][at][order]
+                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                counts = np.diff(np.append(first, len(a)))
+                for some in range(0, len(first), 100_000):
+                    part = slice(some, some + 100_000)
+                    yield _rows(chunk.lang, n, chunk.phrases(at[order[first[part]]], n), counts[part])
 
     return work
 
@@ -252,7 +256,7 @@ def phrase_counts(docs: DataFrame, support: int, longest: int, shards: int = SHA
     """Written: lang, words, phrase, f of every phrase of 1 to ``longest`` words with f >= support; words 0: all words."""
     used = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     filtered = docs.sparkSession.sparkContext.broadcast(candidate_filter(used, support, longest, shards, filter_bits))
-    counted = used.mapInArrow(_count(longest, filter_bits, filtered), "lang string, words int, phrase string, f long")
+    counted = used.withColumn("shard", F.lit(0)).mapInArrow(_count(longest, filter_bits, filtered), "lang string, words int, phrase string, f long")
     return materialize(counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= support)))
 
 

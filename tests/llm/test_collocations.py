@@ -91,7 +91,7 @@ def test_equal_hashes_do_not_join_phrases(spark, monkeypatch):
 
     import pyarrow as pa
 
-    batch = pa.table({"lang": ["en"] * len(texts), "text": [t.decode() for t in texts]}).to_batches()[0]
+    batch = pa.table({"shard": [0] * len(texts), "lang": ["en"] * len(texts), "text": [t.decode() for t in texts]}).to_batches()[0]
     for r in (r for b in collocations._count(3, 7, Full)(iter([batch])) for r in b.to_pylist() if r["words"]):
         got[r["phrase"]] += r["f"]
     want = Counter()
