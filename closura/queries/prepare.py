@@ -404,7 +404,7 @@ def _(spark, sf):
         *_TOP6,
         "nz AS (SELECT pos FROM dense GROUP BY pos ORDER BY count_if(value <> 0) DESC, pos LIMIT 1)",
         "d AS (SELECT sample_id, v AS dv FROM eps WHERE pos = (SELECT pos FROM nz))",
-        select=f"""SELECT sample_id, (CASE WHEN pos > (SELECT pos FROM nz) THEN pos - 1 ELSE pos END)::INTEGER AS pos, printf('%.9e', v / dv) AS alr,
+        select=f"""SELECT sample_id, (CASE WHEN pos > (SELECT pos FROM nz) THEN pos - 1 ELSE pos END)::INTEGER AS pos, v / dv AS alr,
    {rd('ln(v / dv)')} AS alr_log FROM eps JOIN d USING (sample_id) WHERE pos <> (SELECT pos FROM nz)""",
     ),
 )
@@ -415,7 +415,7 @@ def _(spark, sf):
     x = rows.pseudocount(F.col("x")), x
     pair = F.arrays_zip(rows.alr(x[0], d).alias("a"), rows.alr_log(x[0], d).alias("l"))
     return x[1].select("sample_id", F.posexplode_outer(pair).alias("pos", "p")).select(
-        "sample_id", "pos", F.format_string("%.9e", "p.a").alias("alr"), F.round("p.l", 9).alias("alr_log")
+        "sample_id", "pos", F.col("p.a").alias("alr"), F.round("p.l", 9).alias("alr_log")
     )
 
 
