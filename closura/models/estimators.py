@@ -33,7 +33,6 @@ CLASSIFIERS = ("logreg", "rf_class", "gbt_class", "mlp_class")
 ORDINAL = "ordinal"
 TREES = ("rf", "rf_class", "gbt", "gbt_class")
 MAX_TREE_DEPTH = 30
-NORMAL_SOLVER_WIDTH = 4096
 # stands for a missing value in tree models: below anything a feature can be
 MISSING_SENTINEL = -1e300
 
@@ -74,14 +73,12 @@ def _scaler(train: DataFrame, n: int) -> PipelineModel:
 def _linreg(train, p, n, width, seed):
     alpha, l1 = float(p["alpha"]), float(p["l1_ratio"])
     scale = _scaler(train, n)
-    solver = "normal" if width <= NORMAL_SOLVER_WIDTH else "l-bfgs"
-    spread = F.stddev_pop if solver == "normal" else F.stddev_samp
-    s = train.agg(spread("label")).first()[0] or 1.0
-    # MLlib scales the label by s before penalising: undo it so that alpha and l1_ratio keep their meaning
+    # one solver at every width; it scales the label by s before penalising: undo it so that alpha and l1_ratio keep their meaning
+    s = train.agg(F.stddev_samp("label")).first()[0] or 1.0
     lam = alpha * (l1 + s * (1 - l1))
     est = LinearRegression(
         featuresCol="scaled", regParam=lam, elasticNetParam=(alpha * l1 / lam if lam > 0 else 0.0),
-        standardization=False, solver=solver, maxIter=1000, tol=1e-10,
+        standardization=False, solver="l-bfgs", maxIter=1000, tol=1e-12,
     )
     return {"main": PipelineModel([*scale.stages, est.fit(scale.transform(train))])}, {}
 

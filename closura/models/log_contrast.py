@@ -1,7 +1,9 @@
 """Zero-sum sparse regression on node means.
 
-Spark reduces n rows to a (p + 2) x (p + 2) Gram matrix; the constrained problem is then
-solved on it. The matrix is the only thing that reaches the driver and its size is checked.
+min |y - c - Xa|^2 + lam * sum w|a| with sum(a) = 0, then least squares on the columns in use. A design
+of one block of columns is summed up once and solved from its sums in a task; a wider one by accelerated proximal
+steps, whose gradients are one pass each with the partial vectors added in two levels. Both minimise the same
+function to the same tolerance; vectors of the design's width are all that the driver holds.
 """
 
 from __future__ import annotations
@@ -11,56 +13,23 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closura.models.estimators import Fitted
+from closura.models.moments import BLOCK, block_width, by_group, gradient, gram
+from closura.session import materialize, release
 
-MAX_WIDTH = 4000
 # Fixed value: coefficients below this are outside the support.
 SUPPORT_TOL = 1e-5
+STEPS, TOLERANCE = 5000, 1e-10  # of the proximal steps over a wide design
+POWER_STEPS = 30
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _block_gram(batches):
-    """Sum of z z' over one partition, z = (1, x, y); emitted row by row."""
-    total = None
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        x = np.stack(pdf["x"].to_numpy())
-        z = np.column_stack([np.ones(len(x)), x, pdf["y"].to_numpy()])
-        g = z.T @ z
-        total = g if total is None else total + g
-    if total is not None:
-        yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
-
-
-def gram(rows: DataFrame) -> DataFrame:
-    """(i, row): the Gram matrix of (1, x, y) over all rows, from per-partition p x p blocks that
-    are summed by index. No pair of cells is ever shuffled per sample."""
-    blocks = rows.select("x", F.col("y").cast("double").alias("y")).mapInPandas(_block_gram, "i int, row array<double>")
-    return (
-        blocks.select("i", array_to_vector("row").alias("v"))
-        .groupBy("i")
-        .agg(Summarizer.sum(F.col("v")).alias("s"))
-        .select("i", vector_to_array("s").alias("row"))
-    )
-
-
-def gram_matrix(rows: DataFrame, max_width: int = MAX_WIDTH) -> np.ndarray:
-    head = rows.select(F.size("x").alias("w")).first()
-    if head is None:
-        raise ValueError("no rows")
-    if head["w"] > max_width:
-        raise ValueError(f"{head['w']} columns exceed the Gram limit of {max_width}; select or aggregate features first.")
-    parts = gram(rows).orderBy("i").collect()
-    return np.array([r["row"] for r in parts])
-
-
 def solve_zero_sum(m: np.ndarray, b: np.ndarray, support: np.ndarray, constraint: np.ndarray) -> np.ndarray:
     """Least squares from its normal equations ``m``, ``b`` on ``support`` with constraint'beta = 0."""
     beta = np.zeros(len(b))
@@ -118,22 +87,120 @@ def l1_zero_sum(g: np.ndarray, b: np.ndarray, lam: float, w: np.ndarray, iters:
     return a
 
 
-def fit_log_contrast(rows: DataFrame, n_leaves: list[float], lam: float, max_width: int = MAX_WIDTH) -> Fitted:
-    """``rows``: x (node means), y. ``lam`` is relative to the smallest penalty that zeroes everything."""
-    full = gram_matrix(rows, max_width)
-    n = full[0, 0]
-    p = len(full) - 2
+def _solved(full: np.ndarray, w: np.ndarray, lam: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Intercept and coefficients after the refit, the penalised ones, and their gradient, from the sums of (1, x, y)."""
+    n, p = full[0, 0], len(full) - 2
     x, y = slice(1, p + 1), p + 1
     mean_x, mean_y = full[0, x] / n, full[0, y] / n
     g = full[x, x] - n * np.outer(mean_x, mean_x)
     b = full[x, y] - n * mean_x * mean_y
-    w = 1.0 / np.asarray(n_leaves, dtype=float)
-    top = 2.0 * float(np.max(np.abs(b) / w)) if p else 0.0
-    a = l1_zero_sum(g, b, lam * top, w)
+    a = l1_zero_sum(g, b, lam * 2.0 * float(np.max(np.abs(b) / w)), w)
     intercept = mean_y - mean_x @ a
     support = np.concatenate([[abs(intercept) > SUPPORT_TOL], np.abs(a) > SUPPORT_TOL])
-    constraint = np.concatenate([[0.0], np.ones(p)])
-    beta = solve_zero_sum(full[: p + 1, : p + 1], full[: p + 1, y], support, constraint)
+    beta = solve_zero_sum(full[: p + 1, : p + 1], full[: p + 1, y], support, np.concatenate([[0.0], np.ones(p)]))
+    return float(beta[0]), beta[1:], a, 2.0 * (g @ a - b)
+
+
+def optimality(a: np.ndarray, grad: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """By how much each coefficient breaks the conditions of the constrained minimum, relative to the penalties
+    ``t``: some one number m must have grad + m = -t * sign(a) where a is not 0, and |grad + m| <= t elsewhere."""
+    on = a != 0
+    scale = float(np.max(t))
+    if on.any():
+        m = float(np.median(-t[on] * np.sign(a[on]) - grad[on]))
+        return np.where(on, np.abs(grad + m + t * np.sign(a)), np.maximum(np.abs(grad + m) - t, 0.0)) / scale
+    low, high = float(np.max(-t - grad)), float(np.min(t - grad))
+    return np.full(len(a), max(low - high, 0.0) / scale)
+
+
+def _refit_wide(rows: DataFrame, support: np.ndarray, free: bool, n: float, mean_x: np.ndarray, mean_y: float, block: int) -> tuple[float, np.ndarray]:
+    """Least squares on the columns in use with coefficients that add up to zero."""
+    p = len(support)
+    used = np.flatnonzero(support)
+    if len(used) + 2 <= block:
+        some = rows.select(F.transform(F.lit([int(i) for i in used]), lambda i: F.get("x", i)).alias("x"), "y")
+
+        def solve(full: np.ndarray, _key) -> pd.DataFrame:
+            s = np.concatenate([[free], np.ones(len(full) - 2, bool)])
+            return pd.DataFrame({"beta": [solve_zero_sum(full[:-1, :-1], full[:-1, -1], s, np.concatenate([[0.0], np.ones(len(full) - 2)]))]})
+
+        beta = np.array(by_group(gram(some, block=block), [], solve, "beta array<double>").first()["beta"]) if len(used) else np.array([mean_y if free else 0.0])
+        out = np.zeros(p)
+        out[used] = beta[1:]
+        return float(beta[0]), out
+    # conjugate gradients among vectors on the support that add up to zero
+    centre = lambda v: np.where(support, v - v[used].mean(), 0.0)
+    at = lambda v: mean_y - mean_x @ v if free else 0.0
+    beta = np.zeros(p)
+    start = gradient(rows, at(beta), beta)[2]
+    r = -centre(start)
+    d, size = r.copy(), float(r @ r)
+    first = size
+    for _ in range(len(used)):
+        if size <= 1e-20 * max(first, 1e-300):
+            break
+        h = centre(gradient(rows, at(d), d)[2] - start)
+        step = size / float(d @ h)
+        beta, r = beta + step * d, r - step * h
+        size, old = float(r @ r), size
+        d = r + size / old * d
+    return float(at(beta)), beta
+
+
+def _fit_wide(rows: DataFrame, w: np.ndarray, lam: float, block: int, steps: int = STEPS, tol: float = TOLERANCE) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_solved``, by passes over the rows."""
+    rows = materialize(rows.select("x", F.col("y").cast("double").alias("y")))
+    head = rows.agg(Summarizer.mean(array_to_vector("x")).alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).first()
+    mean_x, mean_y, n = head["x"].toArray(), head["y"], float(head["n"])
+    p = len(mean_x)
+    # the gradient of half the squared error, with the best intercept for a
+    half = lambda a: gradient(rows, float(mean_y - mean_x @ a), a)[2]
+    b = -half(np.zeros(p))
+    v = b / max(float(np.linalg.norm(b)), 1e-300)
+    top = 0.0
+    for _ in range(POWER_STEPS):
+        gv = half(v) + b
+        size = float(np.linalg.norm(gv))
+        if size == 0:
+            break
+        done = abs(size - top) <= 1e-3 * size
+        top, v = size, gv / size
+        if done:
+            break
+    step = 1.0 / max(2.2 * top, 1e-300)
+    t = lam * 2.0 * float(np.max(np.abs(b) / w)) * w
+    a, y, k = np.zeros(p), np.zeros(p), 1.0
+    for _ in range(steps):
+        nxt = zero_sum_prox(y - step * 2.0 * half(y), step * t)
+        restart = float(np.dot(y - nxt, nxt - a)) > 0
+        moved = float(np.max(np.abs(nxt - a), initial=0.0))
+        k2 = 1.0 if restart else 0.5 * (1 + np.sqrt(1 + 4 * k * k))
+        y = nxt if restart else nxt + (k - 1) / k2 * (nxt - a)
+        a, k = nxt, k2
+        if moved <= tol * max(1.0, float(np.max(np.abs(a), initial=0.0))):
+            break
+    grad = 2.0 * half(a)
+    intercept = mean_y - mean_x @ a
+    beta0, beta = _refit_wide(rows, np.abs(a) > SUPPORT_TOL, abs(intercept) > SUPPORT_TOL, n, mean_x, mean_y, block)
+    release(rows)
+    return beta0, beta, a, grad
+
+
+def fit_log_contrast(rows: DataFrame, n_leaves: list[float], lam: float, block: int = BLOCK) -> Fitted:
+    """``rows``: x (node means), y. ``lam`` is relative to the smallest penalty that zeroes everything."""
+    w = 1.0 / np.asarray(n_leaves, dtype=float)
+    p = block_width(rows)
+    if p + 2 <= block:
+
+        def solve(full: np.ndarray, _key) -> pd.DataFrame:
+            intercept, beta, a, grad = _solved(full, w, lam)
+            return pd.DataFrame({"intercept": [intercept], "beta": [beta], "a": [a], "grad": [grad]})
+
+        row = by_group(gram(rows, block=block), [], solve, "intercept double, beta array<double>, a array<double>, grad array<double>").first()
+        intercept, beta, a, grad = row["intercept"], np.array(row["beta"]), np.array(row["a"]), np.array(row["grad"])
+    else:
+        intercept, beta, a, grad = _fit_wide(rows, w, lam, block)
     return Fitted(
-        "log_contrast", {}, {"intercept": float(beta[0]), "coef": beta[1:].tolist(), "norefit": a.tolist(), "width": p, "n_classes": None}
-    )
+        "log_contrast", {},
+        {"intercept": float(intercept), "coef": beta.tolist(), "norefit": a.tolist(), "gradient": grad.tolist(), "width": p, "n_classes": None},
+    )

@@ -16,6 +16,7 @@ from closura.dataset import Dataset
 from closura.models.explain import COEF_MODELS, coefficients, shapley_sample
 from closura.models.estimators import CLASSIFIERS, ORDINAL, TREES, Fitted, fit_model, to_features
 from closura.models.log_contrast import fit_log_contrast
+from closura.models.moments import BLOCK, linear_trials
 from closura.operators import metrics as m
 from closura.operators.checks import check_enrich_nulls, check_ordinal_levels, check_snapshot_nulls
 from closura.operators.splits import assign_folds
@@ -204,18 +205,30 @@ def evaluate_candidates(
             x = x.select("sample_id", "fit", "split", "x")
         else:
             x, _ = engineer_folds(ds, folds, k, cfg, taxonomy, fits=list(range(k)))
+        for kind in sorted({t["model_type"] for t in members}):  # one join with each type's target, none in a trial
+            x = x.join(targets[kind][0].withColumnRenamed("y", f"y_{kind}"), "sample_id")
         x = materialize(x)
         width = {r["fit"]: r["w"] for r in x.groupBy("fit").agg(F.max(F.size("x")).alias("w")).collect()}
 
         def run(job):
             t, fold = job
             kind = t["model_type"]
-            y, classes = targets[kind]
-            design = x.join(y, "sample_id")  # noqa: B023
-            fitted, scores = _fit_fold(design, kind, _params(t, kind), classes, fold, seed, tree)
+            design = x.select("sample_id", "fit", "split", "x", F.col(f"y_{kind}").alias("y"))  # noqa: B023
+            fitted, scores = _fit_fold(design, kind, _params(t, kind), targets[kind][1], fold, seed, tree)
             return fitted.meta.get("best_iter"), scores
 
-        jobs = [(t, fold) for t in members for fold in range(k)]
+        from_sums = [t for t in members if t["model_type"] == "linreg"] if max(width.values(), default=0) + 2 <= BLOCK else []
+        if from_sums:
+            # all folds and penalties from the sums of one pass over the design
+            wanted = [(str(t["trial"]), float(t["alpha"]), float(t["l1_ratio"])) for t in from_sums]
+            try:
+                found = linear_trials(x.select("fit", "split", "x", F.col("y_linreg").alias("y")), wanted).where("metric <> 'weights'").drop("w").collect()
+                out += [(r["trial"], r["metric"], r["fit"], r["value"]) for r in found]
+                out += [(trial, "nb_features", fold, float(w)) for trial, _, _ in wanted for fold, w in width.items()]
+            except Exception as e:  # noqa: BLE001 - as below
+                errors += [(t["trial"], type(e).__name__) for t in from_sums]
+                warnings.warn(f"linear trials failed: {e}")
+        jobs = [(t, fold) for t in members if t not in from_sums for fold in range(k)]
         with ThreadPoolExecutor(max(1, parallelism)) as pool:
             futures = [(job, pool.submit(run, job)) for job in jobs]
             for (t, fold), f in futures:

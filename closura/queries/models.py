@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from closura import bindings as b
 from closura.models import explain as ex
 from closura.models.estimators import Fitted, fit_model
-from closura.models.log_contrast import gram
+from closura.models.moments import BLOCK, gram
 from closura.operators import metrics as m
 from closura.operators import tree as tr
 from closura.operators.splits import split
@@ -109,7 +109,11 @@ z AS (SELECT vec_id, i::INTEGER AS i, CASE WHEN i = 0 THEN 1.0::DOUBLE WHEN i =
 
 @query("A27_gram", with_(_Z, select=f"SELECT p.i, q.i AS j, {rd('sum(p.a * q.a)', 7)} AS value FROM z p JOIN z q USING (vec_id) GROUP BY 1, 2"))
 def _(spark, sf):
-    return gram(vectors(spark, sf)).select("i", F.posexplode("row").alias("j", "value")).withColumn("value", F.round("value", 7))
+    """Both halves of the matrix; blocks above the diagonal stand for their mirror images."""
+    cells = gram(vectors(spark, sf)).select((F.col("i") * BLOCK + F.col("r")).alias("i"), F.col("i").alias("bi"), F.col("j").alias("bj"), F.posexplode("sums").alias("c", "value"))
+    cells = cells.select("i", (F.col("bj") * BLOCK + F.col("c")).alias("j"), F.round("value", 7).alias("value"), (F.col("bi") < F.col("bj")).alias("upper"))
+    mirrored = cells.where("upper").select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
+    return cells.drop("upper").unionByName(mirrored)
 
 
 _WEIGHTS = "((j % 5) - 2) / 10.0::DOUBLE"

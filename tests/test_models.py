@@ -82,14 +82,6 @@ def test_early_stop_rule():
     assert first_unbeaten([], 3) is None
 
 
-def test_gram_matches_numpy(spark):
-    z = np.column_stack([np.ones(80), X, Y])
-    got = {r["i"]: r["row"] for r in lc.gram(frame(spark).repartition(5)).collect()}
-    assert np.allclose([got[i] for i in range(6)], z.T @ z)
-    with pytest.raises(ValueError, match="Gram limit"):
-        lc.gram_matrix(frame(spark), max_width=3)
-
-
 def test_least_squares_on_a_support():
     a = np.array([[1.0, 0, 0, 1], [0, 1, 0, 1], [0, 0, 1, 0]])
     y = np.array([1.0, 2, 3])
