@@ -6,10 +6,10 @@ reversed, ids back to bytes. Every way to split a token into two ranked parts be
 the token's rank, and a whole match that is itself a token is taken as such, so ids equal those of
 the rank file's own library.
 
-A match of the splitting pattern never holds white space followed by anything, so a text is cut
-into chunks (an optional space and a run of other characters, or white space) that encode
-independently; chunks repeat, so each task keeps recent ones in a cache of fixed size. The cache
-only saves work: it never decides a result.
+A text is cut into the matches of the splitting pattern, which the model encodes one by one; they repeat, so each
+task keeps recent ones, with what a caller wants of their ids, in a cache of fixed size. The cache only
+saves work: it never decides a result. Texts of characters below U+0250, whose classes are the same in every
+edition of Unicode, are cut by Python's ``regex``, others by the library's own, slower splitter.
 
 Null text encodes as empty text: no ids. Ids of rows and other columns are left as they are;
 repeated rows give repeated results; an empty table gives an empty one.
@@ -22,20 +22,20 @@ import codecs
 import functools
 import hashlib
 import itertools
-import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
-CACHE_CHUNKS = 60_000  # per generation; two are kept
+CACHE_MATCHES = 150_000  # per generation; two are kept
 SLICE_CHARS = 1_000_000  # texts are taken together up to this length
 
 # Characters with the Unicode property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+STEADY = "\u0250"
 
 
 def byte_alphabet() -> list[str]:
@@ -57,12 +57,12 @@ def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str]:
         yield from (text or "" for text in column.slice(at, rows).to_pylist())
 
 
-def chunks_of(texts: Iterable[str]) -> Iterator[list[list[str]]]:
-    """The chunks of each text, a few texts at a time."""
+def matches_of(texts: Iterable[str | None], cut: Callable[[str], list[str]]) -> Iterator[list[list[str]]]:
+    """The matches of each text, a few texts at a time."""
     some, size = [], 0
     for text in texts:
-        some.append(CHUNK.findall(text))
-        size += len(text)
+        some.append(cut(text or ""))
+        size += len(text or "")
         if size >= SLICE_CHARS:
             yield some
             some, size = [], 0
@@ -70,10 +70,10 @@ def chunks_of(texts: Iterable[str]) -> Iterator[list[list[str]]]:
         yield some
 
 
-class RecentChunks:
-    """A dictionary from chunk to its ids as bytes that forgets what was not asked for of late."""
+class RecentMatches:
+    """A dictionary from match to what was made of it that forgets what was not asked for of late."""
 
-    def __init__(self, limit: int = CACHE_CHUNKS):
+    def __init__(self, limit: int = CACHE_MATCHES):
         self.limit = limit
         self.clear()
 
@@ -81,7 +81,7 @@ class RecentChunks:
         """Workers outlive tasks; a task leaves nothing behind."""
         self.new, self.old = {}, {}
 
-    def of(self, wanted: set[str], encode) -> dict[str, bytes]:
+    def of(self, wanted: set[str], encode) -> dict:
         found = {c: self.new[c] for c in wanted & self.new.keys()}
         wanted -= found.keys()
         found.update((c, self.old[c]) for c in wanted & self.old.keys())
@@ -118,19 +118,46 @@ class ByteBPE:
         for spelled, rank in self.model.get_vocab().items():
             self.bytes_of[rank] = bytes(byte_of[c] for c in spelled)
         self.decimal_of = [str(i) for i in range(len(self.bytes_of))]
-        self.recent = RecentChunks()
-
-    def _encode_chunks(self, chunks: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(chunks), 2_000):  # encodings are large objects
-            for made in self.model.encode_batch_fast(chunks[at : at + 2_000], add_special_tokens=False):
-                yield array("I", made.ids).tobytes()
+        self.splitter = pre_tokenizers.Split(Regex(pattern), "isolated")
+        self.char_of = dict(enumerate(char_of))
+        # \s is White_Space, without the separators that Python counts as such
+        self.matches = regex.compile(pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]")).findall
+        self.recent = RecentMatches()
+
+    def cut(self, text: str) -> list[str]:
+        """The matches of the pattern, which make up the text."""
+        if text.isascii() or max(text) < STEADY:
+            return self.matches(text)
+        return [match for match, _ in self.splitter.pre_tokenize_str(text)]
+
+    def _ids(self, matches: list[str]) -> Iterator[list[int]]:
+        tokens, char_of = self.model.model.tokenize, self.char_of
+        for match in matches:
+            yield [t.id for t in tokens(match.encode().decode("latin-1").translate(char_of))]
+
+    def _encode_matches(self, matches: list[str]) -> Iterator[bytes]:
+        return (array("I", ids).tobytes() for ids in self._ids(matches))
+
+    def _digest_pieces(self, matches: list[str]) -> Iterator[tuple[int, str, bytes]]:
+        """Of each match the number of ids, the ids in decimals (each before a comma) and their bytes."""
+        decimal_of = self.decimal_of
+        for ids in self._ids(matches):
+            yield len(ids), ",".join([decimal_of[i] for i in ids]) + ",", self.decode_bytes(ids)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for some in chunks_of(t or "" for t in texts):
-            found = self.recent.of(set(itertools.chain.from_iterable(some)), self._encode_chunks)
-            for chunks in some:
-                yield np.frombuffer(b"".join([found[c] for c in chunks]), np.uint32)
+        for some in matches_of(texts, self.cut):
+            found = self.recent.of(set(itertools.chain.from_iterable(some)), self._encode_matches)
+            for matches in some:
+                yield np.frombuffer(b"".join([found[c] for c in matches]), np.uint32)
+
+    def digests(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of ids and the SHA-256 digests of its ids in decimals and of their bytes."""
+        for some in matches_of(texts, self.cut):
+            found = self.recent.of(set(itertools.chain.from_iterable(some)), self._digest_pieces)
+            for matches in some:
+                n, ids, decoded = zip(*[found[c] for c in matches], strict=True) if matches else ((), (), ())
+                yield sum(n), hashlib.sha256("".join(ids)[:-1].encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
     def decimal(self, ids: Iterable[int]) -> str:
         return ",".join([self.decimal_of[i] for i in ids])
@@ -205,13 +232,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
-            counts, digests, decoded = [], [], []
-            for ids in map(np.ndarray.tolist, bpe.encode(texts_of(batch.column(1)))):
-                counts.append(len(ids))
-                digests.append(sha(bpe.decimal(ids).encode()))
-                decoded.append(sha(bpe.decode_bytes(ids)))
+            counts, digests, decoded = zip(*bpe.digests(texts_of(batch.column(1))), strict=True) if batch.num_rows else ((), (), ())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["ident", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.recent.clear()

@@ -30,11 +30,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from closura.llm.bpe import RecentChunks, chunks_of, read_ranks, texts_of
+from closura.llm.bpe import read_ranks, texts_of
 
 LENGTH = 2048
 CHUNK_TOKENS = 4_000_000
-CACHE_CHUNKS = 150_000  # per generation; two are kept
 SCHEMA = "pack_id bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, cu_seqlens array<int>, ids binary, positions binary"
 
 
@@ -94,13 +93,9 @@ class Encoder:
 
         self.ranks = read_ranks(path)
         self.model = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.recent = RecentChunks(CACHE_CHUNKS)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        one = self.model.encode_ordinary
-        for some in chunks_of(texts):
-            found = self.recent.of(set(itertools.chain.from_iterable(some)), lambda new: (array("I", one(c)).tobytes() for c in new))
-            yield from (b"".join([found[c] for c in chunks]) for chunks in some)
+        return (array("I", self.model.encode_ordinary(text)).tobytes() for text in texts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -147,7 +142,6 @@ def pack(
                     yield (out := pack_rows(pieces, length, eot, made))
                     made += out.num_rows
                     pieces, waiting = [], 0
-        encoder.recent.clear()
         if pieces:
             yield pack_rows(pieces, length, eot, made)
 

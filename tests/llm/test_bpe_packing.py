@@ -36,7 +36,7 @@ def test_ids_equal_the_rank_librarys(texts):
 
 def test_small_cache_changes_nothing(truth):
     model = bpe.load(PATH, PATTERN)
-    recent, model.recent = model.recent, bpe.RecentChunks(3)
+    recent, model.recent = model.recent, bpe.RecentMatches(3)
     try:
         texts = ["a b c d e f a b", "f e d", "a b"]
         assert [x.tolist() for x in model.encode(texts)] == [truth.encode_ordinary(t) for t in texts]
