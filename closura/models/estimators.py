@@ -12,20 +12,16 @@ import warnings
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from closura.functions.rows import argmax, corn_label, corn_proba
+from closura.functions.rows import argmax, corn_label, corn_proba, softmax
+from closura.models.boosting import fit_boosted, margins
 
 # Model types by task, and MLlib's limits.
 REGRESSORS = ("linreg", "rf", "gbt", "log_contrast")
@@ -122,17 +118,6 @@ def _forest(cls):
     return fit
 
 
-def _gbt_params(p: dict, seed: int, rounds: int) -> dict:
-    ignored = [k for k in ("reg_alpha", "reg_lambda", "num_parallel_tree", "min_child_weight") if p.get(k) is not None]
-    if ignored:
-        warnings.warn(f"{ignored} have no MLlib counterpart and are ignored.")
-    return dict(
-        maxIter=rounds, maxDepth=int(p.get("max_depth", 5)), stepSize=float(p.get("eta", 0.1)),
-        subsamplingRate=float(p.get("subsample", 1.0)), minInfoGain=float(p.get("gamma") or 0.0),
-        featureSubsetStrategy=str(p.get("colsample", "all")), seed=seed,
-    )
-
-
 def patience(rounds: int) -> int:
     return max(10, int(0.1 * rounds))
 
@@ -149,35 +134,11 @@ def first_unbeaten(losses: list[float], wait: int) -> int | None:
     return None
 
 
-def _boost(est_cls, train, val, p, seed):
-    """Fit, find the best round on ``val``, and keep that many rounds."""
-    rounds = int(p["n_estimators"])
-    model = est_cls(**_gbt_params(p, seed, rounds)).fit(train)
-    best = None
-    if val is not None:
-        losses = model.evaluateEachIteration(val) if est_cls is GBTClassifier else model.evaluateEachIteration(val, "squared")
-        best = first_unbeaten(losses, patience(rounds))
-        if best is not None and best + 1 < rounds:
-            model = est_cls(**_gbt_params(p, seed, best + 1)).fit(train)
-    return model, best
-
-
-def _fit_gbt(train, p, seed, val):
-    model, best = _boost(GBTRegressor, train, val, p, seed)
-    return {"main": PipelineModel([model])}, {"best_iter": best}
-
-
-def _fit_gbt_class(train, p, seed, val, n_classes):
-    if n_classes == 2:
-        model, best = _boost(GBTClassifier, train, val, p, seed)
-        return {"main": PipelineModel([model])}, {"best_iter": best}
-    stages, bests = {}, []
-    for k in range(n_classes):
-        one = lambda df: df.withColumn("label", (F.col("label") == k).cast("double"))  # noqa: B023,E731
-        model, best = _boost(GBTClassifier, one(train), None if val is None else one(val), p, seed)
-        stages[f"ovr_{k}"] = PipelineModel([model])
-        bests.append(best)
-    return stages, {"best_iter": None if None in bests else max(bests)}
+def _boosted(train, p, seed, val, n_classes=None):
+    """Early stopping while growing: the best round so far ends the fit once it stood for the patience."""
+    wait = patience(int(p["n_estimators"]))
+    described, best = fit_boosted(train, val, p, seed, n_classes, lambda losses: first_unbeaten(losses, wait))
+    return {}, {"boosted": described, "best_iter": best}
 
 
 def _fit_mlp(train, p, n, width, seed, n_classes):
@@ -225,9 +186,9 @@ def fit_model(
     elif kind == "rf_class":
         stages, meta = _forest(RandomForestClassifier)(train, params, n, width, seed)
     elif kind == "gbt":
-        stages, meta = _fit_gbt(train, params, seed, val)
+        stages, meta = _boosted(train, params, seed, val)
     elif kind == "gbt_class":
-        stages, meta = _fit_gbt_class(train, params, seed, val, n_classes)
+        stages, meta = _boosted(train, params, seed, val, n_classes)
     elif kind == "mlp_class":
         stages, meta = _fit_mlp(train, params, n, width, seed, n_classes)
     elif kind == ORDINAL:
@@ -259,14 +220,13 @@ def _score(fitted: Fitted, rows: DataFrame) -> DataFrame:
             out = fitted.stages[f"step_{i}"].transform(out)
         logits = F.array(*[F.element_at(vector_to_array(f"_raw{i}"), 2) for i in range(1, k)])
         return out.select(*keep, corn_label(logits).cast("double").alias("prediction"), corn_proba(logits).alias("proba"))
-    if "ovr_0" in fitted.stages:
-        out = rows
-        for i in range(k):
-            out = fitted.stages[f"ovr_{i}"].transform(out).withColumn(f"_s{i}", F.element_at(vector_to_array("probability"), 2))
-            out = out.drop("rawPrediction", "probability", "prediction")
-        raw = F.array(*[F.col(f"_s{i}") for i in range(k)])
-        total = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)
-        out = out.withColumn("proba", F.transform(raw, lambda v: v / total))
+    if "boosted" in fitted.meta:
+        out = rows.withColumn("_m", margins(fitted.meta["boosted"], vector_to_array("features")))
+        if k is None:
+            return out.select(*keep, F.element_at("_m", 1).alias("prediction"))
+        one = 1 / (1 + F.exp(-F.element_at("_m", 1)))
+        proba = softmax(F.col("_m")) if fitted.meta["boosted"]["objective"] == "softmax" else F.slice(F.array(1 - one, one), 1, max(k, 1))
+        out = out.withColumn("proba", proba)
         return out.select(*keep, argmax(F.col("proba")).cast("double").alias("prediction"), "proba")
     out = fitted.stages["main"].transform(rows)
     if fitted.kind in CLASSIFIERS:

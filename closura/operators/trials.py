@@ -18,8 +18,8 @@ SIMPLICITY: dict[str, list[tuple[str, int]]] = {
     "log_contrast": [("lambda", -1)],
     "rf": [("n_estimators", 1), ("max_depth", 1), ("min_samples_leaf", -1)],
     "rf_class": [("n_estimators", 1), ("max_depth", 1), ("min_samples_leaf", -1)],
-    "gbt": [("n_estimators", 1), ("max_depth", 1), ("gamma", -1)],
-    "gbt_class": [("n_estimators", 1), ("max_depth", 1), ("gamma", -1)],
+    "gbt": [("n_estimators", 1), ("max_depth", 1), ("gamma", -1), ("reg_alpha", -1), ("reg_lambda", -1)],
+    "gbt_class": [("n_estimators", 1), ("max_depth", 1), ("gamma", -1), ("reg_alpha", -1), ("reg_lambda", -1)],
     "mlp_class": [("n_hidden_layers", 1)],
     "ordinal": [("C", 1)],
 }

@@ -32,6 +32,10 @@ _BOOSTED = {
     "eta": ("float", 0.01, 0.3, True),
     "gamma": ("float", 1e-3, 5.0, True),
     "colsample": ("float", 0.3, 1.0, False),
+    "min_child_weight": ("int", 0, 4),
+    "num_parallel_tree": ("int", 1, 4),
+    "reg_alpha": ("float", 1e-10, 1.0, True),
+    "reg_lambda": ("float", 1e-10, 1.0, True),
 }
 SPACES: dict[str, dict[str, tuple]] = {
     "linreg": {"alpha": ("float", 1e-5, 100.0, True), "l1_ratio": ("float", 0.0, 1.0, False)},

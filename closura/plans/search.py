@@ -17,6 +17,7 @@ from closura.models.explain import COEF_MODELS, coefficients, shapley_sample
 from closura.models.estimators import CLASSIFIERS, ORDINAL, TREES, Fitted, fit_model, to_features
 from closura.models.log_contrast import fit_log_contrast
 from closura.models.moments import BLOCK, linear_trials
+from closura.models.tree_shap import tree_shapley
 from closura.operators import metrics as m
 from closura.operators.checks import check_enrich_nulls, check_ordinal_levels, check_snapshot_nulls
 from closura.operators.splits import assign_folds
@@ -390,10 +391,12 @@ def evaluate(models: dict[str, TunedModel], train: Dataset, test: Dataset, targe
 
 
 def explain(tm: TunedModel, rows: Dataset, train: Dataset, n_perm: int = 8, max_background: int | None = None, seed: int = 0) -> DataFrame:
-    """What a fitted model rests on: the coefficients of models that have some, else sampled Shapley
-    values of ``rows`` against all of ``train`` (or ``max_background`` rows of it)."""
+    """What a fitted model rests on: the coefficients of models that have some; of tree models the exact Shapley values
+    of ``rows`` against all of ``train``; else sampled ones (against ``max_background`` rows of it at most)."""
     if tm.fitted.kind in COEF_MODELS:
         return coefficients(rows.samples.sparkSession, tm.fitted, tm.names, tm.classes)
+    if tm.fitted.kind in TREES:
+        return tree_shapley(tm.fitted, tm.design(rows), tm.design(train), tm.names, tm.classes or ["prediction"])
     return shapley_sample(tm.fitted, tm.design(rows), tm.design(train), tm.names, tm.classes or ["prediction"], n_perm, max_background, seed)
 
 
