@@ -6,12 +6,15 @@ import uuid
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from closura import bindings as b
 from closura.models import explain as ex
-from closura.models.estimators import Fitted, fit_model
-from closura.models.moments import BLOCK, gram
+from closura.models import log_contrast as lc
+from closura.models import tree_shap
+from closura.models.estimators import REGRESSORS, Fitted, fit_model
+from closura.models.moments import BLOCK, gradient, gram
 from closura.operators import metrics as m
 from closura.operators import tree as tr
 from closura.operators.splits import split
@@ -160,58 +163,104 @@ _KINDS = {
 }
 
 
-_BETTER = with_(
-    "v AS (SELECT label AS y, vec_id % 5 = 0 AS held FROM embeddings)",
-    select="SELECT held, count(*) AS n, true AS in_range, true AS no_worse FROM v GROUP BY 1",
+_VECTORS = "v AS (SELECT label AS y, embedding[1]::DOUBLE + embedding[2]::DOUBLE AS s, vec_id % 5 = 0 AS held FROM embeddings)"
+# the table says what a model that only knows its training rows' mean, or most frequent class, would reach
+_MEAN_BASE = with_(
+    _VECTORS, "m AS (SELECT avg(s) AS m FROM v WHERE NOT held)",
+    select=f"SELECT held, count(*) AS n, {rd('sum((s - m) * (s - m))', 6)} AS base, true AS better FROM v, m GROUP BY 1",
+)
+_CLASS_BASE = with_(
+    _VECTORS, "m AS (SELECT y AS m FROM v WHERE NOT held GROUP BY y ORDER BY count(*) DESC, y LIMIT 1)",
+    select="SELECT held, count(*) AS n, count_if(y = m)::DOUBLE AS base, true AS better FROM v, m GROUP BY 1",
 )
 
 
 def _judged(scored, k: int | None):
-    """Per part (held out or not): all rows scored, predictions within the labels' range, and, where the
-    model was fitted, no worse than the label's mean or most frequent class."""
+    """Per part (held out or not): rows, what the training rows' mean or most frequent class reaches there
+    (squared error, hits), and whether the model beats it, on rows it never saw as well."""
     held = F.col("sample_id").cast("bigint") % 5 == 0
-    rows = scored.select(held.alias("held"), F.col("y").alias("label"), "prediction", *(["proba"] if k else []))
+    rows = materialize(scored.select(held.alias("held"), F.col("y").alias("label"), "prediction"))
+    seen = rows.where("not held")
     if k:
-        fine = F.col("prediction").between(0, k - 1) & (F.abs(F.aggregate("proba", F.lit(0.0), lambda a, p: a + p) - 1) < 1e-9) & (F.size("proba") == k)
-        top = rows.groupBy("held", "label").count().groupBy("held").agg(F.max("count").alias("base"))
-        per = rows.groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.every(fine).alias("in_range"), F.count_if(F.col("prediction") == F.col("label")).alias("hits"))
-        return per.join(top, "held").select("held", "n", "in_range", (F.col("held") | (F.col("hits") >= F.col("base"))).alias("no_worse"))
-    error = F.sum((F.col("prediction") - F.col("label")) ** 2)
-    return rows.groupBy("held").agg(
-        F.count(F.lit(1)).alias("n"), F.every(~F.isnan("prediction")).alias("in_range"),
-        (F.first("held") | (error <= F.var_pop("label") * F.count(F.lit(1)) * (1 + 1e-9))).alias("no_worse"),
-    )
+        m = seen.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
+        base, hits = F.count_if(F.col("label") == m), F.count_if(F.col("label") == F.col("prediction"))
+        return rows.groupBy("held").agg(F.count(F.lit(1)).alias("n"), base.cast("double").alias("base"), (hits > base).alias("better"))
+    m = seen.agg(F.avg("label")).first()[0]
+    base, error = F.sum((F.col("label") - m) ** 2), F.sum((F.col("label") - F.col("prediction")) ** 2)
+    return rows.groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.round(base, 6).alias("base"), (error < 0.99 * base).alias("better"))
 
 
 def _register_model(name: str, kind: str, params: dict) -> None:
-    @query(name, _BETTER)
+    @query(name, _MEAN_BASE if kind in REGRESSORS else _CLASS_BASE)
     def _(spark, sf):
-        v = materialize(vectors(spark, sf).withColumn("features", array_to_vector("x")))
-        k = _n_classes(v)
+        v = vectors(spark, sf).withColumn("features", array_to_vector("x"))
+        if kind in REGRESSORS:  # a number that the vector tells
+            v = v.withColumn("y", F.get("x", F.lit(0)) + F.get("x", F.lit(1)))
+        v = materialize(v)
+        k = None if kind in REGRESSORS else _n_classes(v)
         train = v.where(F.col("sample_id").cast("bigint") % 5 != 0).select("sample_id", "features", F.col("y").alias("label"))
         fitted = fit_model(kind, train, params, n_classes=k, seed=1)
-        return _judged(fitted.score(v.select("sample_id", "features", "y")), k if fitted.has_proba else None)
+        return _judged(fitted.score(v.select("sample_id", "features", "y")), k)
 
 
 for _name, (_kind, _p) in _KINDS.items():
     _register_model(_name, _kind, _p)
 
 
+@query(
+    "M5_linreg_optimality",
+    with_("x AS (SELECT j::INTEGER AS j, count(*) AS n, " + rd("avg(embedding[j])", 7) + " AS mean, " + rd("stddev_pop(embedding[j])", 7) + " AS spread FROM embeddings, range(1, 65) r(j) GROUP BY 1)",
+          select="SELECT j, n, mean, spread, true AS optimal FROM x"),
+)
+def _(spark, sf):
+    """Of every column its z-score's share of the elastic net's minimum: the residuals' covariance equals the penalty's slope."""
+    alpha, l1 = 0.05, 0.5
+    v = materialize(vectors(spark, sf))
+    fitted = fit_model("linreg", _train(v), {"alpha": alpha, "l1_ratio": l1})
+    rows = fitted.score(v.withColumn("features", array_to_vector("x"))).select("x", (F.col("y") - F.col("prediction")).alias("e"))
+    w = F.get(F.lit([float(c) for c in fitted.stages["main"].stages[-1].coefficients.toArray()]), F.col("j"))
+    per = rows.select("e", F.posexplode("x").alias("j", "v")).groupBy("j").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread"), F.covar_pop("v", "e").alias("cov")
+    )
+    g = F.col("cov") / F.col("spread") - alpha * (1 - l1) * w
+    off = F.when(w == 0, F.greatest(F.abs(g) - alpha * l1, F.lit(0.0))).otherwise(F.abs(g - alpha * l1 * F.signum(w)))
+    return per.select((F.col("j") + 1).alias("j"), "n", F.round("mean", 7).alias("mean"), F.round("spread", 7).alias("spread"), (off < 1e-4).alias("optimal"))
+
+
+def mean_of(rows) -> list[float]:
+    return rows.agg(Summarizer.mean(array_to_vector("x")).alias("m")).first()["m"].toArray()
+
+
 def basket_tree(spark, sf) -> se.Tree:
     matrix = materialize(tr.tip_ancestors(b.supplier_tree(spark, sf)))
     return se.Tree(matrix, materialize(tr.matrix_columns(matrix)))
 
 
-@query("M7_log_contrast", with_(b.TREE, select="SELECT node AS feature, true AS balanced, true AS finite FROM edges WHERE is_tip"))
+@query(
+    "M7_log_contrast",
+    with_(
+        b.CELLS, b.ALIGNED, b.TREE,
+        f"base AS (SELECT count(*) AS n, {rd('sum((acctbal - m) * (acctbal - m))', 2)} AS base FROM samples, (SELECT avg(acctbal) AS m FROM samples))",
+        select="SELECT node AS feature, n, base, true AS better, true AS optimal, true AS balanced FROM edges, base WHERE is_tip",
+    ),
+)
 def _(spark, sf):
-    """The coefficient of every tip is there and finite; all coefficients, nodes included, add up to zero."""
-    ds = b.basket_dataset(spark, sf)
-    tm = se.refit(ds, "acctbal", "log_contrast", {"lambda": 0.1}, tree=basket_tree(spark, sf))
-    table = ex.coefficients(spark, tm.fitted, tm.names)
-    total = table.agg(F.sum("coefficient"), F.max("abs_coefficient")).first()
-    balanced = abs(total[0]) <= 1e-6 * max(1.0, total[1])
+    """For every tip: the rows, the squared error of their mean, whether the model has less, whether the tip's penalised coefficient
+    meets the conditions of the minimum, and whether all coefficients, nodes included, add up to zero."""
+    ds, lam, tree = b.basket_dataset(spark, sf), 0.1, basket_tree(spark, sf)
+    tm = se.refit(ds, "acctbal", "log_contrast", {"lambda": lam}, tree=tree)
+    scored = tm.predict(ds, "acctbal").select("label", "pred")
+    m = scored.agg(F.avg("label")).first()[0]
+    n, base, error = scored.agg(F.count(F.lit(1)), F.round(F.sum((F.col("label") - m) ** 2), 2), F.sum((F.col("label") - F.col("pred")) ** 2)).first()
+    a, grad, w = (np.array(v) for v in (tm.fitted.meta["norefit"], tm.fitted.meta["gradient"], 1 / np.array(tree.n_leaves())))
+    centred = tm.design(ds).join(ds.samples.select("sample_id", F.col("acctbal").alias("y")), "sample_id").select("x", "y")
+    full = np.abs(gradient(centred, float(m), np.zeros(len(w)))[2] - np.array(mean_of(centred)) * gradient(centred, float(m), np.zeros(len(w)))[0])
+    off = lc.optimality(a, grad, lam * 2 * np.max(full / w) * w)
+    coef = np.array(tm.fitted.meta["coef"])
+    balanced = bool(abs(coef.sum()) <= 1e-6 * max(1.0, np.abs(coef).max()))
+    table = spark.createDataFrame([(f, bool(v < 1e-5)) for f, v in zip(tm.names, off)], "feature string, optimal boolean")
     tips = b.supplier_tree(spark, sf).where("is_tip").select(F.col("node").alias("feature"))
-    return tips.join(table, "feature").select("feature", F.lit(balanced).alias("balanced"), (~F.isnan("coefficient")).alias("finite"))
+    return tips.join(table, "feature").select("feature", F.lit(n).alias("n"), F.lit(float(base)).alias("base"), F.lit(bool(error < base)).alias("better"), "optimal", F.lit(balanced).alias("balanced"))
 
 
 _U = lambda name: f"(({hash_sql(5, f'''trial || '|{name}' ''')} + 0.5) / 4294967296.0::DOUBLE)"
@@ -240,80 +289,126 @@ def _(spark, sf):
 _SMALL = {"selection": ("choice", ["abundance_topi"]), "i": ("int", 5, 8), "transform": ("choice", ["clr"]), "enrich": ("choice", [None])}
 
 
+_PLACED = f"placed AS (SELECT acctbal, ((row_number() OVER (ORDER BY {hash_sql(3, 'sample_id')}, sample_id) - 1) % 2)::INTEGER AS fold FROM samples)"
+
+
 @query(
     "M15_evaluate_candidates",
-    "SELECT r_regionkey::VARCHAR AS trial, f.fold::INTEGER AS fold, 2::BIGINT AS rmse, true AS finite, true AS widths FROM region, range(0, 2) f(fold)",
+    with_(
+        b.CELLS, b.ALIGNED, _PLACED,
+        select=f"""SELECT r_regionkey::VARCHAR AS trial, f.fold::INTEGER AS fold, {rd('stddev_pop(acctbal) FILTER (placed.fold = f.fold)', 4)} AS spread_val,
+  {rd('stddev_pop(acctbal) FILTER (placed.fold <> f.fold)', 4)} AS spread_train, true AS better, true AS widths
+  FROM region, range(0, 2) f(fold), placed GROUP BY 1, 2""",
+    ),
 )
 def _(spark, sf):
-    """One trial for every region: each fold reports its errors and the width of its design."""
+    """One trial for every region. What rmse and r2 of a fold say together is the spread of its labels, which the
+    table knows; on its training rows every model beats their mean."""
     ds = b.basket_dataset(spark, sf)
     n, bounds = se.data_bounds(ds)
     trials = b.table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("trial"))
-    table = candidates("linreg", trials, 5, n, bounds, _SMALL)
-    got = se.evaluate_candidates(ds, table, "acctbal", 2, seed=3, group="nation")
-    chosen = table.select("trial", "i")
-    name = F.col("metric")
-    return got.join(chosen, "trial").groupBy("trial", "fold").agg(
-        F.count_if(name.isin("rmse_train", "rmse_val")).alias("rmse"),
-        F.every(~name.startswith("rmse") | ((F.col("value") > 0) & (F.col("value") < float("inf")))).alias("finite"),
-        F.every((name != "nb_features") | (F.col("value") == F.col("i") + 1)).alias("widths"),
+    table = candidates("linreg", trials, 5, n, bounds, {**_SMALL, "alpha": ("float", 1e-5, 1e-2, True)})
+    got = se.evaluate_candidates(ds, table, "acctbal", 2, seed=3)
+    value = lambda name: F.max(F.when(F.col("metric") == name, F.col("value")))
+    spread = lambda s: F.round(value(f"rmse_{s}") / F.sqrt(1 - value(f"r2_{s}")), 4)
+    return got.join(table.select("trial", "i"), "trial").groupBy("trial", "fold").agg(
+        spread("val").alias("spread_val"), spread("train").alias("spread_train"), (value("r2_train") > 0).alias("better"),
+        F.every((F.col("metric") != "nb_features") | (F.col("value") == F.col("i") + 1)).alias("widths"),
     )
 
 
-def _tuned(spark, sf):
+@query(
+    "M16_find_best",
+    with_(
+        b.CELLS, b.ALIGNED, _PLACED,
+        select=f"SELECT count(*) AS n, {rd('stddev_pop(acctbal)', 4)} AS spread, true AS better, 6::BIGINT AS trials, 2::BIGINT AS folds, true AS within_one_se FROM samples",
+    ),
+)
+def _(spark, sf):
+    """A search over six trials: the model it refits beats the mean of its rows, and no simpler trial lies within one standard
+    error of the best, nor does the chosen one lie outside."""
     ds = b.basket_dataset(spark, sf)
-    row = {"selection": "abundance_topi", "i": 8, "transform": "clr", "C": 1.0, "penalty": "l2"}
-    return ds, se.refit(ds, "segment", "logreg", row)
+    tm, folds = se.find_best(ds, "acctbal", "linreg", 6, 2, seed=3, overrides={**_SMALL, "alpha": ("float", 1e-5, 1e-2, True)})
+    folds = materialize(folds)
+    scores = se.trial_scores(folds, "rmse_val").toPandas().sort_values("rmse_val_mean")
+    best = scores.iloc[0]
+    near = scores[scores["rmse_val_mean"] - best["rmse_val_mean"] <= best["rmse_val_se"]]
+    chosen = len(tm.names)
+    within = bool(chosen == near["nb_features"].min())
+    scored = tm.predict(ds, "acctbal").select("label", "pred")
+    counts = folds.agg(F.count_distinct("trial").alias("trials"), F.count_distinct("fold").alias("folds"))
+    error = F.avg((F.col("label") - F.col("pred")) ** 2)
+    judged = scored.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s"), error.alias("e"))
+    return judged.join(counts, F.lit(True)).select("n", F.round("s", 4).alias("spread"), (F.sqrt("e") < F.col("s")).alias("better"), "trials", "folds", F.lit(within).alias("within_one_se"))
 
 
-@query("M16_find_best")
-def _(spark, sf):
+def _tuned(spark, sf):
     ds = b.basket_dataset(spark, sf)
-    tm, _folds = se.find_best(ds, "acctbal", "linreg", 2, 2, seed=3, overrides=_SMALL)
-    return ex.coefficients(spark, tm.fitted, tm.names)
+    row = {"selection": "abundance_topi", "i": 8, "transform": "clr", "C": 1.0, "penalty": "l2"}
+    return ds, se.refit(ds, "segment", "logreg", row)
 
 
-@query("M17_predict", with_(b.CELLS, b.ALIGNED, select="SELECT sample_id, segment AS label, true AS known, true AS likeliest FROM samples"))
+@query(
+    "M17_predict",
+    with_(b.CELLS, b.ALIGNED, "c AS (SELECT segment, count(*) AS n FROM samples GROUP BY 1)", select="SELECT sum(n)::BIGINT AS n, max(n) AS base, true AS better, true AS likeliest FROM c"),
+)
 def _(spark, sf):
-    """Every sample's prediction is a class of the training data, the one of the greatest probability."""
+    """All samples are predicted, each as its likeliest class, and more are right than if all were the most frequent class."""
     ds, tm = _tuned(spark, sf)
     best = F.get(F.lit(tm.classes), (F.array_position("proba", F.array_max("proba")) - 1).cast("int"))
-    return tm.predict(ds, "segment").select("sample_id", "label", F.col("pred").isin(tm.classes).alias("known"), (F.col("pred") == best).alias("likeliest"))
+    rows = materialize(tm.predict(ds, "segment").select("label", "pred", (F.col("pred") == best).alias("likeliest")))
+    base = rows.groupBy("label").count().agg(F.max("count")).first()[0]
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.lit(base).alias("base"), (F.count_if(F.col("label") == F.col("pred")) > base).alias("better"), F.every("likeliest").alias("likeliest")
+    )
 
 
 @query(
     "M18_predict_proba",
-    with_(b.CELLS, b.ALIGNED, "c AS (SELECT count(DISTINCT segment) AS n FROM samples)", select="SELECT sample_id, n AS classes, 1.0::DOUBLE AS total FROM samples, c"),
+    with_(
+        b.CELLS, b.ALIGNED, "c AS (SELECT segment AS class, count(*) AS n FROM samples GROUP BY 1)", "t AS (SELECT sum(n) AS t FROM c)",
+        select=f"SELECT class, t::BIGINT AS n, {rd('n / t', 4)} AS share, true AS better FROM c, t",
+    ),
 )
 def _(spark, sf):
+    """The free intercepts of the model make the mean probability of a class its share of the training rows, which SQL counts;
+    those of the class get a higher one."""
     ds, tm = _tuned(spark, sf)
-    rows = tm.predict_proba(ds).groupBy("sample_id")
-    return rows.agg(F.count_distinct("class").alias("classes"), F.round(F.sum("proba"), 9).alias("total"))
-
-
-@query("S9_save_and_load_model", with_(b.CELLS, b.ALIGNED, select="SELECT sample_id, true AS same FROM samples"))
-def _(spark, sf):
-    """A saved and loaded model predicts as before."""
-    ds, tm = _tuned(spark, sf)
-    path = _new(spark, "model")
-    se.save_model(tm, path)
-    before, after = (x.predict(ds).select("sample_id", F.struct("pred", "proba").alias(n)) for x, n in ((tm, "a"), (se.load_model(spark, path), "b")))
-    return before.join(after, "sample_id").select("sample_id", (F.col("a") == F.col("b")).alias("same"))
+    rows = tm.predict_proba(ds).join(ds.samples.select("sample_id", "segment"), "sample_id")
+    own = F.avg(F.when(F.col("segment") == F.col("class"), F.col("proba")))
+    return rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("proba"), 4).alias("share"), (own > F.avg("proba")).alias("better"))
 
 
 @query(
     "M20_coefficients",
     with_(
         b.CELLS, b.ALIGNED,
-        select="SELECT class, 9::BIGINT AS features, true AS magnitudes FROM (SELECT DISTINCT segment AS class FROM samples)",
+        select="SELECT class, 9::BIGINT AS features, true AS magnitudes, true AS optimal, true AS some FROM (SELECT DISTINCT segment AS class FROM samples)",
     ),
 )
 def _(spark, sf):
-    """Eight chosen suppliers and the group, for every class; magnitudes are absolute values."""
-    _ds, tm = _tuned(spark, sf)
+    """Eight chosen suppliers and the group, for every class; magnitudes are absolute values. Each coefficient is what the L2
+    optimum says: C times the covariance of its z-score with what the probabilities leave of the class."""
+    ds, tm = _tuned(spark, sf)
     table = ex.coefficients(spark, tm.fitted, tm.names, tm.classes)
+    left = tm.predict_proba(ds).join(ds.samples.select("sample_id", "segment"), "sample_id").select("sample_id", "class", ((F.col("segment") == F.col("class")).cast("double") - F.col("proba")).alias("e"))
+    cells = tm.design(ds).select("sample_id", F.posexplode("x").alias("j", "v")).withColumn("feature", F.get(F.lit(tm.names), F.col("j")))
+    slope = cells.join(left, "sample_id").groupBy("class", "feature").agg((F.covar_pop("v", "e") * F.count(F.lit(1)) / F.stddev_pop("v")).alias("slope"), F.count(F.lit(1)).alias("rows"))
     same = F.col("abs_coefficient") == F.abs("coefficient")
-    return table.groupBy("class").agg(F.count_distinct("feature").alias("features"), F.every(same).alias("magnitudes"))
+    met = F.abs(F.col("coefficient") - F.col("slope")) < 1e-3
+    return table.join(slope, ["class", "feature"]).groupBy("class").agg(
+        F.count_distinct("feature").alias("features"), F.every(same).alias("magnitudes"), F.every(met).alias("optimal"), (F.max("abs_coefficient") > 1e-3).alias("some")
+    )
+
+
+@query("S9_save_and_load_model", with_(b.CELLS, b.ALIGNED, select="SELECT sample_id, true AS same FROM samples"))
+def _(spark, sf):
+    """A saved and loaded model predicts as before."""
+    ds, tm = _tuned(spark, sf)
+    path = _new(spark, "model")
+    se.save_model(tm, path)
+    before, after = (x.predict(ds).select("sample_id", F.struct("pred", "proba").alias(n)) for x, n in ((tm, "a"), (se.load_model(spark, path), "b")))
+    return before.join(after, "sample_id").select("sample_id", (F.col("a") == F.col("b")).alias("same"))
 
 
 @query(
@@ -332,3 +427,32 @@ def _(spark, sf):
     phi = ex.shapley_sample(fixed, v.where(F.col("sample_id").cast("bigint") % 50 == 0), v, [f"x{j}" for j in range(64)], ["y"])
     # sums of millions of terms may end as a negative zero
     return phi.withColumn("phi", F.round("phi", 7) + F.lit(0.0))
+
+
+_STUMPS = [(j, (j % 7 - 3) / 20, ((j % 5) - 2) / 10 or 0.3) for j in range(2, 64)]  # column, bound, value above it
+_PAIR = (0, 0.02, 1, -0.03, 1.5)  # 1.5 where column 0 is above 0.02 and column 1 above -0.03
+_TREES = ", ".join(f"({j}, {c}::DOUBLE, {v}::DOUBLE)" for j, c, v in _STUMPS)
+
+
+@query(
+    "M22_tree_shapley",
+    with_(
+        f"stumps AS (SELECT * FROM (VALUES {_TREES}) t(j, c, v))",
+        "s AS (SELECT vec_id, j, v * (embedding[j + 1]::DOUBLE > c)::INTEGER AS f FROM embeddings, stumps)",
+        "m AS (SELECT j, avg(f) AS m FROM s GROUP BY 1)",
+        f"p AS (SELECT vec_id, (embedding[1]::DOUBLE > {_PAIR[1]})::INTEGER AS a, (embedding[2]::DOUBLE > {_PAIR[3]})::INTEGER AS b FROM embeddings)",
+        "pm AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(a * b) AS mab FROM p)",
+        select=f"""SELECT vec_id::VARCHAR AS sample_id, 'y' AS class, 'x' || j::VARCHAR AS feature, {rd('f - m')} AS phi FROM s JOIN m USING (j)
+  UNION ALL SELECT vec_id::VARCHAR, 'y', 'x0', {rd(f'{_PAIR[4]} * 0.5 * (a * b + a * mb - ma * b - mab)')} FROM p, pm
+  UNION ALL SELECT vec_id::VARCHAR, 'y', 'x1', {rd(f'{_PAIR[4]} * 0.5 * (a * b + ma * b - a * mb - mab)')} FROM p, pm""",
+    ),
+)
+def _(spark, sf):
+    """Trees whose Shapley values have a closed form (single cuts, and one pair of cuts): every vector against all vectors."""
+    leaf = {"output": 0, "left": [1, 0, 0], "right": [2, 0, 0]}
+    trees = [{**leaf, "column": [j, -1, -1], "bound": [c, 0.0, 0.0], "value": [0.0, 0.0, v]} for j, c, v in _STUMPS]
+    j, c, k, d, v = _PAIR
+    trees.append({"output": 0, "column": [j, -1, k, -1, -1], "bound": [c, 0.0, d, 0.0, 0.0], "left": [1, 0, 3, 0, 0], "right": [2, 0, 4, 0, 0], "value": [0.0, 0.0, 0.0, 0.0, v]})
+    fixed = Fitted("gbt", {}, {"boosted": {"objective": "squared", "start": [0.0], "trees": trees, "losses": []}, "width": 64, "n_classes": None})
+    rows = materialize(vectors(spark, sf))
+    return tree_shap.tree_shapley(fixed, rows, rows, [f"x{i}" for i in range(64)], ["y"]).withColumn("phi", F.round("phi", 9) + F.lit(0.0))
