@@ -14,6 +14,8 @@ Most lines have no near line. Two lines one edit apart share their first or thei
 first each line emits the hashes of its halves (up to four); only lines that share a half with a
 different line go on. This loses nothing.
 
+A very long line costs its words once: variants are hashed from running values.
+
 Equal keys are counted, or reduced to their minimum, before they are shuffled. Lines are joined with
 the fate of repeated lines only; a side is broadcast only after its rows were counted.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from closura.llm.decontaminate import BROADCAST_ROWS, checked
 from closura.session import materialize, release
@@ -47,15 +50,16 @@ def _lines(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """doc, key, line, words and n of every line that can be dropped; h and h2 identify the words."""
     rows = docs.select(F.col(ident).alias("doc"), _key(ident, text).alias("key"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
     rows = rows.select("doc", "key", "line", _words(F.col("raw")).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS)
-    return rows.withColumns({"h": F.xxhash64("words"), "h2": F.hash("words")})
+    # each word is hashed once; all else is made of these numbers
+    return rows.withColumn("marks", F.transform("words", lambda w: F.xxhash64(w))).withColumns({"h": F.xxhash64("marks"), "h2": F.hash("marks")})
 
 
 def _halves() -> Column:
     """Hashes of the first and last n/2 and (n-1)/2 words: lines of n and n+1 words have one length in common."""
     out = []
     for m in (F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")):
-        out.append(F.xxhash64(F.lit("first"), m, F.slice("words", F.lit(1), m)))
-        out.append(F.xxhash64(F.lit("last"), m, F.slice("words", F.col("n") - m + 1, m)))
+        out.append(F.xxhash64(F.lit("first"), m, F.slice("marks", F.lit(1), m)))
+        out.append(F.xxhash64(F.lit("last"), m, F.slice("marks", F.col("n") - m + 1, m)))
     return F.array_distinct(F.array(*out))
 
 
@@ -66,11 +70,27 @@ def _without(words: str, i: Column) -> Column:
     return F.when(i < 0, F.col(words)).otherwise(less)
 
 
+def _variants(suspects: DataFrame) -> DataFrame:
+    """h, first, i, variant, m: a hash of the words of each line without the one at i (from 0; -1: of all) and their number.
+
+    A hash is the exclusive or of its words' hashes with their places. The words before a deleted one keep their places, those
+    after it move up by one, so running values of both kinds give every variant in constant time, however long the line."""
+    per = Window.partitionBy("h").orderBy("i")
+    upto = per.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = suspects.select("h", "n", "first", F.posexplode("words").alias("i", "word"))
+    df = df.select("h", "n", "first", "i", F.xxhash64("word", "i").alias("stays"), F.xxhash64("word", F.col("i") - 1).alias("moves"))
+    df = df.withColumns({"before": F.bit_xor("stays").over(upto), "moved": F.bit_xor("moves").over(upto), "all": F.bit_xor("moves").over(Window.partitionBy("h"))})
+    cut = F.col("before").bitwiseXOR(F.col("stays")).bitwiseXOR(F.col("moved")).bitwiseXOR(F.col("all"))
+    cut = F.struct(F.col("i").alias("i"), cut.alias("variant"), (F.col("n") - 1).alias("m"))
+    whole = F.struct(F.lit(-1).alias("i"), F.col("before").alias("variant"), F.col("n").alias("m"))
+    both = F.when(F.col("i") == F.col("n") - 1, F.array(cut, whole)).otherwise(F.array(cut))
+    return df.select("h", "first", F.explode(both).alias("v")).select("h", "first", "v.*")
+
+
 def near_links(suspects: DataFrame) -> DataFrame:
     """suspects: h, n, words, first (order of the line's first occurrence), one row per line.
     Returns h and ``earlier``: for lines with an earlier line one edit away, the h of one such."""
-    variants = suspects.select("h", "n", "first", "words", F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("i"))
-    variants = materialize(variants.select(F.xxhash64(_without("words", F.col("i"))).alias("variant"), "i", (F.col("n") - (F.col("i") >= 0).cast("int")).alias("m"), "h", "first"))
+    variants = materialize(_variants(suspects))
     own = F.struct("first", "h", "i").alias("own")
     earliest = lambda when: F.min(F.when(when, F.struct("first", "h", "i")))
     # replacements: same variant, same place; insertions: a whole line (i = -1) against variants

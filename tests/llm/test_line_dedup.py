@@ -104,3 +104,24 @@ def test_odd_rows(spark):
     ]
     assert got == sorted((str(d), str(t)) for d, t in want)
     assert line_dedup.dedup(df.limit(0)).collect() == []
+
+
+def test_variant_hashes_name_their_words(spark):
+    """Equal variants have equal hashes, unlike ones do not, and a line's own hash meets the variants of a longer one."""
+    lines = ["a b c d e f g h", "a b c d e f g h i", "a b X d e f g h", "b c d e f g h a", "a a a a a a a a"]
+    df = spark.createDataFrame([(k, t.split(), len(t.split()), k) for k, t in enumerate(lines)], "h long, words array<string>, n int, first int")
+    by_hash = {}
+    for r in line_dedup._variants(df).collect():
+        w = lines[r["h"]].split()
+        left = tuple(w if r["i"] < 0 else w[: r["i"]] + w[r["i"] + 1 :])
+        assert r["m"] == len(left)
+        by_hash.setdefault(r["variant"], set()).add(left)
+    assert all(len(v) == 1 for v in by_hash.values()) and len(by_hash) == len({w for v in by_hash.values() for w in v})
+
+
+def test_very_long_lines_cost_their_words_once(spark):
+    base = [f"w{i}" for i in range(60_000)]
+    edited = base[:31_000] + ["new"] + base[31_001:]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(base[1:]))], "doc_id long, text string")
+    got = rows(line_dedup.dedup(docs, counts=True))
+    assert [got[i][1:] for i in (1, 2, 3)] == [(1, 0, 0), (1, 1, 1), (1, 1, 1)]
