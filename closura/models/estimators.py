@@ -91,9 +91,11 @@ def _logreg(train, p, n, width, seed):
 
 
 def _depth(value) -> int:
-    if value is None or int(value) > MAX_TREE_DEPTH:
-        warnings.warn(f"max_depth={value} is beyond MLlib's limit; using {MAX_TREE_DEPTH}.")
+    """None: as deep as MLlib grows trees."""
+    if value is None:
         return MAX_TREE_DEPTH
+    if int(value) > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth={value} is beyond MLlib's limit of {MAX_TREE_DEPTH}")
     return int(value)
 
 

@@ -8,11 +8,12 @@ from pyspark.sql.types import NumericType
 
 from closura.dataset import PSEUDOCOUNT
 from closura.functions.rows import one_hot
-from closura.operators.stats import category_universe
+from closura.operators.stats import bounded_rows, category_universe
 
 # Enrichment modes.
 MODES = (None, "shannon", "shannon_and_metadata", "metadata_only")
 SHANNON = "shannon_entropy"
+MAX_LEVELS = 100_000  # columns that one-hot coding may add
 
 
 def shannon_term(value: Column) -> Column:
@@ -47,7 +48,7 @@ def category_levels(samples: DataFrame, cols: list[str]) -> dict[str, list[str]]
     if not cats:
         return {}
     levels: dict[str, list[str]] = {c: [] for c in cats}
-    for r in category_universe(samples, cats).orderBy("column", "pos").collect():
+    for r in bounded_rows(category_universe(samples, cats).orderBy("column", "pos"), MAX_LEVELS, "levels: each would be a column of the design"):
         levels[r["column"]].append(r["category"])
     return levels
 

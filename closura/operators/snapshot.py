@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from closura.dataset import Dataset, suffixed, time_label_col
+from closura.operators.stats import bounded_rows
 from closura.session import materialize
 
+MAX_WIDE = 20_000  # columns of a wide view
+
 
 def checked_time(samples: DataFrame, time: str):
     """The time column truncated to an integer; non-numeric values are an error."""
@@ -149,8 +152,8 @@ def merge_snapshots(parts: list[tuple[DataFrame, DataFrame]], features: list[Dat
 
 
 def to_wide(ds: Dataset, metadata: list[str] | None = None) -> DataFrame:
-    """One row per sample with suffixed columns; the explicit column list is the table's width."""
-    feats = [r[0] for r in ds.features.orderBy("feature_id").collect()]
+    """One row per sample with suffixed columns; the explicit column list is the table's width, which is bounded."""
+    feats = [r[0] for r in bounded_rows(ds.features.orderBy("feature_id"), MAX_WIDE // len(ds.offsets), "features for a wide view; keep the long form")]
     md = metadata if metadata is not None else [c for c in ds.samples.columns if c not in ("sample_id", "t_off", "present")]
     names = {o: [suffixed(f, o) for f in feats] for o in ds.offsets}
     label = F.col("feature_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closura.dataset import PSEUDOCOUNT
+from closura.operators.ordered import ordered_prefix
 
 
 def partial_moments(abund: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,19 +93,23 @@ def threshold_bounds(abund: DataFrame, measure: str, n_rows: int, features: Data
 
 
 def category_universe(samples: DataFrame, cols: list[str]) -> DataFrame:
-    """Sorted distinct non-null values of each categorical column, with 0-based positions.
+    """Sorted distinct non-null values of each categorical column, with 0-based positions (column, pos, category).
 
-    A level set is one column of a one-hot block per level, so its size is the width of
-    the design matrix, not the height of the table.
+    All columns are read in one pass; levels are numbered by chunked ranks, so a column may have any
+    number of them and no row or task holds them all.
     """
-    stacked = None
-    for c in cols:
-        one = samples.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("category")).distinct()
-        one = one.agg(F.sort_array(F.collect_list("category")).alias("levels")).select(
-            F.lit(c).alias("column"), F.posexplode("levels").alias("pos", "category")
-        )
-        stacked = one if stacked is None else stacked.unionByName(one)
-    return stacked
+    named = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("category")) for c in cols])
+    levels = samples.select(F.explode(named).alias("l")).select("l.*").where("category IS NOT NULL").distinct()
+    ranked = ordered_prefix(levels, ["column"], [F.col("category")])
+    return ranked.select("column", (F.col("rank") - 1).cast("int").alias("pos"), "category")
+
+
+def bounded_rows(df: DataFrame, most: int, what: str) -> list:
+    """The rows of ``df`` for use in a plan; an error if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
 
 
 def label_index(samples: DataFrame, target: str) -> DataFrame:

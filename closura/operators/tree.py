@@ -37,16 +37,20 @@ def ancestor_paths(edges: DataFrame) -> DataFrame:
         )
     )
     for _ in range(MAX_DOUBLINGS):
-        open_rows = state.where("end is not null")
-        if open_rows.isEmpty():
+        looped = F.max(F.when(F.array_contains("path", F.col("node")), F.col("node")))
+        waiting, on_cycle = state.agg(F.count("end"), looped).first()
+        if on_cycle is not None:  # a node above itself; paths would double for ever
+            raise ValueError(f"the edge table contains a cycle through {on_cycle}")
+        if not waiting:
             return state.select("node", "path")
+        open_rows = state.where("end is not null")
         further = state.select(F.col("node").alias("end"), F.col("path").alias("_more"), F.col("end").alias("_end"))
         state = materialize(
             open_rows.join(further, "end")
             .select("node", F.concat("path", "_more").alias("path"), F.col("_end").alias("end"))
             .unionByName(state.where("end is null"))
         )
-    raise ValueError("the edge table contains a cycle")
+    raise ValueError("the tree is too deep")
 
 
 def tip_ancestor_pairs(edges: DataFrame) -> DataFrame:

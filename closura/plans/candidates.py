@@ -17,7 +17,7 @@ from closura.operators.taxonomy import AGGREGATIONS
 # Default ranges of the model settings.
 _FOREST = {
     "n_estimators": ("int", 20, 3000),
-    "max_depth": ("choice", [2, 4, 8, 16, 32, None]),
+    "max_depth": ("choice", [2, 4, 8, 16, 30]),  # what MLlib can grow
     "min_samples_split": ("float", 1e-3, 0.1, True),
     "min_weight_fraction_leaf": ("float", 0.0, 0.01, False),
     "min_samples_leaf": ("float", 1e-3, 0.1, True),

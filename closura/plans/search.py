@@ -21,7 +21,7 @@ from closura.models.tree_shap import tree_shapley
 from closura.operators import metrics as m
 from closura.operators.checks import check_enrich_nulls, check_ordinal_levels, check_snapshot_nulls
 from closura.operators.splits import assign_folds
-from closura.operators.stats import label_index, threshold_bounds
+from closura.operators.stats import bounded_rows, label_index, threshold_bounds
 from closura.operators.trials import aggregate_folds, best_iteration, check_failures, select_one_se
 from closura.operators.tree import log_geom
 from closura.plans.candidates import DATA_COLUMNS, SPACES, candidates, with_start_points
@@ -31,6 +31,7 @@ from closura.session import materialize
 # What a search minimises or maximises.
 SELECTION_METRIC = {"regression": ("rmse_val", "min"), "classification": ("roc_auc_macro_ovr_val", "max")}
 ORDINAL_CAP = 20
+MAX_CLASSES = 10_000  # outputs of one model
 
 
 @dataclass
@@ -99,7 +100,7 @@ def _target(ds: Dataset, target: str, kind: str, max_levels: int = ORDINAL_CAP)
     """(sample_id, y) and the class list; numeric targets of ordinal models are rounded levels."""
     now = ds.samples.where("t_off = 0").select("sample_id", F.col(target).alias("_t"))
     if kind in CLASSIFIERS:
-        classes = [r["label"] for r in label_index(now, "_t").orderBy("idx").collect()]
+        classes = [r["label"] for r in bounded_rows(label_index(now, "_t").orderBy("idx"), MAX_CLASSES, "classes")]
         lookup = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("_t").cast("string")) - 1
         return now.select("sample_id", lookup.cast("double").alias("y")), classes
     if not isinstance(now.schema["_t"].dataType, NumericType):

@@ -61,6 +61,22 @@ def _(spark, sf):
     return io.read_features_wide(spark, _write_tsv(wide, _new(spark, "ft")))
 
 
+@query("S3_read_features_tall", with_(b.ACTIVITY, select="SELECT sample_id, feature_id, value FROM acells"))
+def _(spark, sf):
+    """Event types as rows, samples as columns, under a comment line: one file, as the format asks."""
+    cells = b.activity_cells(spark, sf).select("sample_id", "feature_id", "value")
+    names = materialize(cells.select("sample_id").distinct())
+    types = [r[0] for r in b.table(spark, sf, "events").select("event_type").distinct().collect()]
+    full = names.withColumn("feature_id", F.explode(F.lit(types))).join(cells, ["sample_id", "feature_id"], "left").na.fill(0.0)
+    line = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", c))), lambda p: p[c].cast("string")), "\t")
+    body = full.groupBy("feature_id").agg(line("value").alias("row")).select(F.lit(2).alias("k"), F.concat_ws("\t", "feature_id", "row").alias("value"))
+    head = names.withColumn("name", F.col("sample_id")).agg(line("name").alias("row")).select(F.lit(1).alias("k"), F.concat_ws("\t", F.lit("#OTU ID"), "row").alias("value"))
+    note = head.select(F.lit(0).alias("k"), F.lit("# Constructed from a table").alias("value"))
+    path = _new(spark, "tall")
+    note.unionByName(head).unionByName(body).repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    return io.read_features_tall(spark, path)
+
+
 @query("S5_read_taxonomy", with_(b.LINEAGE, select="SELECT feature_id, taxon, confidence FROM lineage"))
 def _(spark, sf):
     lin = b.supplier_lineage(spark, sf).select(
@@ -336,10 +352,13 @@ def _(spark, sf):
     chosen = len(tm.names)
     within = bool(chosen == near["nb_features"].min())
     scored = tm.predict(ds, "acctbal").select("label", "pred")
-    counts = folds.agg(F.count_distinct("trial").alias("trials"), F.count_distinct("fold").alias("folds"))
+    trials, splits = folds.agg(F.count_distinct("trial"), F.count_distinct("fold")).first()
     error = F.avg((F.col("label") - F.col("pred")) ** 2)
     judged = scored.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s"), error.alias("e"))
-    return judged.join(counts, F.lit(True)).select("n", F.round("s", 4).alias("spread"), (F.sqrt("e") < F.col("s")).alias("better"), "trials", "folds", F.lit(within).alias("within_one_se"))
+    return judged.select(
+        "n", F.round("s", 4).alias("spread"), (F.sqrt("e") < F.col("s")).alias("better"), F.lit(trials).cast("bigint").alias("trials"), F.lit(splits).cast("bigint").alias("folds"),
+        F.lit(within).alias("within_one_se"),
+    )
 
 
 def _tuned(spark, sf):

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from closura.session import materialize
+
 DIRECTIVE = "#q2:"
 
 
@@ -52,9 +54,29 @@ def _long(df: DataFrame, keep: str, variable: str) -> DataFrame:
     return as_double.unpivot([keep], [F.col(f"`{c}`") for c in cols], variable, "value").where("value <> 0")
 
 
+def _cells(spark: SparkSession, path: str, comments: bool) -> tuple[DataFrame, DataFrame]:
+    """(row id, at, text) of every cell and (at, name) of every column, from the lines of a table: as many rows as
+    cells, so that the number of columns is no matter for the plan. Repeated header lines are dropped."""
+    lines = spark.read.text(path)
+    if comments:
+        lines = lines.where(F.contains("value", F.lit("\t")))
+    top = lines.first()
+    if top is None:
+        return spark.createDataFrame([], "id string, at int, text string"), spark.createDataFrame([], "at int, name string")
+    plain = lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")
+    names = lines.limit(1).select(F.posexplode(F.split("value", "\t")).alias("at", "name")).select((F.col("at") - 1).alias("at"), plain(F.col("name")).alias("name")).where("at >= 0")
+    rows = lines.where((F.col("value") != top[0]) & (F.col("value") != "")).select(F.split("value", "\t").alias("row"))
+    cells = rows.select(plain(F.col("row")[0]).alias("id"), F.posexplode(F.slice("row", F.lit(2), F.size("row"))).alias("at", "text"))
+    return cells.select("id", "at", plain(F.col("text")).alias("text")), materialize(names)
+
+
 def read_features_wide(spark: SparkSession, path: str) -> DataFrame:
-    """Samples as rows, features as columns -> (sample_id, feature_id, value), non-zero only."""
-    return melt_wide(_first_as_id(spark.read.option("sep", "\t").option("header", True).csv(path)))
+    """Samples as rows, features as columns -> (sample_id, feature_id, value), non-zero only. Blank cells are
+    zeros; other text is an error. Any number of columns: rows are split and exploded by position."""
+    cells, names = _cells(spark, path, comments=False)
+    value = F.when(F.col("text") != "", F.col("text").cast("double"))
+    valued = cells.select(F.col("id").alias("sample_id"), "at", value.alias("value")).where("value <> 0")
+    return valued.join(names, "at").select("sample_id", F.col("name").alias("feature_id"), "value")
 
 
 def melt_wide(df: DataFrame) -> DataFrame:
@@ -66,17 +88,9 @@ def read_features_tall(spark: SparkSession, path: str) -> DataFrame:
 
     The comment stands before the header and holds no tab; every later line does. The header may
     start with ``#`` too. Blank cells are zeros."""
-    lines = spark.read.text(path).where(F.contains("value", F.lit("\t")))
-    top = lines.first()
-    if top is None:
-        return spark.createDataFrame([], "sample_id string, feature_id string, value double")
-    names = [n.strip('"') for n in top[0].split("\t")]
-    cells = lines.where(F.col("value") != top[0]).select(F.split("value", "\t").alias("row"))
-    unquoted = F.regexp_replace(F.col("row")[0], '^"(.*)"$', "$1")
-    cells = cells.select(unquoted.alias("feature_id"), F.posexplode(F.slice("row", 2, len(names) - 1)).alias("at", "text"))
-    value = F.expr("try_cast(trim(text) AS double)")
-    named = F.get(F.lit(names[1:]), F.col("at"))
-    return cells.select(named.alias("sample_id"), "feature_id", value.alias("value")).where("value <> 0")
+    cells, names = _cells(spark, path, comments=True)
+    valued = cells.select(F.col("id").alias("feature_id"), "at", F.expr("try_cast(text AS double)").alias("value")).where("value <> 0")
+    return valued.join(names, "at").select(F.col("name").alias("sample_id"), "feature_id", "value")
 
 
 def read_taxonomy(spark: SparkSession, path: str, prefix: str = "F") -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import types as T
 
 from closura.sources import tables as io
@@ -65,3 +66,21 @@ def test_metric_sink(spark, tmp_path):
     for fmt in ("csv", "parquet"):
         io.write_table(df, str(tmp_path / fmt), fmt)
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["rmse"] == "0.5"
+
+
+def test_wide_files_of_a_hundred_thousand_columns(spark, tmp_path):
+    """Far more columns than a plan could hold expressions."""
+    n = 100_000
+    lines = ["\t".join(["id", *[f'"f{j}"' for j in range(n)]])]
+    lines += ["\t".join([f"s{i}", *["" if j % 7 == 0 else "1.5" if j % 50_000 == i else "0" for j in range(n)]]) for i in (1, 2)]
+    (tmp_path / "wide.tsv").write_text("\n".join(lines) + "\n")
+    got = sorted(tuple(r) for r in io.read_features_wide(spark, str(tmp_path / "wide.tsv")).collect())
+    assert got == [("s1", "f1", 1.5), ("s2", "f2", 1.5), ("s2", "f50002", 1.5)]  # f50001 is blank
+
+
+def test_wide_text_that_is_no_number_is_an_error(spark, tmp_path):
+    (tmp_path / "bad.tsv").write_text("id\ta\ns1\tx\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|malformed"):
+        io.read_features_wide(spark, str(tmp_path / "bad.tsv")).collect()
+    (tmp_path / "empty.tsv").write_text("")
+    assert io.read_features_wide(spark, str(tmp_path / "empty.tsv")).collect() == []

@@ -1,3 +1,4 @@
+import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,20 @@ def test_log_geom(spark):
     logs = np.log(x + 1e-9)
     want = np.column_stack([logs, logs[:, :2].mean(axis=1)])
     assert np.allclose([got[i] for i in ids], want)
+
+
+@pytest.mark.parametrize("rows", [
+    [("a", "b", False, 1), ("b", "a", False, 2)], [("a", "a", True, 1)],
+    [("t", "a", True, 1), ("a", "b", False, 2), ("b", "c", False, 3), ("c", "a", False, 4), ("u", "root", True, 5)]])
+def test_cycles_are_refused_at_once(spark, rows):
+    edges = spark.createDataFrame(rows, "node string, parent string, is_tip boolean, ord int")
+    began = time.time()
+    with pytest.raises(ValueError, match="cycle"):
+        tr.tip_ancestors(edges)
+    assert time.time() - began < 30
+
+
+def test_deep_chains_still_close(spark):
+    rows = [(f"n{i:03d}", f"n{i + 1:03d}" if i < 99 else "root", i == 0, i) for i in range(100)]
+    edges = spark.createDataFrame(rows, "node string, parent string, is_tip boolean, ord int")
+    assert len(tr.ancestor_paths(edges).where("node = 'n000'").first()["path"]) == 99
