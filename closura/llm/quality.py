@@ -5,13 +5,15 @@ Every whole text is measured in its row; no words are exploded. Windows of eight
 theirs to find which words the repeats cover.
 
 Cutoffs are not fixed: for each (lang, source) mergeable KLL sketches hold the distribution of each
-measure, partial sketches are merged across tasks, and again to one per language for groups with few
-documents. A measure is an outlier if it lies beyond median +- ``SPREADS`` times the distance
+measure, partial sketches are merged across tasks, and again to one per language. A group's quantiles are drawn
+to its language's by a weight of ``FEW`` documents: the more documents a group has, the more its cutoffs are its
+own, without a size at which they change. A measure is an outlier if it lies beyond median +- ``SPREADS`` times the distance
 between the median and the quartile on the *other* side of the outliers, plus a slack; up to half
 of a group can be junk without moving its cutoff. Thresholds are joined back and filter the rows.
 
 Defined results: null text has no words; fewer than 20 words (so also empty and null texts) fails
-the base rule; null lang or source is a group of its own; repeated rows are judged alike; an empty
+the base rule; null lang or source is a group of its own; equal
+measures are judged alike; very long texts are measured whole, in their row; repeated rows are judged alike; an empty
 table gives an empty one; other columns are ignored.
 """
 
@@ -31,7 +33,7 @@ MAX_REPEAT_PERCENT = 30
 
 SPREADS = 6.0
 SKETCH_K = 1024  # about 0.2 % rank error
-FEW = 200  # smaller groups take their language's thresholds
+FEW = 50  # documents that the language's quantiles count for beside a group's own
 # Measure -> (slack below, slack above); None: no such cutoff.
 SLACKS: dict[str, tuple[float | None, float | None]] = {
     "mean_chars": (1.5, 3.0),
@@ -110,8 +112,9 @@ def thresholds(shares: DataFrame, keys: tuple[str, str] = ("lang", "source"), fe
     both = sketches.join(merged, F.col(lang).eqNullSafe(F.col("_lang")), "left")
     out = [F.col(lang), F.col(source), F.col("n_sketched")]
     for m, (below, above) in SLACKS.items():
-        sketch = F.when(F.col("n_sketched") >= few, F.col(m)).otherwise(F.col(f"_{m}"))
-        low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
+        own, shared = ([F.kll_sketch_get_quantile_double(c, F.lit(q)) for q in (0.25, 0.5, 0.75)] for c in (m, f"_{m}"))
+        weight = F.col("n_sketched") / (F.col("n_sketched") + F.lit(few))
+        low, mid, high = (b + weight * (a - b) for a, b in zip(own, shared))
         out.append((F.lit(None).cast("double") if below is None else mid - SPREADS * (high - mid) - below).alias(f"{m}_low"))
         out.append((F.lit(None).cast("double") if above is None else mid + SPREADS * (mid - low) + above).alias(f"{m}_high"))
     return both.select(*out)

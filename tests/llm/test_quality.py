@@ -56,3 +56,17 @@ def test_thresholds_follow_their_group(spark, few):
     got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, few=few).collect()}
     assert all(got[i] == (i % 3 != 0) for i in range(300))
     assert all(got[1000 + i] for i in range(300))
+
+
+def test_cutoffs_move_smoothly_with_the_size_of_a_group(spark):
+    """One document more never moves a cutoff by more than its share."""
+    words = lambda n, mark: " ".join(f"w{i}{mark}" for i in range(n))
+    plain = [(i, words(40 + i % 7, ""), "en", "a") for i in range(400)]
+    before = None
+    for n in (49, 50, 51, 199, 200, 201):
+        rows = plain + [(1000 + i, words(60, "%"), "en", "b") for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        cuts = quality.thresholds(quality.with_shares(quality.measure(docs))).where("source = 'b'").first()
+        if before is not None and n - before[0] == 1:
+            assert abs(cuts["symbols_per_word_high"] - before[1]) < 0.1 and abs(cuts["mean_chars_high"] - before[2]) < 0.2
+        before = (n, cuts["symbols_per_word_high"], cuts["mean_chars_high"])
