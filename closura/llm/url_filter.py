@@ -3,7 +3,8 @@
 Host labels run words together ("cheappills"). A unigram model counts the words of the pages' own
 text; the best split of a label into words is found by Viterbi. A word costs minus the logarithm of
 its share; an unknown piece costs as much as a single count spread over ten times as many letters for
-each further letter, so known words win and any label can be split.
+each further letter, so known words win and any label can be split. Every distinct run of letters meets the
+counts of all its substrings in a join, so the whole vocabulary counts, whatever its size.
 
 Multinomial naive Bayes over the words of host and path is trained on the urls that a rule decides and
 judges those that none does. Runs of digits count as one token. Token counts are summed by Spark over
@@ -12,7 +13,7 @@ all pages; every distinct host and token is worked out once, and pages join them
 Defined results: null urls and urls without ``://`` have empty host and path and no words: the prior
 decides; a host that a rule fits is matched at whole labels only; rules of equal length cannot both
 fit; repeated rows are judged alike; with rules that decide only one way that verdict is given; with no
-decided url everything is allowed; an empty table gives an empty one; other columns are ignored.
+decided url everything is allowed; equal splits go to the longest last word; very long names are split whole; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ RULES = (
     (BLOCK, "net", "/fr/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEXICON = 200_000  # most frequent words the segmenter knows
 LONGEST = 24  # letters of a word
+DIGITS = "0"  # stands for any run of digits
 TOKEN = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -66,8 +67,9 @@ def decided(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 class Segmenter:
     """Best splits of letters into words by a unigram model."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total``: of all counts, if ``counts`` are some of them."""
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -math.log(c / total) for w, c in counts.items()}
         self.unknown = math.log(total)
         self.per_letter = math.log(10)
@@ -90,45 +92,65 @@ class Segmenter:
         return out[::-1]
 
     def tokens(self, name: str | None) -> list[str]:
-        found = TOKEN.findall((name or "").lower())
-        return [t for run in found for t in (["0"] if run[0].isdigit() else self.split(run))]
+        return [t for run in runs_of(name) for t in ([run] if run == DIGITS else self.split(run))]
 
 
-def word_counts(pages: DataFrame, html: str = "html", size: int = LEXICON) -> dict[str, int]:
-    """The most frequent words of the pages' text (a bounded number), tags left out."""
+def runs_of(name: str | None) -> list[str]:
+    """The runs of letters of a name, lower-cased; each run of digits is one sign."""
+    return [DIGITS if run[0].isdigit() else run for run in TOKEN.findall((name or "").lower())]
+
+
+def substrings(run: str) -> set[str]:
+    return {run[at : at + n] for at in range(len(run)) for n in range(1, min(LONGEST, len(run) - at) + 1)}
+
+
+def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """w, c: all words of the pages' text, tags left out."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), "(?s)<[^>]*>", " "))
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("w")).where(F.length("w") <= LONGEST)
-    counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("c")))
-    # words seen at least so often; quantised so that the histogram is small
-    level = F.floor(F.log2("c") * 16)
-    taken, least = 0, None
-    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["level"]):
-        taken += row["n"]
-        if taken > size:
-            break
-        least = row["c"]
-    return {} if least is None else {r["w"]: r["c"] for r in counts.where(F.col("c") >= least).toLocalIterator()}
+    return materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("c")))
+
+
+def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """run, tokens of the distinct ``runs``: each is handed the counts of the words among its own substrings, so all
+    words of the corpus count and none of them pass the driver."""
+    total = int(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+
+    @F.pandas_udf("array<string>")
+    def parts(runs: pd.Series) -> pd.Series:
+        return pd.Series([list(substrings(r)) for r in runs], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def split(runs: pd.Series, words: pd.Series, found: pd.Series) -> pd.Series:
+        own = (Segmenter(dict(zip(w, c, strict=True)), total).split(r) for r, w, c in zip(runs, words, found, strict=True))
+        return pd.Series(list(own), dtype=object)
+
+    letters = runs.where(F.col("run") != DIGITS)
+    known = letters.select("run", F.explode(parts("run")).alias("w")).join(counts, "w").groupBy("run").agg(F.collect_list(F.struct("w", "c")).alias("words"))
+    none = F.array().cast("array<struct<w:string,c:bigint>>")
+    known = letters.join(known, "run", "left").withColumn("words", F.coalesce("words", none))
+    out = known.select("run", split("run", F.col("words.w"), F.col("words.c")).alias("tokens"))
+    return materialize(out.union(runs.where(F.col("run") == DIGITS).select("run", F.array("run"))))
 
 
 def judge(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """ident, host, path, rule, verdict (and the log-odds of blocking by naive Bayes) of every row."""
-    segmenter = Segmenter(word_counts(pages, html))
 
     @F.pandas_udf("array<string>")
-    def tokens(names: pd.Series) -> pd.Series:
-        return pd.Series([segmenter.tokens(n) for n in names], dtype=object)
+    def runs(names: pd.Series) -> pd.Series:
+        return pd.Series([runs_of(n) for n in names], dtype=object)
 
     rows = pages.select(F.col(ident).alias("ident"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.withColumn("by", decided(F.col("host"), F.col("path"), rules))
     # equal urls are counted once, with the number of their rows
     urls = materialize(rows.groupBy("host", "path", "by").agg(F.count(F.lit(1)).alias("n")))
-    hosts = materialize(urls.select("host").distinct().select("host", tokens("host").alias("host_tokens")))
-    split = urls.join(checked(hosts), "host").select("host", "path", "n", "by", F.concat("host_tokens", tokens("path")).alias("tokens"))
-    split = materialize(split)
+    split = materialize(urls.select("host", "path", "n", "by", F.explode_outer(F.concat(runs("host"), runs("path"))).alias("run")))
+    pieces = split_runs(split.where("run IS NOT NULL").select("run").distinct(), word_counts(pages, html))
+    split = materialize(split.join(pieces, "run", "left"))
 
     block = (F.col("by.verdict") == BLOCK).cast("bigint")
     seen = split.where("by IS NOT NULL")
-    n, n_block = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * block), F.lit(0))).first()
+    n, n_block = urls.where("by IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * block), F.lit(0))).first()
     counts = seen.select(F.explode("tokens").alias("token"), "n", (F.col("n") * block).alias("b")).groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     counts = materialize(counts)
     all_, all_block, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count(F.lit(1))).first()

@@ -1,3 +1,4 @@
+import random
 import itertools
 import math
 import re
@@ -53,7 +54,7 @@ def rows(df):
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    segmenter = uf.Segmenter(uf.word_counts(pages))
+    segmenter = uf.Segmenter(dict(uf.word_counts(pages).collect()))
     assert rows(QUERIES["op4_url_filter"](spark, sf)) == brute(pages.select("page_id", "url").collect(), segmenter)
 
 
@@ -66,7 +67,7 @@ ODD = [
 def test_odd_rows(spark):
     data = [(i, u, f"<p>cheap pills {i}</p>") for i, u in enumerate(ODD)] + [(None, ODD[4], None), (4, ODD[4], "")]
     df = spark.createDataFrame([(*r, "clash", 1) for r in data], "page_id long, url string, html string, host string, n int")
-    want = brute([r[:2] for r in data], uf.Segmenter(uf.word_counts(df)))
+    want = brute([r[:2] for r in data], uf.Segmenter(dict(uf.word_counts(df).collect())))
     assert rows(uf.judge(df)) == want
     assert rows(uf.judge(df.limit(0))) == []
     none = df.where("url IS NULL OR url LIKE '%org%'")
@@ -83,3 +84,16 @@ def test_viterbi_finds_the_least_cost(name):
         splits.append([name[a:b] for a, b in zip(at, at[1:])])
     got = segmenter.split(name)
     assert "".join(got) == name and sum(map(cost, got)) == pytest.approx(min(sum(map(cost, s)) for s in splits))
+
+
+def test_runs_get_their_own_words_of_any_number(spark):
+    """Split with the counts handed to each run as by one that knows all counts."""
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6))): rng.randrange(1, 90) for _ in range(400)}
+    counts = spark.createDataFrame(list(words.items()), "w string, c long")
+    runs = {"".join(rng.choice("abcde") for _ in range(rng.randrange(1, 40))) for _ in range(60)} | {"x" * 30, "0"}
+    whole = uf.Segmenter(words)
+    got = dict(uf.split_runs(spark.createDataFrame([(r,) for r in runs], "run string"), counts).collect())
+    assert got == {r: ["0"] if r == "0" else whole.split(r) for r in runs}
+    long = "abcd" * 50_000
+    assert "".join(uf.split_runs(spark.createDataFrame([(long,)], "run string"), counts).first()["tokens"]) == long
