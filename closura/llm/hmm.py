@@ -17,7 +17,8 @@ end once the log-likelihood gains less than ``GAIN`` of itself. Scoring runs the
 over whole texts.
 
 Defined results: null text is empty (the end alone); null doc_id trains, like every id not held out;
-repeated rows each count and are scored each; an empty table gives an empty one; other columns are
+repeated rows each count and are scored each; words of equal count share the last ranks in the order of their hashes; very
+long texts are trained in segments and scored whole; an empty table gives an empty one; other columns are
 ignored.
 """
 
@@ -106,8 +107,18 @@ def head_of(vocab: DataFrame, size: int = HEAD, symbols: int = SYMBOLS) -> tuple
     return Head(word[by], rank[by], count[by], min(symbols, len(word) - int((word == END).any()))), least
 
 
+def packed(symbols: np.ndarray) -> bytes:
+    """Symbols byte plane by byte plane, compressed: the corpus moves once in every round."""
+    return pa.compress(np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Written chunks of texts: chunk, ident, held_out and sizes (tokens) of each text, symbols (uint32,
+    """Written chunks of texts: chunk, ident, held_out and sizes (tokens) of each text, symbols (``packed``,
     all texts in a row: ranks, ``head.symbols`` is "other", one more the end, then places in words),
     words (int64: the chunk's words beyond the ranks), counts (int64, of these, below 0 for words of
     this chunk alone; none yet)."""
@@ -130,7 +141,7 @@ def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text")
                 lists = [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(bounds) + 1, pa.int64())]
                 columns = [
                     pa.array([chunk]), *[pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x) for x in lists],
-                    pa.array([symbol.tobytes()]), pa.array([words.tobytes()]), pa.array([b""]),
+                    pa.array([packed(symbol)]), pa.array([words.tobytes()]), pa.array([b""]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 chunk += 1
@@ -341,7 +352,7 @@ def fit(
                 words = np.frombuffer(row["words"], np.int64)
                 bucket, local = local_model(model, row, words, buckets)
                 mine = np.zeros((len(words), states))
-                parts = np.split(np.frombuffer(row["symbols"], np.uint32), np.cumsum(row["sizes"])[:-1])
+                parts = np.split(unpacked(row["symbols"], sum(row["sizes"])), np.cumsum(row["sizes"])[:-1])
                 training = [t for t, held in zip(parts, row["held_out"], strict=True) if not held]
                 segments, first = cut(training, n + len(words)) if training else (np.zeros((0, SEGMENT), np.int64), np.zeros(0, bool))
                 for k in range(0, len(segments), BATCH_SEGMENTS):
@@ -433,6 +444,7 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", states: in
     plain = code(docs, head, ident, text)
     buckets = buckets_for(plain)
     coded = counted(plain, vocab, buckets)
+    release(plain)
     model, _, replies = fit(coded, counts, states, rounds, n_words, buckets)
     shared = spark.sparkContext.broadcast((model, np.append(counts[:-2], [0, ends])))
     base_share = float(np.log10(n_train + 1 * (n_words + 1)))
@@ -444,7 +456,7 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", states: in
             words = np.frombuffer(row["words"], np.int64)
             local = local_model(model, row, words, buckets)[1]
             count = np.append(counts, np.abs(np.frombuffer(row["counts"], np.int64)))
-            symbols, sizes = np.frombuffer(row["symbols"], np.uint32), np.array(row["sizes"])
+            symbols, sizes = unpacked(row["symbols"], sum(row["sizes"])), np.array(row["sizes"])
             begins = np.cumsum(sizes) - sizes  # every text has its end, so none is empty
             base = np.add.reduceat(np.log10(count + 1.0)[symbols] - base_share, begins)
             known = np.add.reduceat((count > 0)[symbols].astype(np.int64), begins)
@@ -455,5 +467,4 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", states: in
     source = gathered(coded.select("chunk", *columns), replies) if replies is not None else coded.withColumn("got", F.lit(None).cast("array<binary>"))
     kind = docs.schema[ident].dataType.simpleString()
     scored = source.select(*columns, "got").mapInArrow(run, f"ident {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    release(plain)
     return scored.select(F.col("ident").alias(ident), "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("bigint").alias("train_tokens"), "base_score", "score")
