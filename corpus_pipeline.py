@@ -7,7 +7,11 @@
 4. decontamination: documents contaminated by ``benchmark`` go.
 5. byte_bpe: every remaining text is encoded and decoded; returns counts and digests.
 
-All but the last return the columns of their input.
+All but the last return the columns of their input, clashing ones (``key``, ``n``) included.
+
+Defined results: a document with null text stays to the end and encodes as empty text; rows with the same doc_id are
+one document to line_dedup; rows with equal doc_id and text share their fate in every stage; of equal texts the one with the
+least doc_id stays, and all with none; very long texts are worked on whole; an empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -22,12 +26,13 @@ from closura.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from closura.session import scratch_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-ARROW_ROWS = 1_000
+BATCH_ROWS, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
 def _short_batches(spark: SparkSession) -> None:
-    """Documents are long rows: fewer of them at a time between the JVM and Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Documents are long rows: fewer of them at a time between the JVM and Python. A stage is lazy, so the
+    setting has to outlast it; ``run`` puts back what it found."""
+    spark.conf.set(BATCH_ROWS, ARROW_ROWS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +75,11 @@ ORACLE_SQL = None  # learned scores, near copies and BPE are beyond SQL; tests h
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{scratch_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return docs
