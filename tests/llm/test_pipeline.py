@@ -28,7 +28,11 @@ def test_stages_and_result(spark, sf, tmp_path):
             texts = dict(line_dedup.dedup(docs).select("doc_id", "text").collect())
             assert dict(after.select("doc_id", "text").collect()) == {i: t for i, t in texts.items() if t and t.split()}
         docs = after
+    before = spark.conf.get(corpus_pipeline.BATCH_ROWS)
+    spark.conf.set(corpus_pipeline.BATCH_ROWS, 777)
     out = corpus_pipeline.run(spark, sf).collect()
+    assert spark.conf.get(corpus_pipeline.BATCH_ROWS) == "777"
+    spark.conf.set(corpus_pipeline.BATCH_ROWS, before)
     want = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in docs.collect()}
     assert {r["doc_id"]: r["decoded_sha256"] for r in out} == want and len(out) == len(want)
 
@@ -40,3 +44,12 @@ def test_stages_take_odd_rows(spark, sf, k):
     out = corpus_pipeline.STAGES[k][1](spark, odd, sf)
     assert out.columns == odd.columns and out.where("text IS NULL").count() == 3
     assert corpus_pipeline.STAGES[k][1](spark, odd.limit(0), sf).collect() == []
+
+
+def test_encoding_takes_odd_rows_and_very_long_texts(spark, sf):
+    texts = [None, "", "word " * 300_000, "x" * 100_000, "x" * 100_000]
+    docs = spark.createDataFrame([(i % 4, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+    out = corpus_pipeline.STAGES[4][1](spark, docs, sf).collect()
+    want = sorted((i % 4, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(texts))
+    assert sorted((r["doc_id"], r["decoded_sha256"]) for r in out) == want
+    assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), sf).collect() == []
