@@ -42,7 +42,7 @@ def window_links(
     Every sample offers itself to the windows starting 0..n_prev steps later; one grouping by
     (host, start) then collects a window, which has at most n_prev + 1 rows."""
     if missing_mode not in ("exclude", "nan"):
-        raise ValueError("missing_mode must be one of {'exclude','nan'}")
+        raise ValueError("missing_mode is 'exclude' or 'nan'")
     if n_prev < 0:
         raise ValueError("n_prev must not be negative")
     last = last_per_time(samples, host, time, order_col)
@@ -78,7 +78,7 @@ def snapshot_windows(
     time, other metadata NULL, and have no cells."""
     links = materialize(window_links(samples, host, time, n_prev, missing_mode, order_col))
     if missing_mode == "exclude" and links.isEmpty():
-        raise ValueError("No (host, t0) instances have complete contiguous windows for the requested history.")
+        raise ValueError("no sample has a whole window of earlier times; ask for less history or missing_mode='nan'")
     rest = [c for c in samples.columns if c not in ("sample_id", host, time)]
     time_type = samples.schema[time].dataType
     if not isinstance(time_type, NumericType):

@@ -19,7 +19,7 @@ def align_taxonomy(tax: DataFrame, abund: DataFrame) -> DataFrame:
     now = abund.where("t_off = 0") if "t_off" in abund.columns else abund
     kept = tax.join(now.select("feature_id").distinct(), "feature_id", "left_semi")
     if kept.isEmpty():
-        raise ValueError("Taxonomy data does not match with feature table.")
+        raise ValueError("no feature of the table has a taxonomy row")
     return kept
 
 
@@ -53,7 +53,7 @@ def labels_for(method: str | None, tax: DataFrame | None) -> DataFrame | None:
     if method is None:
         return None
     if method not in AGGREGATIONS:
-        raise ValueError(f"Method {method} is not implemented yet.")
+        raise ValueError(f"unknown aggregation {method!r}")
     return feature_labels(tax, AGGREGATIONS[method])
 
 
@@ -68,5 +68,5 @@ def aggregate_universe(features: DataFrame, labels: DataFrame | None) -> DataFra
         return features.select("feature_id")
     lost = unmatched_features(features, labels).count()
     if lost:
-        warnings.warn(f"{lost} features were not found in taxonomy and are disregarded.")
+        warnings.warn(f"{lost} features without a taxonomy row are left out")
     return features.join(labels, "feature_id").select(F.col("label").alias("feature_id")).distinct()

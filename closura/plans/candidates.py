@@ -93,7 +93,7 @@ def candidates(
     """Add the settings to ``trials`` (column ``trial``). ``bounds`` holds (lo, hi) of the per-feature
     abundance and variance. Settings that do not apply to a trial are NULL."""
     if model_type not in SPACES:
-        raise ValueError(f"Model type {model_type} not supported.")
+        raise ValueError(f"unknown model type {model_type!r}")
     o = dict(overrides or {})
     space = {**SPACES[model_type], **{k: v for k, v in o.items() if k in SPACES[model_type]}}
     out = trials.select("trial").withColumn("model_type", F.lit(model_type))

@@ -38,7 +38,7 @@ class Config:
 
     def __post_init__(self):
         if self.transform not in TRANSFORMS:
-            raise ValueError(f"Method {self.transform} is not implemented yet.")
+            raise ValueError(f"unknown transform {self.transform!r}")
         enr.metadata_columns(self.enrich, list(self.enrich_with))
 
 

@@ -125,7 +125,7 @@ def test_missing_past_comes_back_as_nan(spark):
 
 def test_config_rejects_unknown_methods():
     for bad in ({"transform": "sqrt"}, {"enrich": "weather"}):
-        with pytest.raises(ValueError, match="not implemented"):
+        with pytest.raises(ValueError, match="unknown transform"):
             eng.Config(**bad)
 
 

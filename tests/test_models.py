@@ -170,7 +170,7 @@ def test_candidate_ranges(spark):
     lr = candidates("logreg", trials, 1, 12, BOUNDS).toPandas()
     assert (lr["l1_ratio"].notna() == (lr["penalty"] == "elasticnet")).all() and lr["aggregation"].isna().all()
     assert candidates("log_contrast", trials, 1, 12, BOUNDS).toPandas()["selection"].isna().all()
-    with pytest.raises(ValueError, match="not supported"):
+    with pytest.raises(ValueError, match="unknown model type"):
         candidates("svm", trials, 1, 12, BOUNDS)
     s = with_start_points(candidates("linreg", trials, 1, 12, BOUNDS), [{"alpha": 6.5}]).toPandas().set_index("trial")
     assert s.loc["0", "alpha"] == 6.5

@@ -31,7 +31,7 @@ def test_exclude_mode(spark):
     ds = snap.snapshot_windows(*one_host(spark), "host", "time", 1, "exclude")
     assert [r["sample_id"] for r in ds.samples.where("t_off = 0").collect()] == ["s3"]
     md = meta(spark, [("a", "h1", 1, "x"), ("b", "h1", 4, "x"), ("c", "h2", 3, "x")])
-    with pytest.raises(ValueError, match="complete contiguous windows"):
+    with pytest.raises(ValueError, match="whole window"):
         snap.snapshot_windows(md, cells(spark, {"F0": [1, 1, 1]}, ["a", "b", "c"]), "host", "time", 2, "exclude")
 
 
