@@ -219,7 +219,8 @@ def evaluate_candidates(
             fitted, scores = _fit_fold(design, kind, _params(t, kind), targets[kind][1], fold, seed, tree)
             return fitted.meta.get("best_iter"), scores
 
-        from_sums = [t for t in members if t["model_type"] == "linreg"] if max(width.values(), default=0) + 2 <= BLOCK else []
+        narrow = max(width.values(), default=0) + 2 <= BLOCK
+        from_sums = [t for t in members if narrow and t["model_type"] == "linreg" and None not in (t.get("alpha"), t.get("l1_ratio"))]
         if from_sums:
             # all folds and penalties from the sums of one pass over the design
             wanted = [(str(t["trial"]), float(t["alpha"]), float(t["l1_ratio"])) for t in from_sums]
