@@ -71,17 +71,21 @@ class TunedModel:
 
     def predict(self, ds: Dataset, target: str | None = None) -> DataFrame:
         """sample_id[, label], pred (class names for classifiers)[, proba]."""
-        x = self.design(ds).select("sample_id", to_features(F.col("x"), self.fitted.kind).alias("features"))
-        out = self.fitted.score(x).drop("features")
-        pred = F.col("prediction")
-        if self.classes is not None:
-            pred = F.element_at(F.array(*[F.lit(c) for c in self.classes]), pred.cast("int") + 1)
-        out = out.withColumn("pred", pred).drop("prediction")
+        out = self.predict_design(self.design(ds))
         if target is not None:
             now = ds.samples.where("t_off = 0").select("sample_id", F.col(target).alias("label"))
             out = out.join(now, "sample_id")
         return out
 
+    def predict_design(self, x: DataFrame) -> DataFrame:
+        """sample_id, pred[, proba] of design rows (sample_id, x)."""
+        features = x.select("sample_id", to_features(F.col("x"), self.fitted.kind).alias("features"))
+        out = self.fitted.score(features).drop("features")
+        pred = F.col("prediction")
+        if self.classes is not None:
+            pred = F.element_at(F.array(*[F.lit(c) for c in self.classes]), pred.cast("int") + 1)
+        return out.withColumn("pred", pred).drop("prediction")
+
     def predict_proba(self, ds: Dataset) -> DataFrame:
         """sample_id, class, proba aligned to the fitted classes."""
         if not self.fitted.has_proba:
