@@ -21,7 +21,7 @@ from closura.models.tree_shap import tree_shapley
 from closura.operators import metrics as m
 from closura.operators.checks import check_enrich_nulls, check_ordinal_levels, check_snapshot_nulls
 from closura.operators.splits import assign_folds
-from closura.operators.stats import bounded_rows, label_index, threshold_bounds
+from closura.operators.stats import bounded_rows, bounds_of, feature_stats, label_index
 from closura.operators.trials import aggregate_folds, best_iteration, check_failures, select_one_se
 from closura.operators.tree import log_geom
 from closura.plans.candidates import DATA_COLUMNS, SPACES, candidates, with_start_points
@@ -193,6 +193,7 @@ def evaluate_candidates(
     folds = folds_of(ds, k, seed, group, stratify)
     out: list[tuple] = []
     errors: list[tuple] = []
+    shared: dict = {}
     by_data: dict[tuple, list[dict]] = {}
     for t in trials:
         by_data.setdefault((t["model_type"] in TREES, t["model_type"] == "log_contrast", *[t.get(c) for c in DATA_COLUMNS]), []).append(t)
@@ -210,7 +211,7 @@ def evaluate_candidates(
             x = x.withColumn("fit", F.explode(fits)).withColumn("split", F.when(F.col("fold") == F.col("fit"), "val").otherwise("train"))
             x = x.select("sample_id", "fit", "split", "x")
         else:
-            x, _ = engineer_folds(ds, folds, k, cfg, taxonomy, fits=list(range(k)))
+            x, _ = engineer_folds(ds, folds, k, cfg, taxonomy, fits=list(range(k)), shared=shared)
         for kind in sorted({t["model_type"] for t in members}):  # one join with each type's target, none in a trial
             x = x.join(targets[kind][0].withColumnRenamed("y", f"y_{kind}"), "sample_id")
         x = materialize(x)
@@ -272,11 +273,13 @@ def trial_scores(fold_metrics: DataFrame, metric: str) -> DataFrame:
 def data_bounds(ds: Dataset) -> tuple[int, dict[str, tuple[float, float]]]:
     """Number of feature columns over all snapshots, and the threshold ranges."""
     n = ds.samples.where("t_off = 0").count()
+    names = ("abundance", "variance")
+    stats = materialize(ds.features.join(feature_stats(ds.abund, n), "feature_id", "left").na.fill(0.0, list(names)))
     bounds = {}
-    for measure in ("abundance", "variance"):
-        r = threshold_bounds(ds.abund, measure, n, ds.features).first()
+    for measure in names:
+        r = bounds_of(stats, measure).first()
         bounds[measure] = (float(r["lo"]), float(r["hi"]))
-    return ds.features.count() * len(ds.offsets), bounds
+    return stats.count() * len(ds.offsets), bounds
 
 
 def find_best(
