@@ -1,9 +1,9 @@
 """Zero-sum sparse regression on node means.
 
 min |y - c - Xa|^2 + lam * sum w|a| with sum(a) = 0, then least squares on the columns in use. A design
-of one block of columns is summed up once and solved from its sums in a task; a wider one by accelerated proximal
-steps, whose gradients are one pass each with the partial vectors added in two levels. Both minimise the same
-function to the same tolerance; vectors of the design's width are all that the driver holds.
+of one block of columns is summed up once and solved from its sums in a task; a wider one from the sums of the columns in
+use, to which a pass over the rows adds those that break the minimum's conditions; if more than a block are in use, by accelerated
+proximal steps, whose gradients are one pass each with the partial vectors added in two levels. All minimise the same function; vectors of the design's width are all that the driver holds.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from closura.session import materialize, release
 SUPPORT_TOL = 1e-5
 STEPS, TOLERANCE = 5000, 1e-10  # of the proximal steps over a wide design
 POWER_STEPS = 30
+ADMIT = 1e-8  # of the largest penalty: by how much a column outside must break the conditions to come in
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -147,6 +148,40 @@ def _refit_wide(rows: DataFrame, support: np.ndarray, free: bool, n: float, mean
     return float(at(beta)), beta
 
 
+def _few(rows: DataFrame, used: np.ndarray, t: np.ndarray, block: int) -> np.ndarray:
+    """The minimum over the columns in ``used`` alone, from their sums, in a task."""
+    some = rows.select(F.transform(F.lit([int(i) for i in used]), lambda i: F.get("x", i)).alias("x"), "y")
+    own = t[used]
+
+    def solve(full: np.ndarray, _key) -> pd.DataFrame:
+        n, mx, my = full[0, 0], full[0, 1:-1] / full[0, 0], full[0, -1] / full[0, 0]
+        g, b = full[1:-1, 1:-1] - n * np.outer(mx, mx), full[1:-1, -1] - n * mx * my
+        return pd.DataFrame({"a": [l1_zero_sum(g, b, 1.0, own)]})
+
+    return np.array(by_group(gram(some, block=block), [], solve, "a array<double>").first()["a"])
+
+
+def _by_columns_in_use(rows: DataFrame, half, b: np.ndarray, t: np.ndarray, block: int) -> tuple[np.ndarray, bool]:
+    """Coefficients, and whether they are the minimum over all columns: solved over a few columns, then joined by those
+    that the gradient over all rows says break its conditions, until none does or they no longer fit a block."""
+    a, grad, used = np.zeros(len(b)), -2.0 * b, np.array([], int)
+    while True:
+        on = a != 0
+        m = float(np.median(-t[on] * np.sign(a[on]) - grad[on])) if on.any() else (float(np.max(-t - grad)) + float(np.min(t - grad))) / 2
+        off = np.abs(grad + m) - t
+        off[used] = 0.0
+        worst = np.argsort(-off)[: max(2, block // 4)]
+        worst = worst[off[worst] > ADMIT * float(np.max(t))]
+        if not len(worst):
+            return a, True
+        if len(used) + len(worst) + 2 > block:
+            return a, False
+        used = np.sort(np.concatenate([used, worst]))
+        a = np.zeros(len(b))
+        a[used] = _few(rows, used, t, block)
+        grad = 2.0 * half(a)
+
+
 def _fit_wide(rows: DataFrame, w: np.ndarray, lam: float, block: int, steps: int = STEPS, tol: float = TOLERANCE) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """As ``_solved``, by passes over the rows."""
     rows = materialize(rows.select("x", F.col("y").cast("double").alias("y")))
@@ -156,6 +191,19 @@ def _fit_wide(rows: DataFrame, w: np.ndarray, lam: float, block: int, steps: int
     # the gradient of half the squared error, with the best intercept for a
     half = lambda a: gradient(rows, float(mean_y - mean_x @ a), a)[2]
     b = -half(np.zeros(p))
+    t = lam * 2.0 * float(np.max(np.abs(b) / w)) * w
+    a, whole = _by_columns_in_use(rows, half, b, t, block)
+    if not whole:
+        a = _by_steps(half, b, t, a, steps, tol)
+    grad = 2.0 * half(a)
+    intercept = mean_y - mean_x @ a
+    beta0, beta = _refit_wide(rows, np.abs(a) > SUPPORT_TOL, abs(intercept) > SUPPORT_TOL, n, mean_x, mean_y, block)
+    release(rows)
+    return beta0, beta, a, grad
+
+
+def _by_steps(half, b: np.ndarray, t: np.ndarray, a: np.ndarray, steps: int, tol: float) -> np.ndarray:
+    """Accelerated proximal steps from ``a``, one pass each."""
     v = b / max(float(np.linalg.norm(b)), 1e-300)
     top = 0.0
     for _ in range(POWER_STEPS):
@@ -168,8 +216,7 @@ def _fit_wide(rows: DataFrame, w: np.ndarray, lam: float, block: int, steps: int
         if done:
             break
     step = 1.0 / max(2.2 * top, 1e-300)
-    t = lam * 2.0 * float(np.max(np.abs(b) / w)) * w
-    a, y, k = np.zeros(p), np.zeros(p), 1.0
+    y, k = a.copy(), 1.0
     for _ in range(steps):
         nxt = zero_sum_prox(y - step * 2.0 * half(y), step * t)
         restart = float(np.dot(y - nxt, nxt - a)) > 0
@@ -179,11 +226,7 @@ def _fit_wide(rows: DataFrame, w: np.ndarray, lam: float, block: int, steps: int
         a, k = nxt, k2
         if moved <= tol * max(1.0, float(np.max(np.abs(a), initial=0.0))):
             break
-    grad = 2.0 * half(a)
-    intercept = mean_y - mean_x @ a
-    beta0, beta = _refit_wide(rows, np.abs(a) > SUPPORT_TOL, abs(intercept) > SUPPORT_TOL, n, mean_x, mean_y, block)
-    release(rows)
-    return beta0, beta, a, grad
+    return a
 
 
 def fit_log_contrast(rows: DataFrame, n_leaves: list[float], lam: float, block: int = BLOCK) -> Fitted:
