@@ -6,14 +6,16 @@ own; unknown words share one symbol "other". A state's emission of a word is its
 one, the one dealt to the states by their share of all tokens: states agree on words seen once or
 never as add-one counts do. That makes the model a proper distribution over all texts.
 
-Texts are coded once, in chunks of some MB: the ``SYMBOLS`` most frequent words by rank, a chunk's
+Texts are coded once, in chunks of ``CHUNK`` bytes: the ``SYMBOLS`` most frequent words by rank, a chunk's
 other words by their place in its own list. Each round every task runs the scaled forward and backward
 recursions over its chunks and yields expected counts. Those of the frequent words, of fixed size,
 are summed to the driver and go to all tasks. Those of all other words are dealt into buckets by
 hash, summed there, and each chunk gets the sums of its words back, so that no task or driver holds
-the whole vocabulary; words of a single chunk keep theirs. For training a text is cut into segments of ``SEGMENT`` tokens, with start
-probabilities of their own for first and later ones, so that many segments advance together; rounds
-end once the log-likelihood gains less than ``GAIN`` of itself. Scoring runs the forward recursion
+the whole vocabulary; words of a single chunk keep theirs. They move as whole numbers of parts of one
+(``UNIT``), packed, with places in the bucket instead of hashes; the model is that of the numbers that
+moved, so its emissions still sum to one. For training a text is cut into segments of ``SEGMENT``
+tokens, with start probabilities of their own for first and later ones, so that many segments advance
+together; rounds end once the log-likelihood gains less than ``GAIN`` of itself. Scoring runs the forward recursion
 over whole texts.
 
 Defined results: null text is empty (the end alone); null doc_id trains, like every id not held out;
@@ -41,7 +43,8 @@ STATES = 8
 ROUNDS = 50  # at most; GAIN ends them
 GAIN = 1e-3
 SEGMENT = 64
-CHUNK = 4 * wordhash.SLICE_BYTES
+CHUNK = 16 * wordhash.SLICE_BYTES  # of text; the larger, the fewer chunks a word stands in
+UNIT = 1_024  # expected counts of words beyond the symbols move as whole numbers of this part of one
 BUCKET_WORDS = 200_000  # of all chunks' lists, in a bucket
 SPREAD_WORDS = 2_000  # the same, if there are few
 STRIPE = 512  # symbols that are summed together
@@ -107,21 +110,36 @@ def head_of(vocab: DataFrame, size: int = HEAD, symbols: int = SYMBOLS) -> tuple
     return Head(word[by], rank[by], count[by], min(symbols, len(word) - int((word == END).any()))), least
 
 
-def packed(symbols: np.ndarray) -> bytes:
-    """Symbols byte plane by byte plane, compressed: the corpus moves once in every round."""
-    return pa.compress(np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+def packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Whole numbers byte plane by byte plane, compressed: corpus and counts move once in every round."""
+    planes = np.ascontiguousarray(numbers.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if numbers.size else b""
 
 
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def unpacked(raw: bytes, n: int, kind: str = "<u4") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=width * n, codec="zstd", asbytes=True) if n else b"", np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def hashed_chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word hashes of ``CHUNK`` bytes of texts, and the words of each text (a text is never cut)."""
+    some, size = [], 0
+    for texts in wordhash.slices(column):
+        words, bounds = wordhash.hashes(texts)
+        some.append((words, np.diff(bounds)))
+        size += sum(map(len, texts))
+        if size >= CHUNK:
+            yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
+            some, size = [], 0
+    if some:
+        yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
 
 
 def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Written chunks of texts: chunk, ident, held_out and sizes (tokens) of each text, symbols (``packed``,
     all texts in a row: ranks, ``head.symbols`` is "other", one more the end, then places in words),
-    words (int64: the chunk's words beyond the ranks), counts (int64, of these, below 0 for words of
-    this chunk alone; none yet)."""
+    words (int64: the chunk's words beyond the ranks), counts (``packed``, of these; none yet)."""
     shared = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +147,15 @@ def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text")
         chunk = (task.partitionId() if task else 0) << 33
         for batch in batches:
             at = 0
-            for texts in wordhash.slices(batch.column(2), CHUNK):
-                hashed, bounds = wordhash.hashes(texts)
+            for hashed, sizes in hashed_chunks(batch.column(2)):
                 place = head.find(hashed)
                 symbol = np.where(place >= 0, head.rank[place] if len(head.rank) else 2**40, 2**40)
                 far = symbol >= head.symbols
                 words, index = np.unique(hashed[far], return_inverse=True)
                 symbol[far] = index + head.symbols + 2
-                symbol = np.insert(symbol, bounds[1:], head.symbols + 1).astype(np.uint32)
-                n = len(texts)
-                lists = [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(bounds) + 1, pa.int64())]
+                symbol = np.insert(symbol, np.cumsum(sizes), head.symbols + 1)
+                n = len(sizes)
+                lists = [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(sizes + 1, pa.int64())]
                 columns = [
                     pa.array([chunk]), *[pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x) for x in lists],
                     pa.array([packed(symbol)]), pa.array([words.tobytes()]), pa.array([b""]),
@@ -153,11 +170,9 @@ def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text")
     return materialize(docs.select(ident, held_out(F.col(ident)).alias("held_out"), text).mapInArrow(run, schema))
 
 
-def bucket_of(words: np.ndarray, buckets: int, counts: np.ndarray | None = None) -> np.ndarray:
-    """The words' buckets (``bucket_column`` says the same in Spark); ``buckets`` for words that need no
-    sum: of one chunk alone, or of no training text."""
-    bucket = (words.view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
-    return bucket if counts is None else np.where(counts > 0, bucket, buckets)
+def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    """The words' buckets (``bucket_column`` says the same in Spark)."""
+    return (words.view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
 
 
 def bucket_column(word: Column, buckets: int) -> Column:
@@ -185,17 +200,18 @@ def gathered(coded: DataFrame, replies: DataFrame) -> DataFrame:
     return coded.join(got.select("chunk", F.transform("got", lambda x: x["values"]).alias("got")), "chunk", "left")
 
 
-def in_place(got: list[bytes] | None, bucket: np.ndarray, kind: type, width: int) -> np.ndarray:
-    """Rows of ``width`` values for each word, from the values by bucket."""
-    out = np.zeros((len(bucket), width), kind)
-    if len(bucket):
-        order = np.argsort(bucket, kind="stable")
-        out[order] = np.frombuffer(b"".join(got), kind).reshape(-1, width)
+def in_place(got: list[bytes] | None, bucket: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``width`` whole numbers for each word, from those by bucket."""
+    out = np.zeros((len(bucket), width), np.int64)
+    for raw, (_, part) in zip(got or [], dealt(bucket), strict=True):
+        out[part] = unpacked(raw, len(part) * width, "<i8").reshape(-1, width)
     return out
 
 
 def counted(coded: DataFrame, vocab: DataFrame, buckets: int) -> DataFrame:
-    """coded, written again with the counts of its words."""
+    """coded, written again with the counts of its words. Their hashes give way to ``links`` (``packed``): bucket
+    and place among the bucket's words that need sums; bucket ``buckets`` for words that need none: of one
+    chunk alone, or of no training text."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,23 +225,29 @@ def counted(coded: DataFrame, vocab: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(word)
         word, c = np.append(word[order], 0), np.append(c[order], 0)  # the last one: not found
         lists = [np.frombuffer(raw, np.int64) for raw in asked.column("words").to_pylist()]
-        words = np.concatenate([*lists, np.zeros(0, np.int64)])
+        words, index, chunks = np.unique(np.concatenate([*lists, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
         at = np.searchsorted(word[:-1], words)
         found = np.where((word[at] == words) & (at < len(word) - 1), c[at], 0)
-        _, place, chunks = np.unique(words, return_inverse=True, return_counts=True)
-        found = np.where(chunks[place] == 1, -found, found)
-        values = [part.tobytes() for part in np.split(found, np.cumsum([len(x) for x in lists])[:-1])] if lists else []
+        summed = (chunks > 1) & (found > 0)
+        rows = np.stack([found, np.where(summed, np.cumsum(summed) - 1, -1)], 1)[index]
+        values = [packed(part, "<i8") for part in np.split(rows, np.cumsum([len(x) for x in lists])[:-1])] if lists else []
         return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(values, pa.binary())], ["chunk", "bucket", "values"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [in_place(g, bucket_of(np.frombuffer(w, np.int64), buckets), np.int64, 1).tobytes() for g, w in zip(batch.column(7).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(counts, pa.binary())], batch.schema.names[:7])
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                bucket = bucket_of(np.frombuffer(row.column(5)[0].as_py(), np.int64), buckets)
+                count, place = in_place(row.column(7)[0].as_py(), bucket, 2).T
+                links = np.where(place < 0, buckets << 32, (bucket << 32) + place)
+                yield pa.RecordBatch.from_arrays([*row.columns[:5], *[pa.array([packed(x, "<i8")]) for x in (links, count)]], names)
 
     asked = coded.select("chunk", "words").mapInArrow(ask, "chunk bigint, bucket bigint, words binary")
     known = vocab.select(bucket_column(F.col("word"), buckets).alias("bucket"), "word", "c")
     replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "chunk bigint, bucket bigint, values binary")
-    return materialize(gathered(coded, replies).mapInArrow(fill, coded.schema))
+    schema = coded.withColumnRenamed("words", "links").schema
+    names = schema.names
+    return materialize(gathered(coded, replies).mapInArrow(fill, schema))
 
 
 @dataclass
@@ -270,6 +292,12 @@ class Model:
         return Model(scaled(start + 0.1, 1), scaled(move + 0.1, 1), np.vstack([(emit + share) / whole, np.ones(len(rest))]), share, whole)
 
 
+def summed_by(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums (n rows) of the rows of ``values`` by their places."""
+    width = values.shape[1]
+    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), values.ravel(), n * width).reshape(n, width)
+
+
 def expected(model: Model, segments: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions of segments (rows, padded at the end with the number of
     symbols), and their log-likelihood."""
@@ -299,8 +327,7 @@ def expected(model: Model, segments: np.ndarray, first: np.ndarray) -> tuple[np.
     gamma[0] = alpha[0] * beta
     moves *= model.move
     starts = np.array([gamma[0][first].sum(0), gamma[0][~first].sum(0)], float)
-    flat, weights = seen.ravel(), gamma.reshape(-1, states)
-    emits = np.stack([np.bincount(flat, weights[:, s], pad + 1) for s in range(states)], 1)[:pad]
+    emits = summed_by(seen.ravel(), gamma.reshape(-1, states), pad + 1)[:pad]
     return starts, moves, emits, float(np.log(scale[seen != pad]).sum())
 
 
@@ -338,9 +365,9 @@ def fit(
     model, likelihoods, replies, before = Model.first(counts, states), [], None, None
     model.others = float(counts[-2] + n_words - (n - 2) - (counts[-1] > 0) + 1)
     shares = n_words + 1 + int(counts[-1] == 0)
-    texts = coded.select("chunk", "held_out", "sizes", "symbols", "words", "counts")
-    schema = "chunk bigint, bucket bigint, words binary, values binary"
-    names = ["chunk", "bucket", "words", "values"]
+    texts = coded.select("chunk", "held_out", "sizes", "symbols", *[c for c in coded.columns if c in ("links", "counts")])
+    schema = "chunk bigint, bucket bigint, n bigint, places binary, values binary"
+    names = ["chunk", "bucket", "n", "places", "values"]
     for _ in range(rounds if counts.sum() else 0):
         shared = spark.sparkContext.broadcast(model)
 
@@ -349,12 +376,11 @@ def fit(
             # rows: symbols, then two for starts, one for each state's moves, one for the other words, one for the likelihood
             total = np.zeros((n + 4 + states, states))
             for row in rows_of(batches):
-                words = np.frombuffer(row["words"], np.int64)
-                bucket, local = local_model(model, row, words, buckets)
-                mine = np.zeros((len(words), states))
-                parts = np.split(unpacked(row["symbols"], sum(row["sizes"])), np.cumsum(row["sizes"])[:-1])
-                training = [t for t, held in zip(parts, row["held_out"], strict=True) if not held]
-                segments, first = cut(training, n + len(words)) if training else (np.zeros((0, SEGMENT), np.int64), np.zeros(0, bool))
+                symbols, sizes = unpacked(row["symbols"], sum(row["sizes"])), row["sizes"]
+                bucket, place, _, local = local_model(model, row, symbols, buckets)
+                mine = np.zeros((len(bucket), states))
+                training = [t for t, held in zip(np.split(symbols, np.cumsum(sizes)[:-1]), row["held_out"], strict=True) if not held]
+                segments, first = cut(training, n + len(bucket)) if training else (np.zeros((0, SEGMENT), np.int64), np.zeros(0, bool))
                 for k in range(0, len(segments), BATCH_SEGMENTS):
                     starts, moves, emits, likelihood = expected(local, segments[k : k + BATCH_SEGMENTS], first[k : k + BATCH_SEGMENTS])
                     total[:n] += emits[:n]
@@ -362,12 +388,14 @@ def fit(
                     total[n : n + 2] += starts
                     total[n + 2 : n + 2 + states] += moves
                     total[-1, 0] += likelihood
-                total[-2] += mine.sum(0)
-                some = [(b, words[part].tobytes() if b < buckets else b"", mine[part].astype(np.float32).tobytes()) for b, part in dealt(bucket)]
-                columns = [pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([x[0] for x in some], pa.int64()), *[pa.array([x[i] for x in some], pa.binary()) for i in (1, 2)]]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                whole = np.rint(mine * UNIT).astype(np.int64)
+                total[-2] += whole.sum(0) / UNIT  # of what moves, so that the emissions sum to one
+                for b, part in dealt(bucket):
+                    places = packed(np.diff(place[part], prepend=0), "<i8") if b < buckets else b""
+                    columns = [pa.array([x], pa.int64()) for x in (row["chunk"], b, len(part))] + [pa.array([x], pa.binary()) for x in (places, packed(whole[part], "<i8"))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
             stripes = range(0, len(total), STRIPE)
-            columns = [pa.nulls(len(stripes), pa.int64()), pa.array([-1 - k for k in range(len(stripes))], pa.int64()), pa.nulls(len(stripes), pa.binary()), pa.array([total[k : k + STRIPE].tobytes() for k in stripes], pa.binary())]
+            columns = [pa.nulls(len(stripes), pa.int64()), pa.array([-1 - k for k in range(len(stripes))], pa.int64()), pa.nulls(len(stripes), pa.int64()), pa.nulls(len(stripes), pa.binary()), pa.array([total[k : k + STRIPE].tobytes() for k in stripes], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
         def add(stripe: pa.Table) -> pa.Table:
@@ -375,24 +403,24 @@ def fit(
             return pa.table([stripe.column("bucket").slice(0, 1), pa.array([values.tobytes()])], ["bucket", "values"])
 
         def merge(bucket: pa.Table) -> pa.Table:
-            lists = bucket.column("words").to_pylist()
-            at = np.unique(np.frombuffer(b"".join(lists), np.int64), return_inverse=True)[1]
-            values = np.frombuffer(b"".join(bucket.column("values").to_pylist()), np.float32).reshape(-1, states)
-            summed = np.stack([np.bincount(at, values[:, s]) for s in range(states)], 1).astype(np.float32)[at]
-            parts = np.split(summed, np.cumsum([len(x) // 8 for x in lists])[:-1])
-            return pa.table([bucket.column("chunk"), bucket.column("bucket"), pa.array([x.tobytes() for x in parts])], ["chunk", "bucket", "values"])
+            sizes = bucket.column("n").to_pylist()
+            at = np.concatenate([np.cumsum(unpacked(raw, k, "<i8")) for raw, k in zip(bucket.column("places").to_pylist(), sizes, strict=True)])
+            values = np.concatenate([unpacked(raw, k * states, "<i8") for raw, k in zip(bucket.column("values").to_pylist(), sizes, strict=True)])
+            summed = summed_by(at, values.reshape(-1, states), int(at.max()) + 1).astype(np.int64)  # whole numbers below 2**53: exact
+            parts = np.split(at, np.cumsum(sizes)[:-1])
+            return pa.table([bucket.column("chunk"), bucket.column("bucket"), pa.array([packed(summed[x], "<i8") for x in parts])], ["chunk", "bucket", "values"])
 
         source = gathered(texts, replies) if replies is not None else texts.withColumn("got", F.lit(None).cast("array<binary>"))
         made = materialize(source.mapInArrow(run, schema))
-        parts = dict(made.where("bucket < 0").groupBy("bucket").applyInArrow(add, "bucket bigint, values binary").collect())
-        total = np.frombuffer(b"".join(bytes(parts[k]) for k in sorted(parts, reverse=True)), np.float64).reshape(-1, states)
-        merged = made.where(f"bucket >= 0 AND bucket < {buckets}").groupBy("bucket").applyInArrow(merge, "chunk bigint, bucket bigint, values binary")
-        replies = merged.union(made.where(f"bucket = {buckets}").select("chunk", "bucket", "values"))
         if before is not None:
             release(before)
         before = made
         del source
         spark.sparkContext._jvm.System.gc()  # a round's shuffle files go with the driver's garbage
+        parts = dict(made.where("bucket < 0").groupBy("bucket").applyInArrow(add, "bucket bigint, values binary").collect())
+        total = np.frombuffer(b"".join(bytes(parts[k]) for k in sorted(parts, reverse=True)), np.float64).reshape(-1, states)
+        merged = made.where(f"bucket >= 0 AND bucket < {buckets}").groupBy("bucket").applyInArrow(merge, "chunk bigint, bucket bigint, values binary")
+        replies = merged.union(made.where(f"bucket = {buckets}").select("chunk", "bucket", "values"))
         likelihoods.append(float(total[-1, 0]))
         model = Model.of_counts(total[n : n + 2], total[n + 2 : n + 2 + states], total[:n], total[-2], shares)
         shared.destroy()
@@ -401,12 +429,14 @@ def fit(
     return model, likelihoods, replies
 
 
-def local_model(model: Model, row: dict, words: np.ndarray, buckets: int) -> tuple[np.ndarray, Model]:
-    """The buckets of a chunk's words, and the model with them."""
-    counts = np.frombuffer(row["counts"], np.int64) if row["counts"] else np.zeros(len(words), np.int64)
-    bucket = bucket_of(words, buckets, counts)
-    got = None if model.share is None else in_place(row["got"], bucket, np.float32, len(model.move))
-    return bucket, model.with_words(np.abs(counts), got)
+def local_model(model: Model, row: dict, symbols: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Model]:
+    """Buckets, places and counts of a chunk's words, and the model with them."""
+    k = max(0, int(symbols.max(initial=0)) + 2 - len(model.emit))  # each of them stands in the chunk
+    links = unpacked(row["links"], k, "<i8") if row.get("links") else np.full(k, buckets << 32)
+    counts = unpacked(row["counts"], k, "<i8") if row.get("counts") else np.zeros(k, np.int64)
+    bucket, place = links >> 32, links & (2**32 - 1)
+    got = None if model.share is None else in_place(row["got"], bucket, len(model.move)) / UNIT
+    return bucket, place, counts, model.with_words(counts, got)
 
 
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -444,7 +474,8 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", states: in
     plain = code(docs, head, ident, text)
     buckets = buckets_for(plain)
     coded = counted(plain, vocab, buckets)
-    release(plain)
+    release(plain, vocab)
+    spark.sparkContext._jvm.System.gc()
     model, _, replies = fit(coded, counts, states, rounds, n_words, buckets)
     shared = spark.sparkContext.broadcast((model, np.append(counts[:-2], [0, ends])))
     base_share = float(np.log10(n_train + 1 * (n_words + 1)))
@@ -453,17 +484,16 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", states: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = shared.value
         for row, texts in ((row, batch.slice(k, 1)) for batch in batches for k in range(len(batch)) for row in rows_of([batch.slice(k, 1)])):
-            words = np.frombuffer(row["words"], np.int64)
-            local = local_model(model, row, words, buckets)[1]
-            count = np.append(counts, np.abs(np.frombuffer(row["counts"], np.int64)))
             symbols, sizes = unpacked(row["symbols"], sum(row["sizes"])), np.array(row["sizes"])
+            _, _, found, local = local_model(model, row, symbols, buckets)
+            count = np.append(counts, found)
             begins = np.cumsum(sizes) - sizes  # every text has its end, so none is empty
             base = np.add.reduceat(np.log10(count + 1.0)[symbols] - base_share, begins)
             known = np.add.reduceat((count > 0)[symbols].astype(np.int64), begins)
             made = log_likelihoods(local, np.split(symbols, begins[1:]))
             yield pa.RecordBatch.from_arrays([texts.column(0).flatten(), texts.column(1).flatten(), pa.array(sizes), pa.array(known), pa.array(base), pa.array(made)], names)
 
-    columns = ["ident", "held_out", "sizes", "symbols", "words", "counts"]
+    columns = ["ident", "held_out", "sizes", "symbols", "links", "counts"]
     source = gathered(coded.select("chunk", *columns), replies) if replies is not None else coded.withColumn("got", F.lit(None).cast("array<binary>"))
     kind = docs.schema[ident].dataType.simpleString()
     scored = source.select(*columns, "got").mapInArrow(run, f"ident {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")

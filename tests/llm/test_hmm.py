@@ -2,6 +2,7 @@ import collections
 import itertools
 import math
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -142,3 +143,49 @@ def test_rounds_end_with_the_gain(spark):
     head, _ = hmm.head_of(hmm.vocabulary(df))
     _, likelihoods = hmm.train(hmm.code(df, head), np.array([40.0] * 5 + [0, 40]), 2, 50)
     assert 1 < len(likelihoods) < 50 and likelihoods[-1] - likelihoods[-2] < hmm.GAIN * abs(likelihoods[-1])
+
+
+def twice(spark):
+    """Two chunks, which share all words."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 40_000, 400)) for i in range(100)]
+    docs = [(7 * i + k, t) for k in (0, 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(spark.sparkContext.parallelize(docs, 2), "doc_id long, text string"), len({w for t in texts for w in t.split()})
+
+
+def test_a_round_writes_few_bytes_for_each_word_of_a_chunk(spark, monkeypatch):
+    written, write = [], hmm.materialize
+
+    def weighed(df):
+        out = write(df)
+        written.append(sum(f.stat().st_size for f in Path(out._closura_path.removeprefix("file:")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(hmm, "materialize", weighed)
+    df, words = twice(spark)
+    hmm.score(df, rounds=3, symbols=2).collect()
+    assert len(written) == 6 and max(written[3:]) < 20 * 2 * words  # eight states' counts; 40 bytes and more as floats with hashes
+
+
+def test_emissions_sum_to_one_after_counts_moved_as_whole_numbers(spark):
+    df, words = twice(spark)
+    vocab = hmm.vocabulary(df)
+    head, _ = hmm.head_of(vocab, symbols=2)
+    plain = hmm.code(df, head)
+    buckets = hmm.buckets_for(plain)
+    assert buckets > 1
+    coded = hmm.counted(plain, vocab, buckets)
+    counts = np.append(np.sort(head.count[head.rank < 2])[::-1], [0.0, 200])
+    counts[2] = 2 * 100 * 400 - counts[:2].sum()
+    held = {r[0]: r[1] for r in df.select("doc_id", hmm.held_out(df["doc_id"])).collect()}
+    assert any(held.values())
+    model, likelihoods, replies = hmm.fit(coded, counts, 3, 4, words + 1, buckets, 0.0)
+    assert likelihoods[-1] > likelihoods[0]
+    rows = hmm.gathered(coded, replies).collect()
+    assert len(rows) == 2
+    for row in rows:
+        symbols = hmm.unpacked(row["symbols"], sum(row["sizes"]))
+        bucket, place, found, local = hmm.local_model(model, row.asDict(), symbols, buckets)
+        assert len(bucket) == words - 2 and found.max() >= 2
+        assert len(set(zip(bucket[bucket < buckets].tolist(), place[bucket < buckets].tolist()))) == (bucket < buckets).sum() > 0
+        assert np.allclose(local.emit[:-1].sum(0), 1, rtol=1e-9)
