@@ -26,13 +26,14 @@ ignored.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from closura.llm import wordhash
@@ -43,7 +44,7 @@ STATES = 8
 ROUNDS = 50  # at most; GAIN ends them
 GAIN = 1e-3
 SEGMENT = 64
-CHUNK = 16 * wordhash.SLICE_BYTES  # of text; the larger, the fewer chunks a word stands in
+CHUNK = 12 * wordhash.SLICE_BYTES  # of text; the larger, the fewer chunks a word stands in
 UNIT = 1_024  # expected counts of words beyond the symbols move as whole numbers of this part of one
 BUCKET_WORDS = 200_000  # of all chunks' lists, in a bucket
 SPREAD_WORDS = 2_000  # the same, if there are few
@@ -79,9 +80,9 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in wordhash.slices(batch.column(0), 8 * wordhash.SLICE_BYTES):
-                words, counts = np.unique(wordhash.hashes(texts)[0], return_counts=True)
-                columns = [np.append(words, END), np.append(counts, len(texts))]
+            for hashed, sizes in hashed_chunks(batch.column(0), 8 * wordhash.SLICE_BYTES):
+                words, counts = np.unique(hashed, return_counts=True)
+                columns = [np.append(words, END), np.append(counts, len(sizes))]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["word", "c"])
 
     return materialize(docs.select(text).mapInArrow(count, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
@@ -122,14 +123,14 @@ def unpacked(raw: bytes, n: int, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def hashed_chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The word hashes of ``CHUNK`` bytes of texts, and the words of each text (a text is never cut)."""
+def hashed_chunks(column: pa.Array, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word hashes of some bytes of texts, and the words of each text (a text is never cut)."""
     some, size = [], 0
     for texts in wordhash.slices(column):
         words, bounds = wordhash.hashes(texts)
         some.append((words, np.diff(bounds)))
         size += sum(map(len, texts))
-        if size >= CHUNK:
+        if size >= limit:
             yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
             some, size = [], 0
     if some:
@@ -147,9 +148,10 @@ def code(docs: DataFrame, head: Head, ident: str = "doc_id", text: str = "text")
         chunk = (task.partitionId() if task else 0) << 33
         for batch in batches:
             at = 0
-            for hashed, sizes in hashed_chunks(batch.column(2)):
+            for hashed, sizes in hashed_chunks(batch.column(2), CHUNK):
                 place = head.find(hashed)
                 symbol = np.where(place >= 0, head.rank[place] if len(head.rank) else 2**40, 2**40)
+                del place
                 far = symbol >= head.symbols
                 words, index = np.unique(hashed[far], return_inverse=True)
                 symbol[far] = index + head.symbols + 2
@@ -187,6 +189,13 @@ def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[part[0]]), part
 
 
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files go with the driver's garbage: first Python's, which may hold plans, then the JVM's.
+    Python hands over what it dropped within a second, so call this a job later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buckets_for(coded: DataFrame) -> int:
     spark = coded.sparkSession
     words = (coded.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // 8
@@ -305,26 +314,29 @@ def expected(model: Model, segments: np.ndarray, first: np.ndarray) -> tuple[np.
     pad, states = len(model.emit) - 1, model.move.shape[0]
     emit = model.emit.astype(np.float32)
     move = model.move.astype(np.float32)
-    seen = np.ascontiguousarray(segments.T)
+    seen = np.ascontiguousarray(segments.T, np.intp)
     b = emit[seen]
     alpha, scale = np.empty((length, n, states), np.float32), np.empty((length, n), np.float32)
-    a = model.start.astype(np.float32)[np.where(first, 0, 1)] * b[0]
+    alpha[0] = model.start.astype(np.float32)[np.where(first, 0, 1)]
+    ones = np.ones(states, np.float32)
     for t in range(length):
         if t:
-            a = (a @ move) * b[t]
-        scale[t] = a.sum(1)
-        a = a / scale[t][:, None]
-        alpha[t] = a
+            np.matmul(alpha[t - 1], move, out=alpha[t])
+        alpha[t] *= b[t]
+        np.matmul(alpha[t], ones, out=scale[t])
+        each = scale[t][:, None]
+        alpha[t] /= each
+        b[t] /= each
     beta = np.ones((n, states), np.float32)
     moves = np.zeros((states, states))
     gamma = alpha  # overwritten from the end
     for t in range(length - 1, 0, -1):
-        ahead = b[t] * beta / scale[t][:, None]
+        ahead = b[t] * beta
         live = (seen[t] != pad)[:, None]
         moves += alpha[t - 1].T @ (ahead * live)
-        gamma[t] = alpha[t] * beta
+        gamma[t] *= beta
         beta = ahead @ move.T
-    gamma[0] = alpha[0] * beta
+    gamma[0] *= beta
     moves *= model.move
     starts = np.array([gamma[0][first].sum(0), gamma[0][~first].sum(0)], float)
     emits = summed_by(seen.ravel(), gamma.reshape(-1, states), pad + 1)[:pad]
@@ -334,7 +346,7 @@ def expected(model: Model, segments: np.ndarray, first: np.ndarray) -> tuple[np.
 def cut(texts: list[np.ndarray], pad: int, length: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
     """Segments of all texts, and which are the first of their text."""
     counts = np.array([-(-len(t) // length) for t in texts])
-    out = np.full((int(counts.sum()), length), pad, np.int64)
+    out = np.full((int(counts.sum()), length), pad, np.int32)
     at = np.concatenate([[0], np.cumsum(counts)[:-1]])
     for k, t in zip(at, texts, strict=True):
         out[k : k + -(-len(t) // length)].ravel()[: len(t)] = t
@@ -380,7 +392,7 @@ def fit(
                 bucket, place, _, local = local_model(model, row, symbols, buckets)
                 mine = np.zeros((len(bucket), states))
                 training = [t for t, held in zip(np.split(symbols, np.cumsum(sizes)[:-1]), row["held_out"], strict=True) if not held]
-                segments, first = cut(training, n + len(bucket)) if training else (np.zeros((0, SEGMENT), np.int64), np.zeros(0, bool))
+                segments, first = cut(training, n + len(bucket)) if training else (np.zeros((0, SEGMENT), np.int32), np.zeros(0, bool))
                 for k in range(0, len(segments), BATCH_SEGMENTS):
                     starts, moves, emits, likelihood = expected(local, segments[k : k + BATCH_SEGMENTS], first[k : k + BATCH_SEGMENTS])
                     total[:n] += emits[:n]
@@ -388,6 +400,7 @@ def fit(
                     total[n : n + 2] += starts
                     total[n + 2 : n + 2 + states] += moves
                     total[-1, 0] += likelihood
+                del symbols, training, segments, local
                 whole = np.rint(mine * UNIT).astype(np.int64)
                 total[-2] += whole.sum(0) / UNIT  # of what moves, so that the emissions sum to one
                 for b, part in dealt(bucket):
@@ -416,11 +429,11 @@ def fit(
             release(before)
         before = made
         del source
-        spark.sparkContext._jvm.System.gc()  # a round's shuffle files go with the driver's garbage
         parts = dict(made.where("bucket < 0").groupBy("bucket").applyInArrow(add, "bucket bigint, values binary").collect())
         total = np.frombuffer(b"".join(bytes(parts[k]) for k in sorted(parts, reverse=True)), np.float64).reshape(-1, states)
         merged = made.where(f"bucket >= 0 AND bucket < {buckets}").groupBy("bucket").applyInArrow(merge, "chunk bigint, bucket bigint, values binary")
         replies = merged.union(made.where(f"bucket = {buckets}").select("chunk", "bucket", "values"))
+        sweep(spark)  # of the round's shuffles
         likelihoods.append(float(total[-1, 0]))
         model = Model.of_counts(total[n : n + 2], total[n + 2 : n + 2 + states], total[:n], total[-2], shares)
         shared.destroy()
@@ -473,9 +486,9 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", states: in
     counts[-2] = n_train - counts.sum()
     plain = code(docs, head, ident, text)
     buckets = buckets_for(plain)
+    sweep(spark)
     coded = counted(plain, vocab, buckets)
     release(plain, vocab)
-    spark.sparkContext._jvm.System.gc()
     model, _, replies = fit(coded, counts, states, rounds, n_words, buckets)
     shared = spark.sparkContext.broadcast((model, np.append(counts[:-2], [0, ends])))
     base_share = float(np.log10(n_train + 1 * (n_words + 1)))
