@@ -56,16 +56,20 @@ def _long(df: DataFrame, keep: str, variable: str) -> DataFrame:
 
 def _cells(spark: SparkSession, path: str, comments: bool) -> tuple[DataFrame, DataFrame]:
     """(row id, at, text) of every cell and (at, name) of every column, from the lines of a table: as many rows as
-    cells, so that the number of columns is no matter for the plan. Repeated header lines are dropped."""
-    lines = spark.read.text(path)
+    cells, so that the number of columns is no matter for the plan. The header is the line that stands first in the files,
+    whichever task reads first; repeated header lines are dropped."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", F.sha2("value", 256).alias("digest"), place.alias("place"))
     if comments:
         lines = lines.where(F.contains("value", F.lit("\t")))
-    top = lines.first()
+    top = lines.agg(F.min_by("digest", "place")).first()[0]
     if top is None:
         return spark.createDataFrame([], "id string, at int, text string"), spark.createDataFrame([], "at int, name string")
     plain = lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")
-    names = lines.limit(1).select(F.posexplode(F.split("value", "\t")).alias("at", "name")).select((F.col("at") - 1).alias("at"), plain(F.col("name")).alias("name")).where("at >= 0")
-    rows = lines.where((F.col("value") != top[0]) & (F.col("value") != "")).select(F.split("value", "\t").alias("row"))
+    head = F.col("digest") == top
+    names = lines.where(head).select(F.posexplode(F.split("value", "\t")).alias("at", "name")).distinct()
+    names = names.select((F.col("at") - 1).alias("at"), plain(F.col("name")).alias("name")).where("at >= 0")
+    rows = lines.where(~head & (F.col("value") != "")).select(F.split("value", "\t").alias("row"))
     cells = rows.select(plain(F.col("row")[0]).alias("id"), F.posexplode(F.slice("row", F.lit(2), F.size("row"))).alias("at", "text"))
     return cells.select("id", "at", plain(F.col("text")).alias("text")), materialize(names)
 
