@@ -4,22 +4,25 @@ min |y - c - Xa|^2 + lam * sum w|a| with sum(a) = 0, then least squares on the c
 of one block of columns is summed up once and solved from its sums in a task; a wider one from the sums of the columns in
 use, to which a pass over the rows adds those that break the minimum's conditions; if more than a block are in use, by accelerated
 proximal steps, whose gradients are one pass each with the partial vectors added in two levels. All minimise the same function; vectors of the design's width are all that the driver holds.
+
+A constant added to all cells of a row changes nothing, because the coefficients add up to zero: rows may be sparse (pos, value, y),
+with the cells that are not the constant, less the constant.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closura.models.estimators import Fitted
-from closura.models.moments import BLOCK, block_width, by_group, gradient, gram
+from closura.models.moments import BLOCK, block_width, by_group, column_means, gradient, gram, gram_of, is_sparse, sparse_cells
 from closura.session import materialize, release
 
 # Fixed value: coefficients below this are outside the support.
@@ -114,18 +117,24 @@ def optimality(a: np.ndarray, grad: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.full(len(a), max(low - high, 0.0) / scale)
 
 
+def _sums_of(rows: DataFrame, used: np.ndarray, block: int) -> DataFrame:
+    """The sums of products of some columns."""
+    if is_sparse(rows):
+        return gram_of(rows, used)
+    return gram(rows.select(F.transform(F.lit([int(i) for i in used]), lambda i: F.get("x", i)).alias("x"), "y"), block=block)
+
+
 def _refit_wide(rows: DataFrame, support: np.ndarray, free: bool, n: float, mean_x: np.ndarray, mean_y: float, block: int) -> tuple[float, np.ndarray]:
     """Least squares on the columns in use with coefficients that add up to zero."""
     p = len(support)
     used = np.flatnonzero(support)
     if len(used) + 2 <= block:
-        some = rows.select(F.transform(F.lit([int(i) for i in used]), lambda i: F.get("x", i)).alias("x"), "y")
 
         def solve(full: np.ndarray, _key) -> pd.DataFrame:
             s = np.concatenate([[free], np.ones(len(full) - 2, bool)])
             return pd.DataFrame({"beta": [solve_zero_sum(full[:-1, :-1], full[:-1, -1], s, np.concatenate([[0.0], np.ones(len(full) - 2)]))]})
 
-        beta = np.array(by_group(gram(some, block=block), [], solve, "beta array<double>").first()["beta"]) if len(used) else np.array([mean_y if free else 0.0])
+        beta = np.array(by_group(_sums_of(rows, used, block), [], solve, "beta array<double>").first()["beta"]) if len(used) else np.array([mean_y if free else 0.0])
         out = np.zeros(p)
         out[used] = beta[1:]
         return float(beta[0]), out
@@ -150,7 +159,6 @@ def _refit_wide(rows: DataFrame, support: np.ndarray, free: bool, n: float, mean
 
 def _few(rows: DataFrame, used: np.ndarray, t: np.ndarray, block: int) -> np.ndarray:
     """The minimum over the columns in ``used`` alone, from their sums, in a task."""
-    some = rows.select(F.transform(F.lit([int(i) for i in used]), lambda i: F.get("x", i)).alias("x"), "y")
     own = t[used]
 
     def solve(full: np.ndarray, _key) -> pd.DataFrame:
@@ -158,7 +166,7 @@ def _few(rows: DataFrame, used: np.ndarray, t: np.ndarray, block: int) -> np.nda
         g, b = full[1:-1, 1:-1] - n * np.outer(mx, mx), full[1:-1, -1] - n * mx * my
         return pd.DataFrame({"a": [l1_zero_sum(g, b, 1.0, own)]})
 
-    return np.array(by_group(gram(some, block=block), [], solve, "a array<double>").first()["a"])
+    return np.array(by_group(_sums_of(rows, used, block), [], solve, "a array<double>").first()["a"])
 
 
 def _by_columns_in_use(rows: DataFrame, half, b: np.ndarray, t: np.ndarray, block: int) -> tuple[np.ndarray, bool]:
@@ -184,10 +192,11 @@ def _by_columns_in_use(rows: DataFrame, half, b: np.ndarray, t: np.ndarray, bloc
 
 def _fit_wide(rows: DataFrame, w: np.ndarray, lam: float, block: int, steps: int = STEPS, tol: float = TOLERANCE) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """As ``_solved``, by passes over the rows."""
-    rows = materialize(rows.select("x", F.col("y").cast("double").alias("y")))
-    head = rows.agg(Summarizer.mean(array_to_vector("x")).alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).first()
-    mean_x, mean_y, n = head["x"].toArray(), head["y"], float(head["n"])
-    p = len(mean_x)
+    cells = ["pos", "value"] if is_sparse(rows) else ["x"]
+    rows = materialize(rows.select(*cells, F.col("y").cast("double").alias("y")))
+    mean_y, n = rows.agg(F.avg("y"), F.count(F.lit(1)).cast("double")).first()
+    p = len(w)
+    mean_x = column_means(rows, p)
     # the gradient of half the squared error, with the best intercept for a
     half = lambda a: gradient(rows, float(mean_y - mean_x @ a), a)[2]
     b = -half(np.zeros(p))
@@ -230,16 +239,17 @@ def _by_steps(half, b: np.ndarray, t: np.ndarray, a: np.ndarray, steps: int, tol
 
 
 def fit_log_contrast(rows: DataFrame, n_leaves: list[float], lam: float, block: int = BLOCK) -> Fitted:
-    """``rows``: x (node means), y. ``lam`` is relative to the smallest penalty that zeroes everything."""
+    """``rows``: x (node means), y; or sparse. ``lam`` is relative to the smallest penalty that zeroes everything."""
     w = 1.0 / np.asarray(n_leaves, dtype=float)
-    p = block_width(rows)
+    p = len(w) if is_sparse(rows) else block_width(rows)
     if p + 2 <= block:
+        sums = gram_of(rows, np.arange(p)) if is_sparse(rows) else gram(rows, block=block)
 
         def solve(full: np.ndarray, _key) -> pd.DataFrame:
             intercept, beta, a, grad = _solved(full, w, lam)
             return pd.DataFrame({"intercept": [intercept], "beta": [beta], "a": [a], "grad": [grad]})
 
-        row = by_group(gram(rows, block=block), [], solve, "intercept double, beta array<double>, a array<double>, grad array<double>").first()
+        row = by_group(sums, [], solve, "intercept double, beta array<double>, a array<double>, grad array<double>").first()
         intercept, beta, a, grad = row["intercept"], np.array(row["beta"]), np.array(row["a"]), np.array(row["grad"])
     else:
         intercept, beta, a, grad = _fit_wide(rows, w, lam, block)
@@ -247,3 +257,19 @@ def fit_log_contrast(rows: DataFrame, n_leaves: list[float], lam: float, block:
         "log_contrast", {},
         {"intercept": float(intercept), "coef": beta.tolist(), "norefit": a.tolist(), "gradient": grad.tolist(), "width": p, "n_classes": None},
     )
+
+
+def predict_sparse(fitted: Fitted, rows: DataFrame, fill: float) -> DataFrame:
+    """``rows`` (pos, value and more) with ``pred`` in place of the cells; ``fill`` is the constant of the other cells."""
+    coef = np.array(fitted.meta["coef"])
+    start = float(fitted.meta["intercept"]) + fill * float(coef.sum())
+    kept = [c for c in rows.columns if c not in ("pos", "value")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, pos, value = sparse_cells(batch)
+            pred = start + np.bincount(at, value * coef[pos], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(pred, pa.float64())], [*kept, "pred"])
+
+    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept], "pred double"])
+    return rows.mapInArrow(work, schema)

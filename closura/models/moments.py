@@ -5,6 +5,8 @@ block is summed in place, one of several is dealt by pairs of blocks, so no task
 blocks whatever the width. Any number of penalties and folds are then solved from the sums, in tasks
 (``by_group``); nothing of the width squared reaches the driver. Designs of more than one block are not
 solved from their sums: ``gradient`` gives X'(Xa - y) by one pass whose partial vectors are added in two levels.
+
+Rows are dense (x, y), or sparse: (pos, value, y) with the cells that are not zero. ``gradient`` takes both.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -26,6 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK = 2048  # columns to a block: 32 MB of sums
 HELD = 4  # blocks of sums a task holds
 FAN_IN = 64  # partial vectors added by a task of the first level
+LAID_OUT = 4_000_000  # cells of sparse rows laid out at once: 32 MB
 PAIR_SALT = 8  # tasks that share the rows of a pair of blocks
 
 
@@ -80,12 +84,55 @@ def gram(rows: DataFrame, by: list[str] | None = None, block: int = BLOCK) -> Da
         df = df.select(*by, "p.i", "p.j", part("i").alias("a"), part("j").alias("b"), F.pmod(F.xxhash64("z"), F.lit(PAIR_SALT)).alias("salt"))
         df = df.repartition(*by, "i", "j", "salt").drop("salt")
     schema = ", ".join([*[f"{c} {t}" for c, t in types.items()], "i int, j int, r int, sums array<double>"])
-    partial = df.mapInPandas(_sums(by), schema)
-    keys = [*by, "i", "j", "r"]
+    return _added(df.mapInPandas(_sums(by), schema), [*by, "i", "j", "r"])
+
+
+def _added(partial: DataFrame, keys: list[str]) -> DataFrame:
     summed = partial.select(*keys, array_to_vector("sums").alias("v")).groupBy(*keys).agg(Summarizer.sum(F.col("v")).alias("s"))
     return summed.select(*keys, vector_to_array("s").alias("sums"))
 
 
+def is_sparse(rows: DataFrame) -> bool:
+    return "pos" in rows.columns
+
+
+def sparse_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row within the batch, position and value of every cell."""
+    pos, value = batch.column("pos"), batch.column("value")
+    return np.repeat(np.arange(batch.num_rows), pos.value_lengths().to_numpy()), pos.flatten().to_numpy(), value.flatten().to_numpy()
+
+
+def gram_of(rows: DataFrame, columns: np.ndarray) -> DataFrame:
+    """``gram`` of some columns (in order, one block at most) of sparse rows; a task lays out a few rows at a time."""
+    width = len(columns) + 2
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        step = max(1, LAID_OUT // width)
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                at, pos, value = sparse_cells(batch)
+                place = np.searchsorted(columns, pos)
+                use = columns[np.minimum(place, len(columns) - 1)] == pos if len(columns) else np.zeros(len(pos), bool)
+                z = np.zeros((batch.num_rows, width))
+                z[:, 0], z[:, -1] = 1.0, batch.column("y").to_numpy()
+                z[at[use], place[use] + 1] = value[use]
+                total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["r", "sums"])
+
+    partial = rows.select("pos", "value", F.col("y").cast("double").alias("y")).mapInArrow(work, "r int, sums array<double>")
+    return _added(partial.select(F.lit(0).alias("i"), F.lit(0).alias("j"), "r", "sums"), ["i", "j", "r"])
+
+
+def column_means(rows: DataFrame, width: int) -> np.ndarray:
+    """The mean of every column, by one pass."""
+    if not is_sparse(rows):
+        return rows.agg(Summarizer.mean(array_to_vector("x")).alias("m")).first()["m"].toArray()
+    n, _, sums = gradient(rows.withColumn("y", F.lit(0.0)), 1.0, np.zeros(width))
+    return sums / n
+
+
 def by_group(sums: DataFrame, by: list[str], solve: Callable[[np.ndarray, tuple], pd.DataFrame], schema: str) -> DataFrame:
     """``solve`` on each group's whole matrix (one block: its size is bounded by ``BLOCK``), in its own task."""
 
@@ -97,7 +144,7 @@ def by_group(sums: DataFrame, by: list[str], solve: Callable[[np.ndarray, tuple]
 
 
 def gradient(rows: DataFrame, intercept: float, a: np.ndarray) -> tuple[float, float, np.ndarray]:
-    """(sum of e, sum of e * e, X'e) with e = intercept + Xa - y, by one pass over ``rows`` (x, y)."""
+    """(sum of e, sum of e * e, X'e) with e = intercept + Xa - y, by one pass over ``rows``, dense or sparse."""
     weights = np.asarray(a, dtype=float)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,7 +156,20 @@ def gradient(rows: DataFrame, intercept: float, a: np.ndarray) -> tuple[float, f
                 total += np.concatenate([[e.sum(), e @ e], e @ x])
         yield pd.DataFrame({"v": [total]})
 
-    parts = rows.select("x", F.col("y").cast("double").alias("y")).mapInPandas(work, "v array<double>").select(array_to_vector("v").alias("v"))
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(weights) + 2)
+        for batch in batches:
+            at, pos, value = sparse_cells(batch)
+            e = intercept + np.bincount(at, value * weights[pos], batch.num_rows) - batch.column("y").to_numpy()
+            total += np.concatenate([[e.sum(), e @ e], np.bincount(pos, value * e[at], len(weights))])
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
+
+    y = F.col("y").cast("double").alias("y")
+    if is_sparse(rows):
+        parts = rows.select("pos", "value", y).mapInArrow(sparse, "v array<double>")
+    else:
+        parts = rows.select("x", y).mapInPandas(work, "v array<double>")
+    parts = parts.select(array_to_vector("v").alias("v"))
     first = parts.withColumn("g", F.spark_partition_id() % FAN_IN).groupBy("g").agg(Summarizer.sum(F.col("v")).alias("v"))
     out = first.agg(Summarizer.sum(F.col("v")).alias("v")).first()["v"].toArray()
     return float(out[0]), float(out[1]), out[2:]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -12,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from closura.dataset import Dataset
+from closura.dataset import PSEUDOCOUNT, Dataset
 from closura.models.explain import COEF_MODELS, coefficients, shapley_sample
 from closura.models.estimators import CLASSIFIERS, ORDINAL, TREES, Fitted, fit_model, to_features
-from closura.models.log_contrast import fit_log_contrast
+from closura.models.log_contrast import fit_log_contrast, predict_sparse
 from closura.models.moments import BLOCK, linear_trials
 from closura.models.tree_shap import tree_shapley
 from closura.operators import metrics as m
@@ -23,7 +24,7 @@ from closura.operators.checks import check_enrich_nulls, check_ordinal_levels, c
 from closura.operators.splits import assign_folds
 from closura.operators.stats import bounded_rows, bounds_of, feature_stats, label_index
 from closura.operators.trials import aggregate_folds, best_iteration, check_failures, select_one_se
-from closura.operators.tree import log_geom
+from closura.operators.tree import log_geom, log_geom_cells
 from closura.plans.candidates import DATA_COLUMNS, SPACES, candidates, with_start_points
 from closura.plans.engineer import REFIT, Config, Frozen, apply_engineering, design_names, engineer_folds, fit_engineering
 from closura.session import materialize
@@ -71,7 +72,10 @@ class TunedModel:
 
     def predict(self, ds: Dataset, target: str | None = None) -> DataFrame:
         """sample_id[, label], pred (class names for classifiers)[, proba]."""
-        out = self.predict_design(self.design(ds))
+        if self.frozen is None:
+            out = self.predict_cells(log_geom_cells(ds.samples, ds.abund, self.tree.matrix, self.tree.columns))
+        else:
+            out = self.predict_design(self.design(ds))
         if target is not None:
             now = ds.samples.where("t_off = 0").select("sample_id", F.col(target).alias("label"))
             out = out.join(now, "sample_id")
@@ -86,6 +90,10 @@ class TunedModel:
             pred = F.element_at(F.array(*[F.lit(c) for c in self.classes]), pred.cast("int") + 1)
         return out.withColumn("pred", pred).drop("prediction")
 
+    def predict_cells(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of a log contrast (``contrast_rows``) with pred in place of their cells; no row is laid out."""
+        return predict_sparse(self.fitted, rows, math.log(PSEUDOCOUNT))
+
     def predict_proba(self, ds: Dataset) -> DataFrame:
         """sample_id, class, proba aligned to the fitted classes."""
         if not self.fitted.has_proba:
@@ -363,20 +371,27 @@ def _choose(
     return refit(ds, target, model_type, row, seed, taxonomy, tree, enrich_with, rounds, max_levels)
 
 
+def contrast_rows(ds: Dataset, tree: Tree, target: str) -> DataFrame:
+    """sample_id, pos, value, y: what a log contrast is fitted on, written."""
+    if ds.n_prev:
+        raise ValueError("log_contrast has no snapshots; leave it out for windowed data")
+    cells = log_geom_cells(ds.samples, ds.abund, tree.matrix, tree.columns)
+    return materialize(cells.join(_target(ds, target, "log_contrast")[0], "sample_id"))
+
+
 def refit(
     ds: Dataset, target: str, kind: str, row: dict, seed: int = 0, taxonomy: DataFrame | None = None,
     tree: Tree | None = None, enrich_with: tuple[str, ...] = (), rounds: int | None = None, max_levels: int = ORDINAL_CAP,
+    contrast: DataFrame | None = None,
 ) -> TunedModel:
-    """Fit one candidate's engineering and model on all rows."""
+    """Fit one candidate's engineering and model on all rows. ``contrast``: the rows of a log contrast, if they are written."""
     params = _params(row, kind)
     if rounds:
         params["n_estimators"] = rounds
-    y, classes = _target(ds, target, kind, max_levels)
     if kind == "log_contrast":
-        if ds.n_prev:
-            raise ValueError("log_contrast has no snapshots; leave it out for windowed data")
-        x = materialize(log_geom(ds.samples, ds.abund, tree.matrix, tree.columns).join(y, "sample_id"))
+        x = contrast_rows(ds, tree, target) if contrast is None else contrast
         return TunedModel(fit_log_contrast(x, tree.n_leaves(), params["lambda"]), Config(), None, None, None, tree)
+    y, classes = _target(ds, target, kind, max_levels)
     cfg = _config(row, enrich_with)
     frozen = fit_engineering(ds, cfg, taxonomy)
     x = apply_engineering(ds, frozen, taxonomy, [REFIT]).join(y, "sample_id")
